@@ -65,31 +65,35 @@ def sweep(rows: DataFrame, axis: str, reach: int, keys, block, aggregates, carry
     )
 
 
-def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK) -> DataFrame:
-    """The 3x3 window of ``col`` as columns ``n0`` .. ``n8``, row by row from (x-1, y-1).
+def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK) -> DataFrame:
+    """The 3x3 window of every column, as ``<col>_0`` .. ``<col>_8`` row by row from (x-1, y-1).
 
     A missing neighbour is NULL.  Other columns are dropped.
     """
-    base = df.select(*keys, "x", "y", F.col(col).alias("_v"))
-    rows = blocked(base, 1, keys, block)
+    cols = list(cols)
+    rows = blocked(df.select(*keys, "x", "y", *cols), 1, keys, block)
     offsets = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    moved = rows.withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    moved = moved.withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    moved = rows.withColumn("_dx", step).withColumn("_dy", step)
     # a neighbour at (+dx, +dy) of the target contributes from the opposite side
     moved = moved.withColumns({"_tx": F.col("x") - F.col("_dx"), "_ty": F.col("y") - F.col("_dy")})
     moved = moved.where(_within(F.col("_tx"), "_bx", block) & _within(F.col("_ty"), "_by", block))
-    picks = [
-        F.max(F.when((F.col("_dx") == dx) & (F.col("_dy") == dy), F.col("_v"))).alias(f"n{i}")
-        for i, (dx, dy) in enumerate(offsets)
-    ]
-    here = F.max((F.col("_dx") == 0) & (F.col("_dy") == 0)).alias("_here")
+    place = (F.col("_dy") + 1) * 3 + F.col("_dx") + 1
+    names = [f"{c}_{i}" for c in cols for i in range(len(offsets))]
+    picks = [F.max(F.when(place == i, F.col(c))).alias(f"{c}_{i}") for c in cols for i in range(len(offsets))]
     return (
-        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(here, *picks)
+        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.max(place == 4).alias("_here"), *picks)
         .where("_here")
-        .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *[f"n{i}" for i in range(9)])
+        .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *names)
     )
 
 
+def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK) -> DataFrame:
+    """The 3x3 window of one column as ``n0`` .. ``n8``."""
+    gathered = windows3(df, [col], keys, block)
+    return gathered.withColumnsRenamed({f"{col}_{i}": f"n{i}" for i in range(9)})
+
+
 def nearest_squared(df: DataFrame, mask: Column, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """Squared pixel distance ``_d2`` to the nearest mask pixel, up to ``reach`` per axis.
 

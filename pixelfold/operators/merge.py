@@ -94,11 +94,7 @@ def merge_weighted(fine: DataFrame, coarse: DataFrame, bands, method: str, keys=
     keys = list(keys)
     cells = _coarse_means(fine, bands, keys).join(coarse, [*keys, "cx", "cy"])
     cells = cells.withColumnsRenamed({"cx": "x", "cy": "y"})
-    columns = ["value", *[f"m_{b}" for b in bands]]
-    gathered = None
-    for c in columns:
-        window = focal.window3(cells, c, keys, block).withColumnsRenamed({f"n{i}": f"{c}_{i}" for i in range(9)})
-        gathered = window if gathered is None else gathered.join(window, [*keys, "x", "y"])
+    gathered = focal.windows3(cells, ["value", *[f"m_{b}" for b in bands]], keys, block)
     gathered = gathered.withColumnsRenamed({"x": "cx", "y": "cy"})
     joined = _with_cells(fine).join(gathered, [*keys, "cx", "cy"], "left")
     top, bottom = F.lit(0.0), F.lit(0.0)

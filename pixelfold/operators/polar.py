@@ -40,12 +40,14 @@ def _direction(x: Column, y: Column) -> Column:
 
 
 def _day_of_angle(angle: Column) -> Column:
-    return F.floor(angle / F.lit(TWO_PI / DAYS)).cast("int") + 1
+    """Day of year whose angle is nearest."""
+    return F.floor(angle / F.lit(TWO_PI / DAYS) + 0.5).cast("int") % 365 + 1
 
 
 def _opposite_day(x: Column, y: Column) -> Column:
-    """Day of year (1..365) opposite to a vector."""
-    return F.least(F.lit(365), _day_of_angle(F.pmod(F.atan2(y, x) + F.lit(math.pi), F.lit(TWO_PI))))
+    """Day of year (1..365) in which the direction opposite to a vector falls."""
+    angle = F.pmod(F.atan2(y, x) + F.lit(math.pi), F.lit(TWO_PI))
+    return F.least(F.lit(365), F.floor(angle / F.lit(TWO_PI / DAYS)).cast("int") + 1)
 
 
 def _anniversary(year: Column, doy: Column) -> Column:

@@ -54,7 +54,7 @@ def cat(folded: DataFrame, change_penalty=False, keys=("pixel_id",), step="step"
     With ``change_penalty`` a drop is reduced by the rebound of the next step.
     Ties take the earliest step.
     """
-    order = Window.partitionBy(*keys).orderBy(step)
+    order = Window.partitionBy(*keys).orderBy("_x")
     whole = Window.partitionBy(*keys)
     base = folded.where(F.col(value).isNotNull()).select(*keys, F.col(step).alias("_x"), F.col(value).alias("_y"))
     stepped = base.withColumn("_drop", F.lag("_y").over(order) - F.col("_y"))

@@ -58,18 +58,14 @@ def map_user_fn(df: DataFrame, fn: Callable, schema: str, context: dict | None =
     return df.mapInPandas(run, schema)
 
 
-def expand_user_fn(df: DataFrame, fn: Callable, schema: str, columns, name: str) -> DataFrame:
+def expand_user_fn(df: DataFrame, fn: Callable, schema: str, columns) -> DataFrame:
     """Run a generator ``fn(*columns)`` per row as a table function; the row is kept beside each result."""
     class Expand:
         def eval(self, *values):
             yield from fn(*values)
 
-    spark = df.sparkSession
-    spark.udtf.register(name, F.udtf(Expand, returnType=schema))
-    view = f"_{name}_input"
-    df.createOrReplaceTempView(view)
-    arguments = ", ".join(f"t.`{c}`" for c in columns)
-    return spark.sql(f"SELECT t.*, u.* FROM {view} t, LATERAL {name}({arguments}) u")
+    table_function = F.udtf(Expand, returnType=schema)
+    return df.lateralJoin(table_function(*[F.col(c).outer() for c in columns]))
 
 
 def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double", fan_in=10_000, levels=2, name="result") -> DataFrame:

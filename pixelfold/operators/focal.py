@@ -9,6 +9,8 @@ holds at most ``block`` squared pixels plus its rim, however large the scene.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,20 +96,31 @@ def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK) -> DataFrame:
     return gathered.withColumnsRenamed({f"{col}_{i}": f"n{i}" for i in range(9)})
 
 
-def nearest_squared(df: DataFrame, mask: Column, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
-    """Squared pixel distance ``_d2`` to the nearest mask pixel, up to ``reach`` per axis.
+def nearest_each(df: DataFrame, masks: dict[str, tuple[Column, int]], keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
+    """Squared pixel distance to the nearest pixel of every mask, as ``d2_<name>``.
 
-    Exact and separable: the row pass keeps the smallest horizontal offset, the
-    column pass adds the vertical one, so a mask pixel expands to 2*(2r+1)
-    positions instead of a whole disc.  Pixels without a mask in reach get NULL.
+    ``masks`` maps a name to (condition, reach per axis).  Exact and separable:
+    the row pass keeps the smallest horizontal offset, the column pass adds the
+    vertical one, so a mask pixel expands to 2*(2r+1) positions instead of a
+    whole disc, and all masks share the one shuffle.  No mask in reach gives NULL.
     """
-    rows = blocked(df.withColumn("_mask", F.coalesce(mask, F.lit(False))), reach, keys, block, F.col("_mask"))
+    reach = max(r for _, r in masks.values())
+    marked = df.select(*keys, "x", "y", *carry, *[F.coalesce(c, F.lit(False)).alias(f"_m_{n}") for n, (c, _) in masks.items()])
+    anything = reduce(lambda a, b: a | b, [F.col(f"_m_{n}") for n in masks])
+    rows = blocked(marked, reach, keys, block, anything)
     offset = F.col("_d").cast("long")
-    across = F.min(F.when(F.col("_mask"), offset * offset)).alias("_d2")
-    pass1 = sweep(rows, "x", reach, keys, block, [across], carry, F.col("_mask"))
-    down = F.min(F.col("_d2") + offset * offset).alias("_d2")
-    pass2 = sweep(pass1, "y", reach, keys, block, [down], carry, F.col("_d2").isNotNull())
-    return pass2.where("_home").select(*keys, "x", "y", *carry, "_d2")
+    near = {n: F.abs(offset) <= r for n, (_, r) in masks.items()}
+    across = [F.min(F.when(F.col(f"_m_{n}") & near[n], offset * offset)).alias(f"d2_{n}") for n in masks]
+    pass1 = sweep(rows, "x", reach, keys, block, across, carry, anything)
+    down = [F.min(F.when(near[n], F.col(f"d2_{n}") + offset * offset)).alias(f"d2_{n}") for n in masks]
+    found = reduce(lambda a, b: a | b, [F.col(f"d2_{n}").isNotNull() for n in masks])
+    pass2 = sweep(pass1, "y", reach, keys, block, down, carry, found)
+    return pass2.where("_home").select(*keys, "x", "y", *carry, *[f"d2_{n}" for n in masks])
+
+
+def nearest_squared(df: DataFrame, mask: Column, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
+    """``nearest_each`` for one mask, as ``_d2``."""
+    return nearest_each(df, {"mask": (mask, reach)}, keys, block, carry).withColumnRenamed("d2_mask", "_d2")
 
 
 def square_stat(df: DataFrame, cols, reach: int, stat: str, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:

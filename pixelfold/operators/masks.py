@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +58,25 @@ def buffer_mask(grid: DataFrame, classes, radius: float, resolution=20.0, col="c
     return found.withColumn(name, hit).drop("_d2")
 
 
+def buffer_masks(grid: DataFrame, buffers: dict[str, float], resolution=20.0, keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
+    """Add ``near_<flag>`` for several flag columns, each with its own radius in metres."""
+    pixels = {n: _pixels(r, resolution) for n, r in buffers.items()}
+    carry = [c for c in grid.columns if c not in (*keys, "x", "y")]
+    found = focal.nearest_each(grid, {n: (F.col(n), math.floor(r)) for n, r in pixels.items()}, keys, block, carry)
+    hits = {f"near_{n}": F.coalesce(F.col(f"d2_{n}") <= F.lit(r * r + 1e-9), F.lit(False)) for n, r in pixels.items()}
+    return found.withColumns(hits).drop(*[f"d2_{n}" for n in pixels])
+
+
 def buffer_nodata(grid: DataFrame, value="value", keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
-    """Nodata grown by one pixel in all eight directions."""
+    """Nodata grown by one pixel in all eight directions.
+
+    With a list of bands a pixel is nodata where all of them are.
+    """
+    values = [value] if isinstance(value, str) else list(value)
     carry = [c for c in grid.columns if c not in (*keys, "x", "y")]
-    near = focal.nearest_squared(grid, F.col(value).isNull(), 1, keys, block, carry)
-    return near.withColumn(value, F.when(F.col("_d2").isNull(), F.col(value))).drop("_d2")
+    empty = reduce(lambda a, b: a & b, [F.col(v).isNull() for v in values])
+    near = focal.nearest_squared(grid, empty, 1, keys, block, carry)
+    return near.withColumns({v: F.when(F.col("_d2").isNull(), F.col(v)) for v in values}).drop("_d2")
 
 
 def distance_to_mask(grid: DataFrame, classes, reach: float, resolution=20.0, col="class",
@@ -92,23 +107,23 @@ def cloud_features(grid: DataFrame) -> DataFrame:
 
 
 def classify_clouds(grid: DataFrame, cloud_threshold=0.225, shadow_threshold=0.02,
-                    key="scene_id", block=focal.BLOCK) -> DataFrame:
-    """``cloud`` and ``shadow`` flags per pixel.
+                    key="scene_id", block=focal.BLOCK, carry=()) -> DataFrame:
+    """``cloud`` and ``shadow`` flags per pixel; columns named in ``carry`` are kept.
 
     Cloud: a potential pixel whose probability exceeds the scene's 82.5th
     percentile over clear pixels by the threshold.  Shadow: near infrared lower
     than the maximum of its 5x5 surroundings by more than the threshold.
     """
     nir = role_columns(grid.columns)["BNIR"]
-    pixels = cloud_features(grid).select(key, "x", "y", "potential", "probability", nir.alias("_nir"))
+    pixels = cloud_features(grid).select(key, "x", "y", "potential", "probability", nir.alias("_nir"), *carry)
     clear = pixels.where(~F.col("potential"))
     limit = grouped_percentile(clear, [key], "probability", 0.825, "_limit")
     judged = attach(pixels, limit, [key], ["x", "y"])
     cloud = F.col("potential") & (F.col("probability") > F.coalesce(F.col("_limit"), F.lit(0.0)) + cloud_threshold)
     flagged = judged.withColumn("cloud", cloud).drop("_limit")
-    around = focal.square_stat(flagged, ["_nir"], 2, "max", (key,), block, ["cloud", "probability"])
+    around = focal.square_stat(flagged, ["_nir"], 2, "max", (key,), block, ["cloud", "probability", *carry])
     shadow = ~F.col("cloud") & (F.col("_nir_env") - F.col("_nir") > shadow_threshold)
-    return around.select(key, "x", "y", "probability", "cloud", F.coalesce(shadow, F.lit(False)).alias("shadow"))
+    return around.select(key, "x", "y", *carry, "probability", "cloud", F.coalesce(shadow, F.lit(False)).alias("shadow"))
 
 
 def erase_clouds(df: DataFrame, bands, cloud: Column | None = None) -> DataFrame:
@@ -118,20 +133,29 @@ def erase_clouds(df: DataFrame, bands, cloud: Column | None = None) -> DataFrame
     return df.withColumns({b: F.when(~F.coalesce(cloud, F.lit(False)), F.col(b)) for b in bands})
 
 
+def _median_of(values) -> Column:
+    """Median of the non-NULL ones among a few columns."""
+    near = F.array_sort(F.array_compact(F.array(*values)))
+    low = F.get(near, F.floor((F.size(near) - 1) / F.lit(2.0)).cast("int"))
+    return (low + F.get(near, F.floor(F.size(near) / F.lit(2.0)).cast("int"))) / 2
+
+
 def impulse_noise(grid: DataFrame, limit: float, value="value", keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
     """Replace 8-bit values that differ from their 3x3 median by more than ``limit``.
 
-    Values outside 0..255 are not 8-bit input and pass through unchanged.
+    Values outside 0..255 are not 8-bit input and pass through unchanged.  One
+    value becomes ``value`` with a ``replaced`` mark; a list keeps its names.
     """
-    around = focal.window3(grid, value, keys, block)
-    near = F.array_sort(F.array_compact(F.array(*[F.col(f"n{i}") for i in range(9)])))
-    sized = around.withColumn("_near", near).withColumn("_n", F.size("_near"))
-    low = F.get("_near", ((F.col("_n") - 1) / 2).cast("int"))
-    high = F.get("_near", (F.col("_n") / 2).cast("int"))
-    median = (low + high) / 2
-    centre = F.col("n4")
-    noisy = centre.between(0, 255) & (F.abs(centre - F.col("_median")) > limit)
-    return sized.withColumn("_median", median).select(
-        *keys, "x", "y", F.when(noisy, F.col("_median")).otherwise(centre.cast("double")).alias("value"),
-        F.coalesce(noisy, F.lit(False)).alias("replaced"),
-    )
+    values = [value] if isinstance(value, str) else list(value)
+    around = focal.windows3(grid, values, keys, block)
+    around = around.withColumns({f"_med_{v}": _median_of([F.col(f"{v}_{i}") for i in range(9)]) for v in values})
+
+    def noisy(v):
+        return F.coalesce(F.col(f"{v}_4").between(0, 255) & (F.abs(F.col(f"{v}_4") - F.col(f"_med_{v}")) > limit), F.lit(False))
+
+    def clean(v):
+        return F.when(noisy(v), F.col(f"_med_{v}")).otherwise(F.col(f"{v}_4").cast("double"))
+
+    if isinstance(value, str):
+        return around.select(*keys, "x", "y", clean(value).alias("value"), noisy(value).alias("replaced"))
+    return around.select(*keys, "x", "y", *[clean(v).alias(v) for v in values])

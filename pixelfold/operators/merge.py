@@ -56,35 +56,39 @@ def _with_cells(fine):
     return fine.withColumns({"cx": _cell("x"), "cy": _cell("y")})
 
 
-def merge_none(fine: DataFrame, coarse: DataFrame, keys=("scene_id",)) -> DataFrame:
+def merge_none(fine: DataFrame, coarse: DataFrame, values, keys) -> DataFrame:
     """Every coarse value copied to its four fine pixels."""
-    return _with_cells(fine).join(coarse, [*keys, "cx", "cy"], "left").select(*keys, "x", "y", "value")
+    return _with_cells(fine).join(coarse, [*keys, "cx", "cy"], "left").select(*keys, "x", "y", *values)
 
 
-def merge_regression(fine: DataFrame, coarse: DataFrame, bands, keys=("scene_id",)) -> DataFrame:
-    """Multiple regression of the coarse band on the cell means of the fine bands, per scene.
+def merge_regression(fine: DataFrame, coarse: DataFrame, bands, values, keys) -> DataFrame:
+    """Multiple regression of each coarse band on the cell means of the fine bands, per scene.
 
     The normal equations are sums, so scenes of any size combine before the
     shuffle; the solution is one row per scene.
     """
     keys = list(keys)
     cells = _coarse_means(fine, bands, keys).join(coarse, [*keys, "cx", "cy"])
-    cells = cells.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ["value", *[f"m_{b}" for b in bands]]]))
+    complete = reduce(lambda a, b: a & b, [F.col(f"m_{b}").isNotNull() for b in bands])
     terms = [F.lit(1.0), *[F.col(f"m_{b}") for b in bands]]
     k = len(terms)
-    sums = cells.groupBy(*keys).agg(
-        *[F.sum(terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[F.sum(terms[i] * F.col("value")).alias(f"b{i}") for i in range(k)])
-    matrix = F.array(*[F.col(f"a{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-    fit = sums.select(*keys, solve_normal(matrix, F.array(*[F.col(f"b{i}") for i in range(k)])).alias("_beta"))
-    applied = attach(fine, fit, keys, ["x", "y"])
-    value = F.get("_beta", F.lit(0))
-    for i, b in enumerate(bands, start=1):
-        value = value + F.get("_beta", F.lit(i)) * F.col(b)
-    return applied.select(*keys, "x", "y", value.alias("value"))
-
-
-def merge_weighted(fine: DataFrame, coarse: DataFrame, bands, method: str, keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
+    sums, fits = [], []
+    for v in values:
+        used = complete & F.col(v).isNotNull()
+        sums += [F.sum(F.when(used, terms[i] * terms[j])).alias(f"a_{v}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        sums += [F.sum(F.when(used, terms[i] * F.col(v))).alias(f"b_{v}_{i}") for i in range(k)]
+        matrix = F.array(*[F.col(f"a_{v}_{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
+        fits.append(solve_normal(matrix, F.array(*[F.col(f"b_{v}_{i}") for i in range(k)])).alias(f"_beta_{v}"))
+    applied = attach(fine, cells.groupBy(*keys).agg(*sums).select(*keys, *fits), keys, ["x", "y"])
+
+    def predicted(v):
+        beta = lambda i: F.get(f"_beta_{v}", F.lit(i))
+        return reduce(lambda a, b: a + b, [beta(i) * F.col(b) for i, b in enumerate(bands, start=1)], beta(0))
+
+    return applied.select(*keys, "x", "y", *[predicted(v).alias(v) for v in values])
+
+
+def merge_weighted(fine: DataFrame, coarse: DataFrame, bands, values, method: str, keys, block) -> DataFrame:
     """Weighted mean of the 3x3 coarse cells around a fine pixel.
 
     Weights fall with the spectral distance between the fine pixel and the cell
@@ -94,25 +98,31 @@ def merge_weighted(fine: DataFrame, coarse: DataFrame, bands, method: str, keys=
     keys = list(keys)
     cells = _coarse_means(fine, bands, keys).join(coarse, [*keys, "cx", "cy"])
     cells = cells.withColumnsRenamed({"cx": "x", "cy": "y"})
-    gathered = focal.windows3(cells, ["value", *[f"m_{b}" for b in bands]], keys, block)
+    means = [f"m_{b}" for b in bands]
+    renamed = cells.select(*keys, "x", "y", *means, *[F.col(v).alias(f"c_{v}") for v in values])
+    gathered = focal.windows3(renamed, [*means, *[f"c_{v}" for v in values]], keys, block)
     gathered = gathered.withColumnsRenamed({"x": "cx", "y": "cy"})
     joined = _with_cells(fine).join(gathered, [*keys, "cx", "cy"], "left")
-    top, bottom = F.lit(0.0), F.lit(0.0)
+    weights = {}
     for i in range(9):
         dx, dy = i % 3 - 1, i // 3 - 1
         spectral = reduce(lambda a, b: a + b, [F.abs(F.col(b) - F.col(f"m_{b}_{i}")) for b in bands])
-        weight = 1 / (spectral + 0.001)
-        if method == "STARFM":
-            weight = weight / (1 + (dx * dx + dy * dy) ** 0.5)
-        usable = F.col(f"value_{i}").isNotNull() & spectral.isNotNull()
-        top = top + F.when(usable, weight * F.col(f"value_{i}")).otherwise(0.0)
-        bottom = bottom + F.when(usable, weight).otherwise(0.0)
-    return joined.select(*keys, "x", "y", (top / F.nullif(bottom, F.lit(0.0))).alias("value"))
+        distance = 1 + (dx * dx + dy * dy) ** 0.5 if method == "STARFM" else 1.0
+        weights[f"_w{i}"] = 1 / (spectral + 0.001) / F.lit(distance)
+    weighted = joined.withColumns(weights)
+
+    def mean(v):
+        usable = [F.col(f"_w{i}").isNotNull() & F.col(f"c_{v}_{i}").isNotNull() for i in range(9)]
+        top = [F.when(u, F.col(f"_w{i}") * F.col(f"c_{v}_{i}")).otherwise(0.0) for i, u in enumerate(usable)]
+        bottom = [F.when(u, F.col(f"_w{i}")).otherwise(0.0) for i, u in enumerate(usable)]
+        return reduce(lambda a, b: a + b, top) / F.nullif(reduce(lambda a, b: a + b, bottom), F.lit(0.0))
+
+    return weighted.select(*keys, "x", "y", *[mean(v).alias(v) for v in values])
 
 
 def resolution_merge(fine: DataFrame, coarse: DataFrame, bands, method="IMPROPHE", skip=None,
-                     keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
-    """Coarse band (``cx, cy, value``; a cell is 2x2 fine pixels) on the fine pixels.
+                     keys=("scene_id",), block=focal.BLOCK, values=("value",)) -> DataFrame:
+    """Coarse bands (``cx, cy`` and ``values``; a cell is 2x2 fine pixels) on the fine pixels.
 
     Fine pixels where ``skip`` holds (cloud or shadow) take no part and get no row.
     """
@@ -120,8 +130,10 @@ def resolution_merge(fine: DataFrame, coarse: DataFrame, bands, method="IMPROPHE
         raise ValueError(f"method must be one of {METHODS}")
     if skip is not None:
         fine = fine.where(~F.coalesce(skip, F.lit(False)))
+    fine = fine.select(*keys, "x", "y", *bands)
+    coarse = coarse.select(*keys, "cx", "cy", *values)
     if method == "NONE":
-        return merge_none(fine, coarse, keys)
+        return merge_none(fine, coarse, values, keys)
     if method == "REGRESSION":
-        return merge_regression(fine, coarse, bands, keys)
-    return merge_weighted(fine, coarse, bands, method, keys, block)
+        return merge_regression(fine, coarse, bands, values, keys)
+    return merge_weighted(fine, coarse, bands, values, method, keys, block)

@@ -12,9 +12,19 @@ from pixelfold.operators import focal
 from pixelfold.operators.skew import attach, grouped_percentile
 
 
-def terrain(grid: DataFrame, sun_zenith: float, sun_azimuth: float, resolution=20.0, dem="dem",
+def _angle(angle) -> Column:
+    return F.radians(F.col(angle) if isinstance(angle, str) else F.lit(float(angle)))
+
+
+def illumination(sun_zenith, sun_azimuth, slope="slope", aspect="aspect") -> Column:
+    """Cosine of the sun's incidence on a slope; angles in degrees, as numbers or column names."""
+    zenith, tilt = _angle(sun_zenith), F.radians(slope)
+    return F.cos(zenith) * F.cos(tilt) + F.sin(zenith) * F.sin(tilt) * F.cos(_angle(sun_azimuth) - F.radians(aspect))
+
+
+def terrain(grid: DataFrame, sun_zenith=None, sun_azimuth=None, resolution=20.0, dem="dem",
             keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
-    """Slope and aspect in degrees and the cosine of illumination, from 3x3 windows.
+    """Slope and aspect in degrees from 3x3 windows, and the cosine of illumination for a given sun.
 
     ``y`` grows southwards.  Pixels without a full window get NULL.
     """
@@ -22,31 +32,31 @@ def terrain(grid: DataFrame, sun_zenith: float, sun_azimuth: float, resolution=2
     east = ((n[2] + 2 * n[5] + n[8]) - (n[0] + 2 * n[3] + n[6])) / (8 * resolution)
     south = ((n[6] + 2 * n[7] + n[8]) - (n[0] + 2 * n[1] + n[2])) / (8 * resolution)
     graded = focal.window3(grid, dem, keys, block).withColumns({"_e": east, "_s": south})
-    slope = F.atan(F.sqrt(F.col("_e") * F.col("_e") + F.col("_s") * F.col("_s")))
+    slope = F.degrees(F.atan(F.sqrt(F.col("_e") * F.col("_e") + F.col("_s") * F.col("_s"))))
     # direction of steepest descent, clockwise from north
-    aspect = F.pmod(F.atan2(-F.col("_e"), F.col("_s")), F.lit(2 * math.pi))
-    zenith, azimuth = math.radians(sun_zenith), math.radians(sun_azimuth)
-    shaped = graded.withColumns({"_slope": slope, "_aspect": aspect})
-    lit = math.cos(zenith) * F.cos("_slope") + math.sin(zenith) * F.sin("_slope") * F.cos(F.lit(azimuth) - F.col("_aspect"))
-    return shaped.select(
-        *keys, "x", "y", F.degrees("_slope").alias("slope"), F.degrees("_aspect").alias("aspect"), lit.alias("cos_i"))
+    aspect = F.degrees(F.pmod(F.atan2(-F.col("_e"), F.col("_s")), F.lit(2 * math.pi)))
+    shaped = graded.select(*keys, "x", "y", slope.alias("slope"), aspect.alias("aspect"))
+    if sun_zenith is None:
+        return shaped
+    return shaped.withColumn("cos_i", illumination(sun_zenith, sun_azimuth))
 
 
-def topo_correct(grid: DataFrame, illumination: DataFrame, sun_zenith: float, value="value",
-                 keys=("scene_id",)) -> DataFrame:
-    """C-correction with one regression of reflectance on illumination per scene.
+def topo_correct(grid: DataFrame, bands, sun_zenith, cos_i="cos_i", keys=("scene_id",)) -> DataFrame:
+    """C-correction of every band, with one regression on illumination per scene and band.
 
-    A scene without a usable slope, and a pixel without illumination, keep their value.
+    ``grid`` carries the illumination.  A scene without a usable slope, and a
+    pixel without illumination, keep their value.
     """
-    keys = list(keys)
-    cos_sun = math.cos(math.radians(sun_zenith))
-    lit = grid.join(illumination.select(*keys, "x", "y", "cos_i"), [*keys, "x", "y"], "left")
-    fit = lit.groupBy(*keys).agg(
-        F.regr_slope(value, "cos_i").alias("_m"), F.regr_intercept(value, "cos_i").alias("_b"))
-    fitted = attach(lit, fit, keys, ["x", "y"])
-    c = F.col("_b") / F.nullif(F.col("_m"), F.lit(0.0))
-    corrected = F.col(value) * (F.lit(cos_sun) + F.col("_c")) / F.nullif(F.col("cos_i") + F.col("_c"), F.lit(0.0))
-    return fitted.withColumn("_c", c).withColumn("corrected", F.coalesce(corrected, F.col(value))).drop("_m", "_b", "_c")
+    keys, bands = list(keys), list(bands)
+    fit = grid.groupBy(*keys).agg(*[
+        (F.regr_intercept(b, cos_i) / F.nullif(F.regr_slope(b, cos_i), F.lit(0.0))).alias(f"_c_{b}") for b in bands])
+    fitted = attach(grid, fit, keys, ["x", "y"])
+    cos_sun = F.cos(_angle(sun_zenith))
+    out = {}
+    for b in bands:
+        c = F.col(f"_c_{b}")
+        out[b] = F.coalesce(F.col(b) * (cos_sun + c) / F.nullif(F.col(cos_i) + c, F.lit(0.0)), F.col(b))
+    return fitted.withColumns(out).select(*grid.columns)
 
 
 def atmo_correct(grid: DataFrame, lut: DataFrame, bands, do_atmo=True, multi=True, key="scene_id") -> DataFrame:
@@ -85,10 +95,14 @@ def estimate_aod(grid: DataFrame, external: DataFrame | None = None, band="BLUE"
         F.when(F.col("_external").isNotNull(), "external").otherwise("internal").alias("source"))
 
 
-def adjacency_correct(grid: DataFrame, bands, reach: int, strength: float, keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
-    """Remove light scattered in from the surroundings: value + q * (value - mean of the square)."""
-    around = focal.square_stat(grid, list(bands), reach, "avg", keys, block)
-    return around.select(*keys, "x", "y", *[
+def adjacency_correct(grid: DataFrame, bands, reach: int, strength: float, keys=("scene_id",),
+                      block=focal.BLOCK, carry=()) -> DataFrame:
+    """Remove light scattered in from the surroundings: value + q * (value - mean of the square).
+
+    Columns named in ``carry`` are kept.
+    """
+    around = focal.square_stat(grid, list(bands), reach, "avg", keys, block, carry)
+    return around.select(*keys, "x", "y", *[c for c in carry if c not in bands], *[
         (F.col(b) + F.lit(strength) * (F.col(b) - F.col(f"{b}_env"))).alias(b) for b in bands])
 
 

@@ -56,11 +56,14 @@ def scatter_weighted(grid: DataFrame, step: float, half: float, weight, value, k
 
     Each source row expands to the targets it reaches and the weighted sums are
     combined before the one shuffle; there is no join.  A target exists where
-    the source pixel under its centre exists.
+    the source pixel under its centre exists.  A list of values keeps their
+    names, a single one becomes ``value``.
     """
     reach = max(half, 0.5)
+    single = isinstance(value, str)
+    values = [value] if single else list(value)
     spread = (
-        grid.select(*keys, "x", "y", F.col(value).alias("_v"))
+        grid.select(*keys, "x", "y", *values)
         .withColumn("tx", F.explode(_reached("x", step, reach)))
         .withColumn("ty", F.explode(_reached("y", step, reach)))
     )
@@ -68,13 +71,17 @@ def scatter_weighted(grid: DataFrame, step: float, half: float, weight, value, k
     spread = spread.withColumns({"_dx": centre("tx") - F.col("x"), "_dy": centre("ty") - F.col("y")})
     # the source pixel under the centre has an offset in [-0.5, 0.5)
     under = (F.col("_dx") >= -0.5) & (F.col("_dx") < 0.5) & (F.col("_dy") >= -0.5) & (F.col("_dy") < 0.5)
-    w = F.when(F.col("_v").isNotNull(), weight(F.col("_dx"), F.col("_dy")))
-    sums = spread.groupBy(*keys, "tx", "ty").agg(
-        F.max(under).alias("_under"),
-        F.sum(w * F.col("_v")).alias("_wv"), F.sum(w).alias("_w"),
-    )
-    total = F.when(F.abs("_w") > 1e-9, F.col("_w"))
-    return sums.where("_under").select(*keys, "tx", "ty", (F.col("_wv") / total).alias("value"))
+    spread = spread.withColumn("_w", weight(F.col("_dx"), F.col("_dy")))
+    sums = spread.groupBy(*keys, "tx", "ty").agg(F.max(under).alias("_under"), *[
+        a for v in values for a in (
+            F.sum(F.col("_w") * F.col(v)).alias(f"_wv_{v}"),
+            F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))).alias(f"_w_{v}"))])
+
+    def mean(v):
+        return F.col(f"_wv_{v}") / F.when(F.abs(f"_w_{v}") > 1e-9, F.col(f"_w_{v}"))
+
+    means = [mean(value).alias("value")] if single else [mean(v).alias(v) for v in values]
+    return sums.where("_under").select(*keys, "tx", "ty", *means)
 
 
 def resample_interp(grid: DataFrame, step: float, method="CC", value="value", keys=("scene_id",)) -> DataFrame:

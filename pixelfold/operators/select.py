@@ -148,15 +148,20 @@ def join_quality(df: DataFrame, main="BOA", quality: str | None = "QAI", key=ACQ
 
 def prefer_improphe(original: DataFrame, enhanced: DataFrame, use: bool,
                     key=ACQUISITION, value="value") -> DataFrame:
-    """Enhanced value where it exists and the switch is on, else the original."""
+    """Enhanced values where they exist and the switch is on, else the original.
+
+    ``value`` is one column or a list.  Copies of an enhanced acquisition are
+    folded to their maximum first, so the join never multiplies rows.
+    """
     if not use:
         return original.withColumn("enhanced", F.lit(False))
-    better = enhanced.groupBy(*key).agg(F.max(value).alias("_better"))
+    values = [value] if isinstance(value, str) else list(value)
+    better = enhanced.groupBy(*key).agg(F.lit(True).alias("_found"), *[F.max(v).alias(f"_{v}") for v in values])
+    joined = original.join(better, list(key), "left")
     return (
-        original.join(better, list(key), "left")
-        .withColumn("enhanced", F.col("_better").isNotNull())
-        .withColumn(value, F.coalesce("_better", value))
-        .drop("_better")
+        joined.withColumns({v: F.coalesce(f"_{v}", v) for v in values})
+        .withColumn("enhanced", F.col("_found").isNotNull())
+        .drop("_found", *[f"_{v}" for v in values])
     )
 
 

@@ -249,7 +249,9 @@ SELECT scene_id, x, y, {r('value')} AS value, {r('cos_i')} AS cos_i,
 def _topo(spark, sf):
     grid = fx.grid(spark, sf)
     lit = reflectance.terrain(grid, SUN_ZENITH, SUN_AZIMUTH)
-    return reflectance.topo_correct(grid.select("scene_id", "x", "y", F.col("BNIR").alias("value")), lit, SUN_ZENITH)
+    both = grid.select("scene_id", "x", "y", F.col("BNIR").alias("value"), F.col("BNIR").alias("corrected")).join(
+        lit.drop("slope", "aspect"), ["scene_id", "x", "y"], "left")
+    return reflectance.topo_correct(both, ["corrected"], SUN_ZENITH)
 
 
 def scattering_lut(grid):

@@ -57,9 +57,8 @@ def sweep(rows: DataFrame, axis: str, reach: int, keys, block, aggregates, carry
     moved = rows.withColumn("_d", F.explode(steps)).withColumn("_t", F.col(axis) + F.col("_d"))
     moved = moved.where(_within(F.col("_t"), "_bx" if axis == "x" else "_by", block))
     other = "y" if axis == "x" else "x"
-    centre = (F.col("_d") == 0) & F.col("_home")
-    kept = [F.max(F.when(centre, F.col(c))).alias(c) for c in carry]
-    home = F.max(centre).alias("_home")
+    kept = [F.expr(f"max(CASE WHEN _d = 0 AND _home THEN `{c}` END) AS `{c}`") for c in carry]
+    home = F.expr("max(_d = 0 AND _home) AS _home")
     return (
         moved.groupBy(*keys, "_bx", "_by", F.col("_t"), F.col(other))
         .agg(home, *kept, *aggregates)
@@ -74,17 +73,16 @@ def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK) -> DataFrame:
     """
     cols = list(cols)
     rows = blocked(df.select(*keys, "x", "y", *cols), 1, keys, block)
-    offsets = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     moved = rows.withColumn("_dx", step).withColumn("_dy", step)
     # a neighbour at (+dx, +dy) of the target contributes from the opposite side
     moved = moved.withColumns({"_tx": F.col("x") - F.col("_dx"), "_ty": F.col("y") - F.col("_dy")})
     moved = moved.where(_within(F.col("_tx"), "_bx", block) & _within(F.col("_ty"), "_by", block))
-    place = (F.col("_dy") + 1) * 3 + F.col("_dx") + 1
-    names = [f"{c}_{i}" for c in cols for i in range(len(offsets))]
-    picks = [F.max(F.when(place == i, F.col(c))).alias(f"{c}_{i}") for c in cols for i in range(len(offsets))]
+    moved = moved.withColumn("_place", (F.col("_dy") + 1) * 3 + F.col("_dx") + 1)
+    names = [f"{c}_{i}" for c in cols for i in range(9)]
+    picks = [F.expr(f"max(CASE WHEN _place = {i} THEN `{c}` END) AS `{c}_{i}`") for c in cols for i in range(9)]
     return (
-        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.max(place == 4).alias("_here"), *picks)
+        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.expr("max(_place = 4) AS _here"), *picks)
         .where("_here")
         .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *names)
     )

@@ -77,31 +77,34 @@ def interp_linear(obs: DataFrame, first, last, step=16, key="pixel_id", date="da
     return spread.select(key, F.date_from_unix_date("_t").alias("date"), result.alias("value"))
 
 
-def _reaching(obs: DataFrame, grid: DateGrid, reach: float, key, date, value) -> DataFrame:
-    """Each observation at every grid date at most ``reach`` days away, as ``_k, _gap, _v``."""
+def _reaching(obs: DataFrame, grid: DateGrid, reach: float, key, date, value, complete: bool) -> DataFrame:
+    """Each observation at every grid date at most ``reach`` days away, as ``_k, _gap, _v``.
+
+    With ``complete`` the first observation of a key also visits all other grid
+    dates, so that dates nobody reaches still appear; ``_gap`` tells them apart.
+    The window that finds it partitions by key, which the aggregation over key
+    and date, and later steps by key, reuse without a further shuffle.
+    """
     base = obs.where(F.col(value).isNotNull()).select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
     steps = grid.steps(grid.at_or_after(F.col("_d") - F.lit(reach)), grid.at_or_before(F.col("_d") + F.lit(reach)))
-    return base.withColumn("_k", F.explode(steps)).withColumn("_gap", grid.day(F.col("_k")) - F.col("_d"))
-
-
-def _empty_dates(obs: DataFrame, grid: DateGrid, key, value) -> DataFrame:
-    """Grid rows without a contribution, so that unreached dates appear as NULL."""
-    keys = obs.where(F.col(value).isNotNull()).select(key).distinct()
-    return keys.withColumn("_k", F.explode(grid.all()))
+    if complete:
+        first = F.row_number().over(Window.partitionBy(key).orderBy("_d")) == 1
+        base = base.withColumn("_first", first)
+        steps = F.when(F.col("_first"), grid.all()).otherwise(steps)
+    return base.withColumn("_k", F.explode(steps)).withColumn("_gap", grid.day(F.col("_k")) - F.col("_d")).drop("_first")
 
 
 def interp_moving(obs: DataFrame, first, last, step=16, moving_max=16, key="pixel_id", date="date",
                   value="value", complete=True) -> DataFrame:
     """Mean of the observations at most ``moving_max`` days away.
 
-    Observations expand to the few grid dates they reach and are combined
-    before the shuffle.  Without ``complete`` unreached dates are left out.
+    Observations expand to the few grid dates they reach.  Without ``complete``
+    unreached dates are left out.
     """
     grid = DateGrid(first, last, step)
-    near = _reaching(obs, grid, moving_max, key, date, value).select(key, "_k", "_v")
-    if complete:
-        near = near.unionByName(_empty_dates(obs, grid, key, value), allowMissingColumns=True)
-    return near.groupBy(key, "_k").agg(F.avg("_v").alias("value")).select(
+    near = _reaching(obs, grid, moving_max, key, date, value, complete)
+    mean = F.avg(F.when(F.abs("_gap") <= moving_max, F.col("_v")))
+    return near.groupBy(key, "_k").agg(mean.alias("value")).select(
         key, F.date_from_unix_date(grid.day(F.col("_k"))).alias("date"), "value")
 
 
@@ -115,9 +118,7 @@ def interp_rbf(obs: DataFrame, first, last, step=16, sigmas=(8, 16, 32), cutoff=
     """Gaussian kernels of several widths, combined by the data density in each."""
     grid = DateGrid(first, last, step)
     halves = [rbf_half_width(s, cutoff) for s in sigmas]
-    near = _reaching(obs, grid, max(halves), key, date, value).select(key, "_k", "_gap", "_v")
-    if complete:
-        near = near.unionByName(_empty_dates(obs, grid, key, value), allowMissingColumns=True)
+    near = _reaching(obs, grid, max(halves), key, date, value, complete)
     gap = F.col("_gap")
     sums = []
     for i, (sigma, half) in enumerate(zip(sigmas, halves)):

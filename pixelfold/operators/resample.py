@@ -10,6 +10,9 @@ from pixelfold.functions import kernels
 AGGREGATES = ("AVG", "MODE", "MAX", "MIN", "MED", "Q1", "Q3", "SUM", "RMS")
 
 
+QUARTILES = {"Q1": 0.25, "MED": 0.5, "Q3": 0.75}
+
+
 def _aggregate(method: str, value: str) -> Column:
     v = F.col(value)
     return {
@@ -17,9 +20,6 @@ def _aggregate(method: str, value: str) -> Column:
         "MODE": lambda: F.mode(v, True),
         "MAX": lambda: F.max(v),
         "MIN": lambda: F.min(v),
-        "MED": lambda: F.percentile(v, 0.5),
-        "Q1": lambda: F.percentile(v, 0.25),
-        "Q3": lambda: F.percentile(v, 0.75),
         "SUM": lambda: F.sum(v),
         "RMS": lambda: F.sqrt(F.avg(v * v)),
     }[method]()
@@ -29,15 +29,21 @@ def resample_agg(grid: DataFrame, factor: int, methods, value="value", keys=("sc
     """Coarse cells of ``factor`` x ``factor`` pixels, one column per method.
 
     A cell holds at most ``factor`` squared pixels, which bounds the ordered
-    statistics; the mode takes the smallest of tied values.
+    statistics; all quartiles share one pass over them.  The mode takes the
+    smallest of tied values.
     """
     methods = [methods] if isinstance(methods, str) else list(methods)
     unknown = [m for m in methods if m not in AGGREGATES]
     if unknown:
         raise ValueError(f"unknown aggregation {unknown}")
     cell = lambda c: F.floor(F.col(c) / F.lit(float(factor))).cast("int")
-    return grid.groupBy(*keys, cell("x").alias("cx"), cell("y").alias("cy")).agg(
-        *[_aggregate(m, value).alias(m) for m in methods])
+    ordered = [m for m in methods if m in QUARTILES]
+    aggs = [_aggregate(m, value).alias(m) for m in methods if m not in QUARTILES]
+    if ordered:
+        aggs.append(F.percentile(value, F.array(*[F.lit(QUARTILES[m]) for m in ordered])).alias("_q"))
+    cells = grid.groupBy(*keys, cell("x").alias("cx"), cell("y").alias("cy")).agg(*aggs)
+    final = [F.col("_q")[ordered.index(m)].alias(m) if m in QUARTILES else F.col(m) for m in methods]
+    return cells.select(*keys, "cx", "cy", *final)
 
 
 def _reached(coordinate: str, step: float, half: float) -> Column:

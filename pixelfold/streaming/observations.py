@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixelfold.functions.dates import day_number
 from pixelfold.functions.qai import DEFAULT_SCREEN, is_screened
 from pixelfold.operators.harmonic import evaluate
+from pixelfold.operators.skew import attach
 from pixelfold.session import scratch_path
 
 
@@ -21,12 +22,13 @@ def event_time(df: DataFrame, col="ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def stream_nrt(stream: DataFrame, coef: DataFrame, origin, k=3.0, modes=1, trend=False, key="pixel_id") -> DataFrame:
+def stream_nrt(stream: DataFrame, coef: DataFrame, origin, k=3.0, modes=1, trend=False, key="pixel_id", salts=8) -> DataFrame:
     """Alerts: observations whose residual from the stored season model exceeds ``k`` RMSE.
 
-    A stream-static join with the coefficient table; append mode.
+    A stream-static join with the coefficient table; append mode.  ``salts``
+    spreads the events of a busy pixel over as many tasks.
     """
-    joined = stream.join(coef.select(key, "coef", "rmse"), key)
+    joined = attach(stream, coef.select(key, "coef", "rmse"), [key], ["ts"], "inner", salts)
     expected = evaluate(day_number(F.to_date("ts")), origin, modes, trend)
     scored = joined.withColumn("residual", F.col("value") - expected).drop("coef")
     return scored.where(F.abs("residual") > F.lit(float(k)) * F.col("rmse"))

@@ -88,6 +88,7 @@ def index_column(name: str, bands: dict[str, Column], wavelengths=WAVELENGTH) ->
     return special[name]()
 
 
+# Names of the indices (fixed values).
 INDEX_NAMES = (
     "NDVI", "EVI", "NBR", "NDTI", "ARVI", "SAVI", "SARVI", "TC-BRIGHT", "TC-GREEN", "TC-WET",
     "TC-DI", "NDBI", "NDWI", "MNDWI", "NDMI", "NDSI", "kNDVI", "NDRE1", "NDRE2", "CIre",

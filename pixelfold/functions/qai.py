@@ -30,6 +30,7 @@ LAYOUT = {
     "WVP_NONE": (14, 1, 1),
 }
 
+# Conditions screened by default (fixed values).
 DEFAULT_SCREEN = (
     "NODATA", "CLOUD_OPAQUE", "CLOUD_BUFFER", "CLOUD_CIRRUS",
     "CLOUD_SHADOW", "SNOW", "SUBZERO", "SATURATION",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the statistics (fixed values).
 STM_NAMES = (
     "MIN", "Q01", "Q05", "Q10", "Q20", "Q25", "Q30", "Q40", "Q50", "Q60", "Q70", "Q75",
     "Q80", "Q90", "Q95", "Q99", "MAX", "AVG", "STD", "RNG", "IQR", "SKW", "KRT", "NUM",

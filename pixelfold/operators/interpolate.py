@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelfold.functions.dates import day_number
 
+# Interpolation methods (fixed values).
 METHODS = ("NONE", "LINEAR", "MOVING", "RBF", "HARMONIC")
 EPOCH = Date(1970, 1, 1)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pixelfold.operators import focal
 from pixelfold.operators.skew import attach
 
+# Merge methods (fixed values).
 METHODS = ("IMPROPHE", "REGRESSION", "STARFM", "NONE")
 
 

@@ -17,6 +17,7 @@ from pixelfold.functions.dates import day_number
 TWO_PI = 2 * math.pi
 DAYS = 365.0
 
+# Names of the seasonal metrics (fixed values).
 METRICS = (
     "DEM", "DLM", "DPS", "DSS", "DMS", "DES", "DEV", "DAV", "DLV", "LTS", "LGS", "LGV",
     "VEM", "VLM", "VPS", "VSS", "VMS", "VES", "VEV", "VAV", "VLV", "VBL", "VGA", "VSA",

@@ -189,6 +189,7 @@ def overview(grid: DataFrame, factor: int, flags: dict[str, Column], keys=("scen
     return cells.select(*keys, "cx", "cy", "r", "g", "b", colour.alias("overlay"))
 
 
+# Optional products (fixed values).
 PRODUCTS = ("DST", "AOD", "WVP", "VZN", "HOT", "OVV")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelfold.functions import kernels
 
+# Aggregating methods (fixed values).
 AGGREGATES = ("AVG", "MODE", "MAX", "MIN", "MED", "Q1", "Q3", "SUM", "RMS")
 
 

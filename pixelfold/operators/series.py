@@ -68,6 +68,7 @@ def sma(df: DataFrame, endmembers: dict[str, list[float]], bands, prefix="frac_"
     return out.withColumn("sma_rmse", F.sqrt(total(errors) / len(bands)))
 
 
+# Sensors that can be adjusted (fixed values).
 ADJUSTABLE = (
     "SEN2A", "SEN2B", "SEN2C", "SEN2D", "LND04", "LND05", "LND07", "LND08", "LND09", "MOD01", "MOD02",
 )

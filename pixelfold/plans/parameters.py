@@ -9,6 +9,7 @@ from pixelfold.operators import interpolate, merge, polar, resample, series
 from pixelfold.functions.kernels import HALF_TAPS
 from pixelfold.functions.student import TAILS
 
+# Accepted sensors and formats (fixed values).
 SENSORS = ("SEN2A", "SEN2B", "SEN2C")
 TARGETS = (*SENSORS, "SEN2L")
 FORMATS = ("GTiff", "COG", "parquet")

@@ -8,9 +8,9 @@ from pixelfold.plans.scene_preparation import prepare_scenes
 from pixelfold.plans.series_analysis import analyse_series
 from pixelfold.queries import fixtures as fx
 from pixelfold.queries.analysis import _trend_sql
-from pixelfold.queries.base import query
+from pixelfold.queries.base import query, r
 from pixelfold.queries.fixtures import FIRST, LAST, ctes
-from pixelfold.queries.rasters import scattering_lut
+from pixelfold.queries.rasters import CLOUD_STEPS, grid_sql, scattering_lut
 
 
 def cube(spark, sf):
@@ -42,9 +42,40 @@ def _analyse(spark, sf):
     return products["NDVI_TRY"]
 
 
-@query("prepare_scenes")
+def _near(flag, radius):
+    """Pixels within ``radius`` pixels of a flagged one."""
+    return f"""SELECT DISTINCT a.scene_id, a.x, a.y FROM fl a JOIN fl b ON a.scene_id = b.scene_id
+  AND (a.x - b.x)*(a.x - b.x) + (a.y - b.y)*(a.y - b.y) <= {radius}::double*{radius} WHERE b.{flag}"""
+
+
+def _set(name, value):
+    return f"CASE WHEN {name}.x IS NOT NULL THEN {value} ELSE 0 END"
+
+
+@query("prepare_scenes", ctes(
+    "grid", **CLOUD_STEPS,
+    fl="SELECT f.*, g.class = 1 AS cirrus, g.class = 3 AS snow, NOT f.cloud AND m.top - f.nir > 0.1 AS shadow "
+       "FROM f JOIN m USING (scene_id, x, y) JOIN grid g USING (scene_id, x, y)",
+    nc=_near("cloud", 2), ni=_near("cirrus", 0), ns=_near("shadow", 1), nw=_near("snow", 1.5),
+    points="SELECT DISTINCT x*1000 + y AS item_id, 10.0::double + x*0.01::double AS lon, 50.0::double - y*0.01::double AS lat FROM grid",
+    pg=grid_sql("GLANCE7")) + f"""
+SELECT g.scene_id, g.x, g.y, {r('g."BLUE"')} AS "BLUE", {r('g."GREEN"')} AS "GREEN", {r('g."RED"')} AS "RED",
+  2*CASE WHEN fl.cloud THEN 2 WHEN ni.x IS NOT NULL THEN 3 WHEN nc.x IS NOT NULL THEN 1 ELSE 0 END + {_set('ns', 8)} + {_set('nw', 16)} AS qai,
+  pg.zone, printf('X%04d_Y%04d', floor(pg.px/pg.size)::int, floor(-pg.py/pg.size)::int) AS tile
+FROM grid g JOIN fl USING (scene_id, x, y) JOIN pg ON pg.item_id = g.x*1000 + g.y
+LEFT JOIN nc USING (scene_id, x, y) LEFT JOIN ni USING (scene_id, x, y) LEFT JOIN ns USING (scene_id, x, y) LEFT JOIN nw USING (scene_id, x, y)""")
 def _prepare(spark, sf):
-    """The whole scene chain with its defaults; its parts are checked one by one."""
+    """Flagged, buffered and gridded scenes; the corrections have queries of their own."""
+    placed = fx.grid(spark, sf).withColumns({"lon": F.lit(10.0) + F.col("x") * 0.01, "lat": F.lit(50.0) - F.col("y") * 0.01})
+    out = prepare_scenes(
+        placed, cloud_threshold=0.02, shadow_threshold=0.1, cloud_buffer=40, shadow_buffer=20, snow_buffer=30,
+        max_cloud_cover_frame=100, max_cloud_cover_tile=100, do_atmo=False, do_topo=False, do_brdf=False)["TOA"]
+    return out.select("scene_id", "x", "y", "BLUE", "GREEN", "RED", "qai", "zone", "tile")
+
+
+@query("prepare_scenes_full")
+def _prepare_full(spark, sf):
+    """All corrections on; the rows are checked by the tests of its parts."""
     angled = fx.grid(spark, sf).withColumns({
         "lon": F.lit(10.0) + F.col("x") * 0.01, "lat": F.lit(50.0) - F.col("y") * 0.01,
         "sun_zenith": F.lit(35.0), "sun_azimuth": F.lit(150.0), "view_zenith": F.lit(5.0), "rel_azimuth": F.lit(60.0)})

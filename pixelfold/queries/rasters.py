@@ -46,7 +46,7 @@ def _zones_sql(zones):
     return f"SELECT * FROM (VALUES {rows}) z(i, zone, lat0, lon0, w, s, e, n)"
 
 
-def _grid_sql(name):
+def grid_sql(name):
     zones, size, kind = prj.GRIDS[name]
     scale = "sqrt(2/greatest(1+cc, 1e-12))" if kind == "equal_area" else "CASE WHEN sin(acos(cc)) < 1e-12 THEN 1 ELSE acos(cc)/sin(acos(cc)) END"
     return f"""
@@ -59,7 +59,7 @@ SELECT item_id, lon, lat, zone, R*k*cos(phi)*sin(lam) AS px, R*k*(cos(phi0)*sin(
       GROUP BY item_id, lon, lat)))"""
 
 
-@query("project_grid", ctes("points", a=_grid_sql("GLANCE7"), b=_grid_sql("EQUI7"),
+@query("project_grid", ctes("points", a=grid_sql("GLANCE7"), b=grid_sql("EQUI7"),
                             c="SELECT 'GLANCE7' AS grid, * FROM a UNION ALL SELECT 'EQUI7', * FROM b") + f"""
 SELECT grid, item_id, zone, {r('px/1000')} AS km_x, {r('py/1000')} AS km_y,
        floor(px/size)::int AS tile_x, floor(-py/size)::int AS tile_y FROM c""")
@@ -192,12 +192,16 @@ FROM (SELECT *, ("BNIR"-"RED")/nullif("BNIR"+"RED",0) AS ndvi, ("GREEN"-"SWIR1")
   FROM (SELECT *, ("BLUE"+"GREEN"+"RED")/3 AS m FROM grid))"""
 
 
-@query("classify_clouds", ctes(
-    "grid", c=_CLOUDS,
-    lim="SELECT scene_id, quantile_cont(probability, 0.825) AS lim FROM c WHERE NOT potential GROUP BY 1",
-    f="SELECT c.*, potential AND probability > coalesce(lim, 0) + 0.02 AS cloud FROM c LEFT JOIN lim USING (scene_id)",
-    m="""SELECT a.scene_id, a.x, a.y, max(b.nir) AS top FROM f a JOIN f b ON a.scene_id = b.scene_id
-  AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL""") + f"""
+CLOUD_STEPS = {
+    "c": _CLOUDS,
+    "lim": "SELECT scene_id, quantile_cont(probability, 0.825) AS lim FROM c WHERE NOT potential GROUP BY 1",
+    "f": "SELECT c.*, potential AND probability > coalesce(lim, 0) + 0.02 AS cloud FROM c LEFT JOIN lim USING (scene_id)",
+    "m": """SELECT a.scene_id, a.x, a.y, max(b.nir) AS top FROM f a JOIN f b ON a.scene_id = b.scene_id
+  AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL""",
+}
+
+
+@query("classify_clouds", ctes("grid", **CLOUD_STEPS) + f"""
 SELECT f.scene_id, f.x, f.y, {r('probability')} AS probability, cloud, NOT cloud AND m.top - f.nir > 0.1 AS shadow
 FROM f JOIN m USING (scene_id, x, y)""")
 def _clouds(spark, sf):

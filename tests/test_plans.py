@@ -129,11 +129,11 @@ def test_degrading_takes_the_nearest_flags(spark):
 
 
 def test_products_are_written_by_tile(spark, cube, tmp_path):
-    p = SeriesParameters(date_range=RANGE, name="bologna", fail_if_empty=True)
+    p = SeriesParameters(date_range=RANGE, name="valley", fail_if_empty=True)
     products = analyse_series(cube, date_range=RANGE, output_tss=True, output_fby=True)
     pixels = cube.select("pixel_id", "tile_x", "tile_y").distinct()
     paths = write_products(products, pixels, str(tmp_path), p)
-    assert paths["NDVI_TSS"].endswith("/bologna/NDVI_TSS") and (tmp_path / "bologna" / "NDVI_FBY" / "tile_x=1" / "tile_y=0").is_dir()
+    assert paths["NDVI_TSS"].endswith("/valley/NDVI_TSS") and (tmp_path / "valley" / "NDVI_FBY" / "tile_x=1" / "tile_y=0").is_dir()
     back = spark.read.parquet(paths["NDVI_TSS"])
     assert back.count() == 2 and set(back.columns) == {"pixel_id", "stack", "tile_x", "tile_y"}
     assert cube_name().startswith("cube-") and cube_name("x") == "x"

@@ -61,7 +61,7 @@ def point_in_ring(lon: Column, lat: Column, ring) -> Column:
         if y1 == y2:
             continue
         spans = (lat >= min(y1, y2)) & (lat < max(y1, y2))
-        edge_lon = F.lit(x1) + (lat - y1) * ((x2 - x1) / (y2 - y1))
+        edge_lon = F.lit(x2 - x1) * (lat - y1) / F.lit(y2 - y1) + F.lit(x1)
         crossings.append(F.when(spans & (lon < edge_lon), 1).otherwise(0))
     total = reduce(lambda a, b: a + b, crossings, F.lit(0))
     return total % 2 == 1

@@ -133,7 +133,8 @@ def join_quality(df: DataFrame, main="BOA", quality: str | None = "QAI", key=ACQ
     """Main product rows with the flags of the quality product of the same acquisition.
 
     Quality rows of one acquisition are folded to one word first, so the join
-    never multiplies rows.  Without a quality product, or without its row, the
+    never multiplies rows.  Both sides grow with the data, hence a merge join
+    rather than a broadcast chosen from compressed file sizes.  Without a quality product, or without its row, the
     flags are NULL and only nodata can be screened.
     """
     product = df.where(F.col("product") == main).drop("product", "qai")
@@ -143,7 +144,7 @@ def join_quality(df: DataFrame, main="BOA", quality: str | None = "QAI", key=ACQ
         df.where((F.col("product") == quality) & F.col("qai").isNotNull())
         .groupBy(*key).agg(F.bit_or("qai").alias("qai"))
     )
-    return product.join(flags, list(key), "left")
+    return product.join(flags.hint("merge"), list(key), "left")
 
 
 def prefer_improphe(original: DataFrame, enhanced: DataFrame, use: bool,
@@ -157,7 +158,7 @@ def prefer_improphe(original: DataFrame, enhanced: DataFrame, use: bool,
         return original.withColumn("enhanced", F.lit(False))
     values = [value] if isinstance(value, str) else list(value)
     better = enhanced.groupBy(*key).agg(F.lit(True).alias("_found"), *[F.max(v).alias(f"_{v}") for v in values])
-    joined = original.join(better, list(key), "left")
+    joined = original.join(better.hint("merge"), list(key), "left")
     return (
         joined.withColumns({v: F.coalesce(f"_{v}", v) for v in values})
         .withColumn("enhanced", F.col("_found").isNotNull())

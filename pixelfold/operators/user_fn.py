@@ -24,7 +24,8 @@ def scatter_parts(df: DataFrame, keys, part_rows=PART_ROWS, spread=None) -> Data
     """
     keys = list(keys)
     spread = spread or df.columns
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(part_rows))).cast("int").alias("_parts"))
+    counted = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(part_rows))).cast("int").alias("_parts"))
+    sizes = counted.where(F.col("_parts") > 1)  # few: only keys that have to be cut
     sized = attach(df, sizes, keys, spread)
     # the input partition spreads copies of one row, and is the same when a task is retried
     place = F.xxhash64(F.spark_partition_id(), *spread)

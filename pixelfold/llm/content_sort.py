@@ -167,7 +167,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     folder once, and only those at partition edges are compared again.
     """
     ordered = _sorted(docs, id_col, text_col, carry=True)
-    schema = T.StructType([ordered.schema["row"]]).add("id", "long").add("sha", "string").add("edge", "boolean").add("part", "int")
+    schema = T.StructType([ordered.schema["row"]]).add("id", "long").add("sha", "string").add("edge", "boolean").add("part", "integer")
     heads = cut_lineage(ordered.mapInArrow(_heads, schema))
     first = (heads.where("edge").groupBy("sha")
              .agg(F.min_by("part", F.struct(F.col("id").isNull(), "id", "part")).alias("home")))

@@ -67,7 +67,9 @@ def mixing_plan(items: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
     budgets = plan.select("key", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
     # what is left over is below one source's size, so every source with words has a cut
     cuts = cut_points(items, budgets)
-    return plan.join(cuts, "key", "left").select("key", "source_size", "target", "whole", "cut")
+    # no document is taken more than ``most`` times, one without words neither
+    cut = F.when(F.col("whole") < most, F.col("cut"))
+    return plan.join(cuts, "key", "left").select("key", "source_size", "target", "whole", cut.alias("cut"))
 
 
 def copies() -> Column:

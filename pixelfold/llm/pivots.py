@@ -13,8 +13,11 @@ from pixelfold.llm.components import connected_components
 from pixelfold.llm.shared import cut_lineage, flipped
 
 THRESHOLD = 0.93
-# Reference points, drawn from the vectors; their number bounds what is sent to the driver and back.
+# Reference points, at most.
 PIVOTS = 128
+# Vectors they are drawn from, at most, and the cosine from which two are too close.
+SAMPLE = 2048
+APART = 0.7
 # Nearest pivots that describe a vector.
 PREFIX = 6
 # Shared pivots from which a pair is verified.
@@ -54,13 +57,26 @@ def _units(id_col: str, vector_col: str, label_col: str):
     return run
 
 
-def choose_pivots(classes: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """At most ``count`` vectors, chosen by hash, as reference points, by number of components."""
-    rows = classes.select("vec", F.length("vec").alias("n")).orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
-    out: dict[int, list] = {}
+def choose_pivots(classes: DataFrame, count: int = PIVOTS, sample: int = SAMPLE, apart: float = APART) -> dict[int, np.ndarray]:
+    """At most ``count`` reference points far from each other, by number of components.
+
+    They come from at most ``sample`` vectors chosen by hash: the next point is the one
+    whose nearest point so far is farthest, until all are nearer than ``apart`` (cosine).
+    So a large group of near copies supplies one point, not most of them.
+    """
+    rows = classes.select("vec", F.length("vec").alias("n")).orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()
+    by_size: dict[int, list] = {}
     for r in rows:
-        out.setdefault(r["n"], []).append(np.frombuffer(bytes(r["vec"])))
-    return {n: np.array(p) for n, p in out.items()}
+        by_size.setdefault(r["n"], []).append(np.frombuffer(bytes(r["vec"])))
+    out = {}
+    for n, vectors in by_size.items():
+        drawn = np.array(vectors)
+        chosen, nearest = [0], drawn @ drawn[0]
+        while len(chosen) < count and nearest.min() < apart:
+            chosen.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, drawn @ drawn[chosen[-1]])
+        out[n] = drawn[chosen]
+    return out
 
 
 def permutation(unit: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:

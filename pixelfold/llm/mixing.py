@@ -69,7 +69,8 @@ def mixing_plan(items: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
     cuts = cut_points(items, budgets)
     # no document is taken more than ``most`` times, one without words neither
     cut = F.when(F.col("whole") < most, F.col("cut"))
-    return plan.join(cuts, "key", "left").select("key", "source_size", "target", "whole", cut.alias("cut"))
+    # written, so that a join with it stands directly on two exchanges and a hot source can be split
+    return cut_lineage(plan.join(cuts, "key", "left").select("key", "source_size", "target", "whole", cut.alias("cut")))
 
 
 def copies() -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelfold.functions import qai as q
 from pixelfold.functions.dates import day_number
-from pixelfold.session import cut_lineage
 
 
 def decode_qai(df: DataFrame, col="qai") -> DataFrame:
@@ -29,52 +30,47 @@ def _line(before_day, before, after_day, after, day):
     return before + (after - before) * share
 
 
-def _one_pass(df: DataFrame, above: float, key, date, value) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(date)
-    whole = Window.partitionBy(key)
-    day = F.col("_day")
-    stepped = df.withColumn("_day", day_number(date)).withColumns({
-        "_d0": F.lag("_day").over(order), "_v0": F.lag(value).over(order),
-        "_d1": F.lead("_day").over(order), "_v1": F.lead(value).over(order),
-    })
-    residual = F.col(value) - _line(F.col("_d0"), F.col("_v0"), F.col("_d1"), F.col("_v1"), day)
-    measured = stepped.withColumn("_r", F.abs(residual))
-    judged = measured.withColumns({
-        "_noise": F.sqrt(F.avg(F.col("_r") * F.col("_r")).over(whole)),
-        "_worst": F.max(F.col("_r")).over(whole),
-    })
-    candidate = (F.col("_r") == F.col("_worst")) & (F.col("_r") > F.lit(above) * F.col("_noise"))
-    marked = judged.withColumn("_cut", F.min(F.when(candidate, F.col("_day"))).over(whole))
-    return marked.where(F.col("_cut").isNull() | (F.col("_cut") != day)).select(*df.columns)
-
+def calm(days: np.ndarray, values: np.ndarray, above: float) -> np.ndarray:
+    """Positions left when no residual of a series exceeds ``above`` times its noise.
 
-PASSES_PER_PLAN = 3
+    Days rise; a missing value is NaN, judges nothing and stays.
+    """
+    left = np.arange(len(days))
+    while len(left) > 2:
+        d, v = days[left], values[left]
+        share = (d[1:-1] - d[:-2]) / (d[2:] - d[:-2])
+        residual = np.abs(v[1:-1] - (v[:-2] + (v[2:] - v[:-2]) * share))
+        if np.isnan(residual).all():
+            break
+        noise = np.sqrt(np.nanmean(residual * residual))
+        worst = int(np.nanargmax(residual))  # the earliest on ties
+        if not residual[worst] > above * noise:
+            break
+        left = np.delete(left, worst + 1)
+    return left
 
 
-def noise_filter(df: DataFrame, above: float, max_iter=30, key="pixel_id", date="date", value="value") -> DataFrame:
-    """Iteratively remove the largest outlier of every series.
+def noise_filter(df: DataFrame, above: float, key="pixel_id", date="date", value="value") -> DataFrame:
+    """Iteratively remove the largest outlier of every series until none is left.
 
     The residual of a triplet's middle value from the line between its
     neighbours gives the noise (RMSE); each pass drops, per pixel, the largest
     residual above ``above`` times the noise, the earliest on ties.  A series
-    has one row per date, which bounds a window; all passes share one exchange.
-    Long runs are cut after every few passes by a reliable checkpoint and end
-    when nothing was removed.
+    has one row per date, which bounds it; each is brought together by one
+    shuffle and worked to its own end, so a calm pixel does not wait for others.
     """
     if not above:
         return df
-    done = 0
-    while done < max_iter:
-        for _ in range(min(PASSES_PER_PLAN, max_iter - done)):
-            before = df
-            df = _one_pass(df, above, key, date, value)
-            done += 1
-        if done >= max_iter:
-            break
-        df, before_rows = cut_lineage(df), before.count()
-        if df.count() == before_rows:
-            break
-    return df
+
+    @F.pandas_udf("array<int>")
+    def keep(days: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([calm(np.asarray(d, float), np.asarray(v, float), above).astype("int32") for d, v in zip(days, values)])
+
+    rows = F.array_sort(F.collect_list(F.struct(
+        day_number(date).alias("day"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"), F.struct("*").alias("row"))))
+    series = df.groupBy(F.col(key).alias("_key")).agg(rows.alias("rows"))
+    judged = series.withColumn("left", keep(F.col("rows.day"), F.col("rows.v")))
+    return judged.select(F.explode(F.transform("left", lambda i: F.get("rows", i)["row"])).alias("row")).select("row.*")
 
 
 def noise_restore(df: DataFrame, below: float, key="pixel_id", date="date", value="value", kept="kept") -> DataFrame:

@@ -51,31 +51,32 @@ def filter_bbox(scenes: DataFrame, west, south, east, north) -> DataFrame:
     )
 
 
-def point_in_ring(lon: Column, lat: Column, ring) -> Column:
-    """Ray-crossing parity against the closed ring of (lon, lat) corners."""
-    corners = [(float(a), float(b)) for a, b in ring]
-    if corners[0] != corners[-1]:
-        corners.append(corners[0])
+def point_in_ring(lon: Column, lat: Column, *rings) -> Column:
+    """Ray-crossing parity against all edges of closed rings of (lon, lat) corners; a ring inside another is a hole."""
     crossings = []
-    for (x1, y1), (x2, y2) in zip(corners, corners[1:]):
-        if y1 == y2:
-            continue
-        spans = (lat >= min(y1, y2)) & (lat < max(y1, y2))
-        edge_lon = F.lit(x2 - x1) * (lat - y1) / F.lit(y2 - y1) + F.lit(x1)
-        crossings.append(F.when(spans & (lon < edge_lon), 1).otherwise(0))
+    for ring in rings:
+        corners = [(float(a), float(b)) for a, b, *_ in ring]
+        if corners[0] != corners[-1]:
+            corners.append(corners[0])
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:]):
+            if y1 == y2:
+                continue
+            spans = (lat >= min(y1, y2)) & (lat < max(y1, y2))
+            edge_lon = F.lit(x2 - x1) * (lat - y1) / F.lit(y2 - y1) + F.lit(x1)
+            crossings.append(F.when(spans & (lon < edge_lon), 1).otherwise(0))
     total = reduce(lambda a, b: a + b, crossings, F.lit(0))
     return total % 2 == 1
 
 
-def filter_aoi(df: DataFrame, ring, lon="lon", lat="lat") -> DataFrame:
-    """Rows whose point lies inside a polygon ring.
+def filter_aoi(df: DataFrame, *rings, lon="lon", lat="lat") -> DataFrame:
+    """Rows whose point lies inside a polygon, given by its ring or rings.
 
-    The ring's bounding box is a plain range predicate, so it reaches the scan.
+    The bounding box is a plain range predicate, so it reaches the scan.
     """
-    xs = [float(p[0]) for p in ring]
-    ys = [float(p[1]) for p in ring]
+    xs = [float(p[0]) for ring in rings for p in ring]
+    ys = [float(p[1]) for ring in rings for p in ring]
     boxed = df.where(F.col(lon).between(min(xs), max(xs)) & F.col(lat).between(min(ys), max(ys)))
-    return boxed.where(point_in_ring(F.col(lon), F.col(lat), ring))
+    return boxed.where(point_in_ring(F.col(lon), F.col(lat), *rings))
 
 
 def filter_tile_range(df: DataFrame, x_range=DEFAULT_TILE_RANGE, y_range=DEFAULT_TILE_RANGE) -> DataFrame:

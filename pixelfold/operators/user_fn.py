@@ -11,41 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfold.operators.skew import attach
 
-PART_ROWS = 1_000_000
+def scatter_parts(df: DataFrame, keys, parts=1, spread=None) -> DataFrame:
+    """Add ``part``: each key is cut into ``parts`` pieces by a hash of its rows.
 
-
-def scatter_parts(df: DataFrame, keys, part_rows=PART_ROWS, spread=None) -> DataFrame:
-    """Add ``part``: each key is cut into pieces of about ``part_rows`` rows.
-
-    The number of pieces follows the key's own count, so a hot key is spread
-    over as many tasks as it needs and a small key stays whole.
+    The caller states the number; it does not depend on the size of the data, so
+    the calls of a user function do not either.  Copies of one row are spread by
+    the input partition, which is the same when a task is retried.
     """
-    keys = list(keys)
-    spread = spread or df.columns
-    counted = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(part_rows))).cast("int").alias("_parts"))
-    sizes = counted.where(F.col("_parts") > 1)  # few: only keys that have to be cut
-    sized = attach(df, sizes, keys, spread)
-    # the input partition spreads copies of one row, and is the same when a task is retried
-    place = F.xxhash64(F.spark_partition_id(), *spread)
-    return sized.withColumn("part", F.pmod(place, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    if parts == 1:
+        return df.withColumn("part", F.lit(0))
+    place = F.xxhash64(F.spark_partition_id(), *(spread or df.columns))
+    return df.withColumn("part", F.pmod(place, F.lit(int(parts))).cast("int"))
 
 
 def apply_user_fn(df: DataFrame, keys, fn: Callable, schema: str, context: dict | None = None,
-                  part_rows=PART_ROWS, spread=None) -> DataFrame:
+                  parts=1, spread=None) -> DataFrame:
     """Run ``fn(frame, context)`` on every scatter unit and gather one table.
 
-    A unit is a key, or a part of it when the key has more than ``part_rows``
-    rows; ``frame`` then holds that part and a later gather merges the results.
+    A unit is a whole key, whatever its size.  For keys that do not fit a task
+    the caller asks for ``parts`` pieces per key; ``frame`` then holds one
+    piece and a later gather merges the results.
     """
     context = dict(context or {})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return fn(frame, context)
 
-    parted = scatter_parts(df, keys, part_rows, spread)
-    return parted.groupBy(*keys, "part").applyInPandas(run, schema)
+    return scatter_parts(df, keys, parts, spread).groupBy(*keys, "part").applyInPandas(run, schema)
 
 
 def map_user_fn(df: DataFrame, fn: Callable, schema: str, context: dict | None = None) -> DataFrame:
@@ -65,16 +58,17 @@ def expand_user_fn(df: DataFrame, fn: Callable, schema: str, columns) -> DataFra
         def eval(self, *values):
             yield from fn(*values)
 
-    table_function = F.udtf(Expand, returnType=schema)
+    table_function = F.udtf(Expand, returnType=schema, useArrow=True)
     return df.lateralJoin(table_function(*[F.col(c).outer() for c in columns]))
 
 
-def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double", fan_in=10_000, levels=2, name="result") -> DataFrame:
+def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double", parts=(16,), name="result") -> DataFrame:
     """User-supplied gather: one result per key from a function of a value series.
 
     ``fn`` must be associative and commutative (its result can be its input
-    again).  It first merges pieces of at most about ``fan_in`` values, then
-    the merged pieces, ``levels`` times, so no call sees a whole hot key.
+    again).  Each level of ``parts`` cuts a key into that many pieces and merges
+    every piece; the last merge sees one value per piece of the last level.
+    Levels and pieces are the caller's, not the data's.
     """
     keys = list(keys)
 
@@ -82,8 +76,9 @@ def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double"
         return fn(values)
 
     gather = F.pandas_udf(merge, returns)
-    current = df.select(*keys, F.col(column).alias("_v"))
-    for _ in range(levels):
-        parted = scatter_parts(current, keys, fan_in)
-        current = parted.groupBy(*keys, "part").agg(gather("_v").alias("_v")).drop("part")
+    current = df.select(*keys, F.col(column).alias("_v"), F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()).alias("_h"))
+    for pieces in parts:
+        # a piece of this level lies wholly in one piece of the next if the next number divides this one
+        piece = F.pmod("_h", F.lit(int(pieces))).alias("_h")
+        current = current.select(*keys, "_v", piece).groupBy(*keys, "_h").agg(gather("_v").alias("_v"))
     return current.groupBy(*keys).agg(gather("_v").alias(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,15 @@ from pixelfold.session import scratch_path
 KEY = ["scene_id", "x", "y"]
 
 
-def ring_of(aoi) -> list:
-    """Outer ring of a GeoJSON polygon feature, given as text or dict."""
+def rings_of(aoi) -> list:
+    """All rings of a GeoJSON polygon or multi-polygon feature, given as text or dict; inner rings are holes."""
     feature = json.loads(aoi) if isinstance(aoi, str) else aoi
     geometry = feature.get("geometry", feature)
-    if geometry.get("type") != "Polygon":
-        raise ValueError("the area of interest must be a polygon")
-    return geometry["coordinates"][0]
+    if geometry.get("type") == "Polygon":
+        return list(geometry["coordinates"])
+    if geometry.get("type") == "MultiPolygon":
+        return [ring for polygon in geometry["coordinates"] for ring in polygon]
+    raise ValueError("the area of interest must be a polygon")
 
 
 def flag_masks(grid: DataFrame, p: SceneParameters) -> DataFrame:
@@ -37,12 +40,13 @@ def flag_masks(grid: DataFrame, p: SceneParameters) -> DataFrame:
         "cirrus": F.coalesce(known == masks.CIRRUS, F.lit(False)), "snow": F.coalesce(known == masks.SNOW, F.lit(False))})
     buffers = {"cloud": p.cloud_buffer, "cirrus": p.cirrus_buffer, "shadow": p.shadow_buffer, "snow": p.snow_buffer}
     near = masks.buffer_masks(flagged, buffers, p.resolution)
-    first = F.col(band_columns(grid.columns)[0])
+    bands = [F.col(b) for b in band_columns(grid.columns)]
+    any_band = lambda test: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(test(b), F.lit(False)) for b in bands]), F.lit(False))
     # states and bits of the quality word, in the layout of functions.qai
     cloud_state = F.when(F.col("cloud"), 2).when(F.col("near_cirrus"), 3).when(F.col("near_cloud"), 1).otherwise(0)
     bit = lambda condition, value: F.when(condition, value).otherwise(0)
-    word = (bit(first.isNull(), 1) + cloud_state * 2 + bit(F.col("near_shadow"), 8) + bit(F.col("near_snow"), 16)
-            + bit(first < 0, 256) + bit(first > 1, 512))
+    word = (bit(bands[0].isNull(), 1) + cloud_state * 2 + bit(F.col("near_shadow"), 8) + bit(F.col("near_snow"), 16)
+            + bit(any_band(lambda b: b < 0), 256) + bit(any_band(lambda b: b > 1), 512))
     return near.withColumn("qai", word.cast("int")).drop(*[f"near_{n}" for n in buffers])
 
 
@@ -107,21 +111,24 @@ def place(df: DataFrame, p: SceneParameters, origin_xy) -> DataFrame:
 
 def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFrame | None = None,
                    external_aod: DataFrame | None = None, eight_bit=(), input_resolution=None, origin_xy=(0.0, 0.0),
+                   dst_reach=600, impulse_limit=32.0, adjacency_reach=3, adjacency_strength=0.1, overview_factor=10,
                    **parameters) -> dict[str, DataFrame]:
     """Products of the preparation: ``BOA`` (or ``TOA``) with ``qai``, and the optional ones.
 
     ``grid``: ``scene_id, x, y, lon, lat``, band roles, ``dem``, ``sun_zenith,
     sun_azimuth, view_zenith, rel_azimuth``; optional ``class`` and ``wvp``.
     Rasters are resampled first when ``input_resolution`` differs from ``resolution``.
+    Distances reach ``dst_reach`` metres; the other limits (8-bit impulse, adjacency in
+    pixels and strength, overview factor) are parameters too.
     ``coarse`` holds further bands on cells of 2x2 pixels (``scene_id, cx, cy``).
     The flagged scenes are written to the shared folder when this is called;
     everything after that is lazy.
     """
     p = read_parameters(SceneParameters, parameters)
     if p.aoi is not None:
-        grid = select.filter_aoi(grid, ring_of(p.aoi))
+        grid = select.filter_aoi(grid, *rings_of(p.aoi))
     if eight_bit and p.impulse_noise:
-        clean = masks.impulse_noise(grid, 32.0, list(eight_bit))
+        clean = masks.impulse_noise(grid, float(impulse_limit), list(eight_bit))
         grid = grid.drop(*eight_bit).join(clean, KEY)
     if input_resolution:
         grid = regrid(grid, p.resolution / input_resolution, p.resampling, band_columns(grid.columns))
@@ -134,17 +141,18 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
         flagged = stage(flagged.join(merged, KEY, "left"), "merged")
     bands = band_columns(flagged.columns)
     hazy = reflectance.hot(flagged)
-    corrected = correct(flagged, p, lut, bands)
+    corrected = correct(flagged, p, lut, bands, adjacency_reach, adjacency_strength)
     if p.erase_clouds:
         corrected = masks.erase_clouds(corrected, bands)
     if p.buffer_nodata:
         corrected = masks.buffer_nodata(corrected, bands)
     tiled = place(corrected, p, origin_xy)
     tiled = masks.cloud_cover_tile(tiled, p.max_cloud_cover_tile, ("scene_id", "zone", "tile_x", "tile_y"), F.col("cloud") | F.col("cirrus"))
-    out = {"BOA" if p.do_atmo else "TOA": tiled.drop("cloud", "cirrus", "shadow", "snow")}
+    # without coefficients nothing was corrected
+    out = {"BOA" if p.do_atmo and lut is not None else "TOA": tiled.drop("cloud", "cirrus", "shadow", "snow")}
     coded = flagged.withColumn("class", F.when(F.col("cloud"), masks.OPAQUE).when(F.col("shadow"), masks.SHADOW).when(F.col("snow"), masks.SNOW))
     if p.output_dst:
-        out["DST"] = masks.distance_to_mask(coded.select(*KEY, "class"), (masks.OPAQUE, masks.SHADOW, masks.SNOW), 600, p.resolution)
+        out["DST"] = masks.distance_to_mask(coded.select(*KEY, "class"), (masks.OPAQUE, masks.SHADOW, masks.SNOW), dst_reach, p.resolution)
     if p.output_aod:
         aod = reflectance.estimate_aod(flagged, None if p.do_aod else external_aod)
         out["AOD"] = attach(flagged.select(*KEY), aod, ["scene_id"], ["x", "y"])
@@ -156,7 +164,7 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
         out["HOT"] = hazy.select(*KEY, "hot")
     if p.output_ovv:
         first = F.col(bands[0])
-        out["OVV"] = reflectance.overview(flagged, 10, {
+        out["OVV"] = reflectance.overview(flagged, overview_factor, {
             "cloud": F.col("cloud"), "cirrus": F.col("cirrus"), "shadow": F.col("shadow"), "snow": F.col("snow"),
             "saturated": first > 1, "subzero": first < 0})
     return out

@@ -55,10 +55,26 @@ def spiky(spark, sf):
     return fx.obs(spark, sf).select("pixel_id", "date", (v * v * v * v).alias("value"))
 
 
-@query("noise_filter", ctes("obs", s=_spiky(), p1=_noise_pass("s"), p2=_noise_pass("p1"))
-       + f"SELECT pixel_id, {d('date')} AS date, {r('value')} AS value FROM p2")
+# every pass drops one value from each series that still has an outlier
+_NOISE = f"""
+WITH RECURSIVE {ctes("obs", s=_spiky()).strip().removeprefix("WITH ")}, passes AS (
+  SELECT 0 AS n, pixel_id, date, value FROM s
+  UNION ALL
+  SELECT n + 1, pixel_id, date, value FROM (
+  SELECT *, min(CASE WHEN res = worst AND res > 3 * noise THEN date END) OVER (PARTITION BY pixel_id) AS cut FROM (
+    SELECT *, sqrt(avg(res*res) OVER (PARTITION BY pixel_id)) AS noise, max(res) OVER (PARTITION BY pixel_id) AS worst FROM (
+      SELECT *, abs(value - (v0 + (v1 - v0)*((date - d0)::double/(d1 - d0)))) AS res FROM (
+        SELECT *, lag(value) OVER w AS v0, lag(date) OVER w AS d0, lead(value) OVER w AS v1, lead(date) OVER w AS d1
+        FROM passes WINDOW w AS (PARTITION BY pixel_id ORDER BY date)))))
+  WHERE cut IS NOT NULL AND cut <> date
+)
+SELECT pixel_id, {d('date')} AS date, {r('value')} AS value FROM passes
+JOIN (SELECT pixel_id, max(n) AS n FROM passes GROUP BY pixel_id) USING (pixel_id, n)"""
+
+
+@query("noise_filter", _NOISE)
 def _noise(spark, sf):
-    return quality.noise_filter(spiky(spark, sf), 3.0, max_iter=2)
+    return quality.noise_filter(spiky(spark, sf), 3.0)
 
 
 @query("noise_restore", ctes("obs", k=f"SELECT pixel_id, date, value, {_clear()} AS kept FROM obs", n="""

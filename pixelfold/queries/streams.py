@@ -42,21 +42,18 @@ def _screen(spark, sf):
     return so.replay(clean.select("event_id", "pixel_id", "ts", "value", "qai"), "screen")
 
 
-_DONE = "(SELECT max(ts) - interval 1 day FROM stream_obs)"
-
-
 @query("stream_fold_tumbling", ctes("stream_obs") + f"""
 SELECT pixel_id, {t('day')} AS "start", {t('day + interval 1 day')} AS "end", {r('avg(value)')} AS value, count(value) AS n
-FROM (SELECT *, date_trunc('day', ts)::timestamp AS day FROM stream_obs) WHERE day + interval 1 day <= {_DONE} GROUP BY pixel_id, day""")
+FROM (SELECT *, date_trunc('day', ts)::timestamp AS day FROM stream_obs) GROUP BY pixel_id, day""")
 def _tumbling(spark, sf):
-    return so.replay(so.stream_fold_tumbling(observation_stream(spark, sf)), "fold")
+    return so.replay(so.stream_fold_tumbling(observation_stream(spark, sf)), "fold", ("pixel_id", "start"))
 
 
 @query("stream_moving", ctes("stream_obs") + f"""
 SELECT pixel_id, {t('day')} AS "start", {t('day + interval 2 day')} AS "end", {r('avg(value)')} AS value, count(value) AS n
-FROM (SELECT *, date_trunc('day', ts)::timestamp - to_days(k) AS day FROM stream_obs, (VALUES (0), (1)) v(k)) WHERE day + interval 2 day <= {_DONE} GROUP BY pixel_id, day""")
+FROM (SELECT *, date_trunc('day', ts)::timestamp - to_days(k) AS day FROM stream_obs, (VALUES (0), (1)) v(k)) GROUP BY pixel_id, day""")
 def _moving(spark, sf):
-    return so.replay(so.stream_moving(observation_stream(spark, sf)), "moving")
+    return so.replay(so.stream_moving(observation_stream(spark, sf)), "moving", ("pixel_id", "start"))
 
 
 @query("stream_sink", ctes("stream_obs") + f"""
@@ -126,7 +123,7 @@ def _apply(spark, sf):
         return pd.DataFrame({"pixel_id": [frame["pixel_id"].iloc[0]], "rows": [len(frame)], "total": [scaled.sum()]})
 
     raw = fx.obs_raw(spark, sf).select("pixel_id", "l_orderkey", "l_linenumber", "value")
-    parts = user_fn.apply_user_fn(raw, ["pixel_id"], partial, "pixel_id long, rows long, total double", {"scale": 2.0}, part_rows=250)
+    parts = user_fn.apply_user_fn(raw, ["pixel_id"], partial, "pixel_id long, rows long, total double", {"scale": 2.0}, parts=4)
     return parts.groupBy("pixel_id").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
 
 
@@ -154,7 +151,7 @@ def _expand(spark, sf):
 @query("agg_user_fn", ctes("obs_raw") + f"SELECT pixel_id, {r('sum(value)')} AS result FROM obs_raw GROUP BY 1")
 def _agg(spark, sf):
     raw = fx.obs_raw(spark, sf).select("pixel_id", "value")
-    return user_fn.agg_user_fn(raw, ["pixel_id"], lambda values: float(values.sum()), "value", fan_in=200)
+    return user_fn.agg_user_fn(raw, ["pixel_id"], lambda values: float(values.sum()), "value", parts=(4, 2))
 
 
 @query("write_cube", ctes("obs_raw") + f"""

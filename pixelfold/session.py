@@ -65,7 +65,3 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def bench_cpus() -> str:
-    return os.environ.get("BENCH_CPUS", "8")

@@ -84,10 +84,29 @@ def stream_sink(stream: DataFrame, path: str, checkpoint: str, mode="append", pa
     return writer.start()
 
 
-def replay(stream: DataFrame, label="replay") -> DataFrame:
-    """Run a stream over everything available and read the written table back."""
+def replay(stream: DataFrame, label="replay", groups=()) -> DataFrame:
+    """Run a stream over everything available and read the written table back.
+
+    With ``groups`` the stream is a running aggregate by these columns: every
+    batch writes the groups it changed, under its number, and the last state of
+    each group is read, so windows that are still open at the end are there too.
+    """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = stream_sink(stream, path, checkpoint)
+    if not groups:
+        query = stream_sink(stream, path, checkpoint)
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is repeated replaces its own files
+        batch.write.mode("overwrite").parquet(f"{path}/_n={number}")
+
+    query = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).count():
+        return spark.createDataFrame([], stream.schema)
+    states = spark.read.option("basePath", path).parquet(*[f"{path}/_n=*"])
+    last = states.groupBy(*groups).agg(F.max_by(F.struct(*stream.columns), "_n").alias("row"))
+    return last.select("row.*")

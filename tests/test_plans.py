@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelfold.operators import fold, interpolate, series, trend
 from pixelfold.plans.parameters import SceneParameters, SeriesParameters, read_parameters
-from pixelfold.plans.scene_preparation import prepare_scenes, ring_of
+from pixelfold.plans.scene_preparation import prepare_scenes, rings_of
 from pixelfold.plans.series_analysis import analyse_series, write_products
 from pixelfold.session import shared_dir
 from pixelfold.sinks.writers import cube_name, stac_result, write_cube
@@ -188,7 +188,7 @@ def test_scene_switches_and_products(spark):
     assert erased == {(x, y) for x in (2, 3, 4) for y in (2, 3, 4)}
     assert out["AOD"].count() == 144 and out["WVP"].first().wvp == 1.5
     assert {r.overlay for r in out["OVV"].collect()} >= {"pink", "yellow"}
-    full = prepare_scenes(grid, **flags)["BOA"]
+    full = prepare_scenes(grid, **flags)["TOA"]  # nothing was corrected without coefficients
     assert full.count() == 144 and full.where("RED is null").count() == 0
     assert prepare_scenes(grid, max_cloud_cover_frame=0.1, **flags, **QUIET)["TOA"].count() == 0
 
@@ -196,7 +196,11 @@ def test_scene_switches_and_products(spark):
 def test_scene_extent_resolution_and_own_projection(spark):
     grid = scene(spark)
     box = {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[10.4, 44.4], [10.4, 44.6], [10.5035, 44.6], [10.5035, 44.4], [10.4, 44.4]]]}}
-    assert ring_of(json.dumps(box))[0] == [10.4, 44.4]
+    assert rings_of(json.dumps(box))[0][0] == [10.4, 44.4]
+    hole = [[10.4215, 44.4], [10.4215, 44.6], [10.4415, 44.6], [10.4415, 44.4], [10.4215, 44.4]]
+    parts = {"type": "MultiPolygon", "coordinates": [[*box["geometry"]["coordinates"], hole]]}
+    ringed = [tuple(r) for r in prepare_scenes(grid, aoi=parts, **QUIET)["TOA"].select("lon").distinct().collect()]
+    assert ringed and not any(10.4215 < lon < 10.4415 for lon, in ringed)
     assert prepare_scenes(grid, aoi=json.dumps(box), **QUIET)["TOA"].select("x").distinct().count() == 4
     coarse = prepare_scenes(grid, input_resolution=10, resampling="AVG", resolution=20, **QUIET)["TOA"]
     assert coarse.count() == 36 and coarse.schema["x"].dataType.simpleString() == "int"

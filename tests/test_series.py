@@ -43,7 +43,7 @@ def test_noise_filter_removes_exactly_the_spike(season):
     assert spiked.where("date = '2002-01-18'").count() == season.where("date = '2002-01-18'").count()
     day = season.orderBy("date").collect()[24].date
     spiked = season.withColumn("value", F.when(F.col("date") == F.lit(day), F.col("value") + 0.5).otherwise(F.col("value")))
-    kept = quality.noise_filter(spiked, 3.0, max_iter=1)
+    kept = quality.noise_filter(spiked, 5.0)
     assert [r.date for r in spiked.join(kept, "date", "left_anti").collect()] == [day]
     assert quality.noise_filter(spiked, 0) is spiked
 
@@ -65,6 +65,16 @@ def test_noise_filter_ends_by_itself(season, spark):
     assert sorted(by_day(quality.noise_filter(noisy, 3.0)).items()) == rows and len(rows) < 120
 
 
+def test_noise_filter_keeps_no_outlier(spark):
+    rng = random.Random(5)
+    spikes = set(range(20, 1480, 24))
+    noisy = frame(spark, [(i, rng.gauss(0, 0.1) + (200 + i if i in spikes else 0)) for i in range(1500)])
+    left = by_day(quality.noise_filter(noisy, 3.0))
+    assert len(spikes) > 60 and not spikes & set(left)
+    gaps = noisy.withColumn("value", F.when(F.dayofmonth("date") != 3, F.col("value")))
+    assert quality.noise_filter(gaps, 3.0).where("value is null").count() == gaps.where("value is null").count()
+
+
 def test_noise_restore_brings_back_what_fits(spark):
     df = frame(spark, [(0, 0), (10, 1.1), (20, 2), (30, 2.95), (40, 4), (50, 9)]).withColumn(
         "kept", ~F.col("date").isin(DAY0 + dt.timedelta(days=30), DAY0 + dt.timedelta(days=50)))

@@ -44,9 +44,9 @@ def test_attach_spreads_a_hot_key_and_keeps_all_rows(hot, spark):
 
 def test_parts_of_a_hot_key_are_bounded(spark):
     df = spark.range(30000).select(F.when(F.col("id") < 20000, 0).otherwise(F.col("id") % 100).alias("k"), F.col("id").alias("v"))
-    parts = user_fn.scatter_parts(df, ["k"], part_rows=1000).groupBy("k", "part").count()
+    parts = user_fn.scatter_parts(df, ["k"], parts=20).groupBy("k", "part").count()
     assert parts.agg(F.max("count")).first()[0] < 1400 and parts.agg(F.sum("count")).first()[0] == 30000
-    assert parts.where("k = 5").count() == 1
+    assert user_fn.scatter_parts(df, ["k"]).groupBy("k", "part").count().where("k = 0").first()["count"] == 20100
 
 
 def test_user_function_and_gather_see_every_row(spark):
@@ -56,11 +56,14 @@ def test_user_function_and_gather_see_every_row(spark):
         assert len(frame) < context["limit"]
         return pd.DataFrame({"k": [frame["k"].iloc[0]], "total": [frame["v"].sum()]})
 
-    parts = user_fn.apply_user_fn(df, ["k"], partial, "k long, total long", {"limit": 1400}, part_rows=1000)
+    parts = user_fn.apply_user_fn(df, ["k"], partial, "k long, total long", {"limit": 1400}, parts=20)
     total = {r.k: r.t for r in parts.groupBy("k").agg(F.sum("total").alias("t")).collect()}
     want = {r.k: r.t for r in df.groupBy("k").agg(F.sum("v").alias("t")).collect()}
     assert total == want
-    top = user_fn.agg_user_fn(df, ["k"], lambda s: float(s.max()), "v", fan_in=500)
+    # the result of a unit does not depend on how many rows other keys have
+    whole = user_fn.apply_user_fn(df, ["k"], partial, "k long, total long", {"limit": 10 ** 9})
+    assert {r.k: r.total for r in whole.collect()} == want and whole.count() == len(want)
+    top = user_fn.agg_user_fn(df, ["k"], lambda s: float(s.max()), "v", parts=(16, 4))
     assert {r.k: r.result for r in top.collect()} == {r.k: r.t for r in df.groupBy("k").agg(F.max("v").cast("double").alias("t")).collect()}
 
 

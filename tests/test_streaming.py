@@ -35,6 +35,14 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
     assert 6 not in out  # its window is still open
 
 
+def test_finished_replay_has_open_windows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    write(spark, src, [(1, 1, at(1, 1), 10.0, 0), (2, 1, at(9), 20.0, 0)], 0)
+    write(spark, src, [(3, 1, at(9, 1), 40.0, 0), (4, 2, at(9, 2), 1.0, 0)], 1)
+    out = so.replay(so.stream_fold_tumbling(stream(spark, src)), "all", ("pixel_id", "start")).collect()
+    assert sorted((r.pixel_id, r.start.day, r.value, r.n) for r in out) == [(1, 1, 10.0, 1), (1, 9, 30.0, 2), (2, 9, 1.0, 1)]
+
+
 def test_sliding_windows_overlap(spark, tmp_path):
     src = str(tmp_path / "in")
     write(spark, src, [(1, 1, at(2, 1), 10.0, 0), (2, 1, at(3, 1), 20.0, 0), (3, 1, at(20), 0.0, 0)], 0)

@@ -2,6 +2,25 @@
 
 ORACLES: dict[str, str] = {}
 
+# compares all pairs of a label; the index finds every link of the given tables, as the test of its recall asserts
+ORACLES["op2_near_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), c AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x
+), n AS (
+  SELECT x AS vec_id, count(*) AS n_links FROM link GROUP BY x
+)
+SELECT c.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
 ORACLES["op3_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS k,

@@ -167,7 +167,8 @@ def test_vectors_recall(spark, folder):
     got = {r["vec_id"]: r for r in QUERIES["op2_near_vectors"](spark, folder).collect()}
     assert len(got) == len(rows)
     found = sum(r["n_links"] for r in got.values())
-    assert 0.9 * 2 * len(pairs) <= found <= 2 * len(pairs)
+    # 0.9 is asked for; the given tables have no pair near the threshold, and all are found
+    assert found == 2 * len(pairs)
     for i, r in enumerate(rows):
         assert got[r["vec_id"]]["n_links"] <= links[i]
 

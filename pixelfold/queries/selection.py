@@ -223,11 +223,12 @@ def _sensors(spark, sf):
 
 @query("target_sensor", ctes("obs_raw") + f"""
 SELECT l_orderkey, l_linenumber, 'SEN2L' AS sensor, {r('value')} AS "B4", {r('value*2')} AS "B8"
-FROM obs_raw WHERE sensor IN ('SEN2A', 'SEN2B')""")
+FROM obs_raw""")
 def _target(spark, sf):
     raw = fx.obs_raw(spark, sf).select("l_orderkey", "l_linenumber", "sensor", F.col("value").alias("B4"), (F.col("value") * 2).alias("B8"))
     first = raw.where("sensor = 'SEN2A'").withColumn("B5", F.col("B4") * 3)
-    return op.target_sensor([first, raw.where("sensor = 'SEN2B'")], "SEN2L", ["B4", "B8"])
+    rest = [raw.where("sensor = 'SEN2B'"), raw.where("sensor not in ('SEN2A', 'SEN2B')")]
+    return op.target_sensor([first, *rest], "SEN2L", ["B4", "B8"])
 
 
 @query("join_quality", ctes("obs_raw") + f"""
@@ -271,7 +272,7 @@ def _scatter(spark, sf):
 @query("merge_collections", ctes("scenes", parts="""
 SELECT 0 AS part, item_id, collection, cloud_cover FROM scenes WHERE collection IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
 UNION ALL SELECT 1, item_id, collection, cloud_cover + 1 FROM scenes WHERE cloud_cover <= 60
-UNION ALL SELECT 2, item_id, collection, cloud_cover + 2 FROM scenes WHERE tile < 5""") + """
+UNION ALL SELECT 2, item_id, collection, cloud_cover + 2 FROM scenes""") + """
 SELECT item_id, collection, cloud_cover FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY part) AS n FROM parts) WHERE n = 1""")
 def _merge(spark, sf):
@@ -279,7 +280,7 @@ def _merge(spark, sf):
     pick = lambda df, k: df.select("item_id", "collection", (F.col("cloud_cover") + k).alias("cloud_cover"))
     return op.merge_collections(
         pick(scenes.where(F.col("collection").isin("1-URGENT", "2-HIGH", "3-MEDIUM")), 0),
-        pick(scenes.where("cloud_cover <= 60"), 1), pick(scenes.where("tile < 5"), 2))
+        pick(scenes.where("cloud_cover <= 60"), 1), pick(scenes, 2))
 
 
 @query("list_assets", ctes("scenes") + """

@@ -28,7 +28,10 @@ FROM stream_obs JOIN coef USING (pixel_id)""") + f"""
 SELECT event_id, pixel_id, {t('ts')} AS ts, {r('value')} AS value, {r('residual')} AS residual FROM a WHERE abs(residual) > 1.5*rmse""")
 def _nrt(spark, sf):
     scaled = observation_stream(spark, sf).withColumn("value", F.col("value") / 20)
-    alerts = so.stream_nrt(scaled, season_model(spark, sf), FIRST, 1.5)
+    # the model is fitted once and stored
+    path, model = scratch_path(spark, "model"), season_model(spark, sf)
+    model.write.parquet(path)
+    alerts = so.stream_nrt(scaled, spark.read.schema(model.schema).parquet(path), FIRST, 1.5)
     return so.replay(alerts.select("event_id", "pixel_id", "ts", "value", "residual"), "nrt")
 
 

@@ -22,13 +22,16 @@ def event_time(df: DataFrame, col="ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def stream_nrt(stream: DataFrame, coef: DataFrame, origin, k=3.0, modes=1, trend=False, key="pixel_id", salts=8) -> DataFrame:
+def stream_nrt(stream: DataFrame, coef: DataFrame, origin, k=3.0, modes=1, trend=False, key="pixel_id", salts=1) -> DataFrame:
     """Alerts: observations whose residual from the stored season model exceeds ``k`` RMSE.
 
-    A stream-static join with the coefficient table; append mode.  ``salts``
-    spreads the events of a busy pixel over as many tasks.
+    A stream-static join with the coefficient table; append mode.  The table is
+    read again in every micro-batch, so it should be a written one.  ``salts``
+    above 1 spreads the events of a busy pixel over as many tasks, and copies
+    the table as often.
     """
-    joined = attach(stream, coef.select(key, "coef", "rmse"), [key], ["ts"], "inner", salts)
+    model = coef.select(key, "coef", "rmse")
+    joined = stream.join(model, key) if salts == 1 else attach(stream, model, [key], ["ts"], "inner", salts)
     expected = evaluate(day_number(F.to_date("ts")), origin, modes, trend)
     scored = joined.withColumn("residual", F.col("value") - expected).drop("coef")
     return scored.where(F.abs("residual") > F.lit(float(k)) * F.col("rmse"))

@@ -112,3 +112,14 @@ def test_series_chain_shares_one_partitioning(spark, season):
     chain = trend.trend(fold.fold(interp_linear(season, "2001-01-01", "2003-12-31"), "M"))
     assert chain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert chain.select(F.col("n")).first().n == 12
+
+
+def test_long_series_have_their_own_critical_value(spark):
+    from pixelfold.functions.student import critical_values
+    from pixelfold.operators.trend import significance
+    for n in (300, 368, 369, 1000, 20000):
+        for tail, sign in (("TWO", 1), ("RIGHT", 1), ("LEFT", -1)):
+            limit = float(critical_values(0.95, tail, n)[n - 3])
+            slopes = spark.createDataFrame([(sign * abs(limit) * s, n) for s in (1 - 1e-8, 1 + 1e-8)], "slope double, n long")
+            got = slopes.select(significance(F.col("slope"), F.lit(1.0), F.col("n"), tail, 0.95)).collect()
+            assert sorted(abs(r[0]) for r in got) == [0, 1], (n, tail)

@@ -38,10 +38,11 @@ def harmonic_fit(obs: DataFrame, origin, modes=3, trend=True, fit_range=None, ke
     """
     if fit_range:
         obs = obs.where(F.col(date).between(F.lit(fit_range[0]).cast("date"), F.lit(fit_range[1]).cast("date")))
-    base = obs.where(F.col(value).isNotNull()).select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
+    base = obs.select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
     k = 1 + int(trend) + 2 * modes
     terms = regressors(F.col("_d"), origin, modes, trend)
-    shaped = base.select(key, "_v", *[t.alias(f"_x{i}") for i, t in enumerate(terms)])
+    # a row without a value adds to no sum, but its key stays
+    shaped = base.select(key, "_v", *[F.when(F.col("_v").isNotNull(), t).alias(f"_x{i}") for i, t in enumerate(terms)])
     x = [F.col(f"_x{i}") for i in range(k)]
     v = F.col("_v")
     sums = shaped.groupBy(key).agg(

@@ -57,6 +57,15 @@ def interp_grid(df: DataFrame, first, last, step=16, key="pixel_id") -> DataFram
         key, F.date_from_unix_date(grid.day(F.col("_k"))).alias("date"))
 
 
+def _with_gaps(obs: DataFrame, key, date, value) -> DataFrame:
+    """Observations as ``_d, _v``; ``_none`` marks those without a value.
+
+    They order after the others, so that a key without any value still has a
+    first row and keeps its grid dates.
+    """
+    return obs.select(key, day_number(date).alias("_d"), F.col(value).alias("_v"), F.col(value).isNull().alias("_none"))
+
+
 def interp_linear(obs: DataFrame, first, last, step=16, key="pixel_id", date="date", value="value") -> DataFrame:
     """Line between the two bracketing observations; NULL outside them.
 
@@ -64,12 +73,12 @@ def interp_linear(obs: DataFrame, first, last, step=16, key="pixel_id", date="da
     it, so the grid never has to be joined or merged in: one shuffle, one sort.
     """
     grid = DateGrid(first, last, step)
-    order = Window.partitionBy(key).orderBy("_d")
-    base = obs.where(F.col(value).isNotNull()).select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
+    order = Window.partitionBy(key).orderBy("_none", "_d")
+    base = _with_gaps(obs, key, date, value)
     paired = base.withColumns({
-        "_dn": F.lead("_d").over(order), "_vn": F.lead("_v").over(order),
-        "_start": F.lag("_d").over(order).isNull(),
-    })
+        "_dn": F.lead(F.when(~F.col("_none"), F.col("_d"))).over(order), "_vn": F.lead("_v").over(order),
+        "_start": F.row_number().over(order) == 1,
+    }).where(~F.col("_none") | F.col("_start"))
     low = F.when(F.col("_start"), 0).otherwise(grid.at_or_after(F.col("_d")))
     high = F.when(F.col("_dn").isNull(), grid.size - 1).otherwise(grid.at_or_after(F.col("_dn")) - 1)
     spread = paired.withColumn("_k", F.explode(grid.steps(low, high))).withColumn("_t", grid.day(F.col("_k")))
@@ -86,13 +95,15 @@ def _reaching(obs: DataFrame, grid: DateGrid, reach: float, key, date, value, co
     The window that finds it partitions by key, which the aggregation over key
     and date, and later steps by key, reuse without a further shuffle.
     """
-    base = obs.where(F.col(value).isNotNull()).select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
+    base = _with_gaps(obs, key, date, value)
     steps = grid.steps(grid.at_or_after(F.col("_d") - F.lit(reach)), grid.at_or_before(F.col("_d") + F.lit(reach)))
     if complete:
-        first = F.row_number().over(Window.partitionBy(key).orderBy("_d")) == 1
-        base = base.withColumn("_first", first)
+        first = F.row_number().over(Window.partitionBy(key).orderBy("_none", "_d")) == 1
+        base = base.withColumn("_first", first).where(~F.col("_none") | F.col("_first"))
         steps = F.when(F.col("_first"), grid.all()).otherwise(steps)
-    return base.withColumn("_k", F.explode(steps)).withColumn("_gap", grid.day(F.col("_k")) - F.col("_d")).drop("_first")
+    else:
+        base = base.where(~F.col("_none"))
+    return base.withColumn("_k", F.explode(steps)).withColumn("_gap", grid.day(F.col("_k")) - F.col("_d")).drop("_first", "_none")
 
 
 def interp_moving(obs: DataFrame, first, last, step=16, moving_max=16, key="pixel_id", date="date",

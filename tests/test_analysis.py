@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelfold.functions.student import critical_values, t_cdf
-from pixelfold.operators import fold, polar, trend
+from pixelfold.operators import fold, interpolate, polar, trend
 
 
 def folded(spark, values, pixel=1):
@@ -123,3 +123,18 @@ def test_long_series_have_their_own_critical_value(spark):
             slopes = spark.createDataFrame([(sign * abs(limit) * s, n) for s in (1 - 1e-8, 1 + 1e-8)], "slope double, n long")
             got = slopes.select(significance(F.col("slope"), F.lit(1.0), F.col("n"), tail, 0.95)).collect()
             assert sorted(abs(r[0]) for r in got) == [0, 1], (n, tail)
+
+
+@pytest.mark.parametrize("method", ["LINEAR", "MOVING", "RBF"])
+def test_pixel_without_values_keeps_its_dates(spark, method):
+    day = dt.date(2001, 1, 1)
+    rows = [(1, day, None), (1, day + dt.timedelta(days=9), None), (2, day, 1.0), (2, day + dt.timedelta(days=3), None), (2, day + dt.timedelta(days=8), 5.0)]
+    frame = spark.createDataFrame(rows, "pixel_id long, date date, value double")
+    out = interpolate.interpolate(frame, method, "2001-01-01", "2001-01-09", 4)
+    dates = interpolate.interp_grid(frame, "2001-01-01", "2001-01-09", 4).count()
+    assert out.count() == dates == 6
+    assert out.where("pixel_id = 1 and value is not null").count() == 0
+    fitted = interpolate.interpolate(frame, "HARMONIC", "2001-01-01", "2001-01-09", 4, modes=1, trend=False)
+    assert fitted.count() == 6 and fitted.where("value is not null").count() == 0
+    known = {r.date.day: r.value for r in interpolate.interpolate(frame.where("value is not null"), method, "2001-01-01", "2001-01-09", 4).collect()}
+    assert {r.date.day: r.value for r in out.where("pixel_id = 2").collect()} == known

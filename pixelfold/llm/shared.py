@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pixelfold.session import cut_lineage, scratch_path
 
-__all__ = ["SPACES", "cut_lineage", "flipped", "row_key", "scratch_path", "table", "with_fields"]
+__all__ = ["SPACES", "cut_lineage", "flipped", "row_key", "scratch_path", "table"]
 
 # The six ASCII white space characters.
 SPACES = r"[\x20\x09-\x0D]"
@@ -33,11 +33,3 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")),
                              F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.lit("text")),
                              F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
-
-
-def with_fields(kind: T.StructType, **fields: str) -> T.StructType:
-    """Schema of ``kind`` under the name ``row``, followed by further fields."""
-    out = T.StructType([T.StructField("row", kind)])
-    for name, ddl in fields.items():
-        out = out.add(name, ddl)
-    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from pixelfold.functions import statistics as st
 from pixelfold.functions.student import critical_values

@@ -23,8 +23,8 @@ def band_columns(columns) -> list[str]:
     return [c for c in columns if c in known]
 
 
-def select_observations(cube: DataFrame, p: SeriesParameters, sensor_bands=None, materials=None, input_resolution=None) -> DataFrame:
-    """The cube limited to the requested extent and sensors, with quality and values of choice.
+def select_rows(cube: DataFrame, p: SeriesParameters, sensor_bands=None) -> DataFrame:
+    """The rows of all products in the requested extent and of the requested sensors.
 
     Cheap predicates come first, so they reach the scan of a cube written by tile.
     """
@@ -36,16 +36,21 @@ def select_observations(cube: DataFrame, p: SeriesParameters, sensor_bands=None,
     if tuple(p.doy_range) != (1, 366):
         df = select.filter_doy_range(df, *p.doy_range)
     df = df.where(F.col("sensor").isin(list(p.sensors)))
-    bands = band_columns(df.columns)
     if sensor_bands:
         shared = reduce(lambda a, b: a & b, [set(sensor_bands[s]) for s in p.sensors])
-        df = df.drop(*[b for b in bands if b not in shared])
-        bands = [b for b in bands if b in shared]
+        df = df.drop(*[b for b in band_columns(df.columns) if b not in shared])
+    return df
+
+
+def select_observations(cube: DataFrame, p: SeriesParameters, sensor_bands=None, materials=None, input_resolution=None) -> DataFrame:
+    """The selected rows of the main product, with quality and values of choice."""
+    df = select_rows(cube, p, sensor_bands)
+    bands = band_columns(df.columns)
     original = df.where(F.col("product") != "IMP") if p.product_type_main != "IMP" else df
     main = select.join_quality(original, p.product_type_main, p.product_type_quality)
     if p.use_l2_improphe:
         main = select.prefer_improphe(main, df.where(F.col("product") == "IMP"), True, value=bands).drop("enhanced")
-    if input_resolution and input_resolution < p.resolution:
+    if _is_coarser(p, input_resolution):
         main = degrade(main, bands, p.resolution // input_resolution, p.reduce_psf)
     if p.spectral_adjust:
         if not materials:
@@ -54,6 +59,10 @@ def select_observations(cube: DataFrame, p: SeriesParameters, sensor_bands=None,
     return main.withColumn("sensor", F.lit(p.target_sensor))
 
 
+def _is_coarser(p: SeriesParameters, input_resolution) -> bool:
+    return bool(input_resolution) and input_resolution < p.resolution
+
+
 def degrade(df: DataFrame, bands, factor: int, psf: bool) -> DataFrame:
     """Coarser pixels; flags come from the nearest pixel.  ``pixel_id`` becomes that of the nearest one."""
     keys = ["tile_x", "tile_y", "date", "sensor"]
@@ -65,31 +74,77 @@ def degrade(df: DataFrame, bands, factor: int, psf: bool) -> DataFrame:
     return near.withColumnsRenamed({"tx": "x", "ty": "y"})
 
 
-def index_series(observations: DataFrame, name: str, p: SeriesParameters, endmember=None, endmembers=None) -> DataFrame:
-    """The quality-screened daily series ``pixel_id, date, value`` of one index, band or endmember."""
+def _valued(rows: DataFrame, name: str, keep, endmember=None, endmembers=None) -> DataFrame:
+    """The columns in ``keep`` and the ``value`` of one index, band or endmember."""
     if name == "SMA":
-        bands = [b for b in band_columns(observations.columns)]
-        valued = series.sma(observations, endmembers, bands).withColumn("value", F.col(f"frac_{endmember}"))
+        valued = series.sma(rows, endmembers, band_columns(rows.columns)).withColumn("value", F.col(f"frac_{endmember}"))
     elif name in RAW_BANDS:
         roles = {b: r for r, b in ROLES.items()}
-        have = name if name in observations.columns else roles.get(name, name)
-        valued = series.band_values(observations, have)
+        valued = series.band_values(rows, name if name in rows.columns else roles.get(name, name))
     else:
-        valued = series.spectral_index(observations, [name], keep=["pixel_id", "date", "qai"]).withColumnRenamed(name, "value")
-    valued = valued.select("pixel_id", "date", "qai", "value").where(F.col("value").isNotNull())
-    if not (p.above_noise or p.below_noise):
-        return series.daily_series(valued.where(~q.is_screened(p.screen_qai)).drop("qai"))
-    # a date is kept when any of its observations is clear
+        valued = series.spectral_index(rows, [name], keep=list(keep)).withColumnRenamed(name, "value")
+    return valued.select(*keep, "value")
+
+
+def _days_of_observations(observations: DataFrame, p: SeriesParameters) -> DataFrame:
+    """(pixel_id, date, value, kept) from rows that carry their quality word."""
     clear = ~q.is_screened(p.screen_qai)
-    daily = valued.groupBy("pixel_id", "date").agg(
+    return observations.where(F.col("value").isNotNull()).groupBy("pixel_id", F.col("date").cast("date").alias("date")).agg(
         F.coalesce(F.avg(F.when(clear, F.col("value"))), F.avg("value")).alias("value"), F.max(clear).alias("kept"))
-    calm = quality.noise_filter(daily.where("kept"), p.above_noise)
+
+
+def _days_of_rows(rows: DataFrame, p: SeriesParameters) -> DataFrame:
+    """(pixel_id, date, value, kept) from main and quality rows together, by one combined aggregate.
+
+    Sums and flags are kept by sensor until the flags of an acquisition are
+    complete; the sensors are those of the parameters, so this is a few columns
+    and no row meets another in a join.
+    """
+    main = F.col("product") == p.product_type_main
+    flagged = F.lit(False) if p.product_type_quality is None else F.col("product") == p.product_type_quality
+    aggs, clear_sum, clear_n, every_sum, every_n = [], F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0)
+    for i, sensor in enumerate(p.sensors):
+        own = F.col("sensor") == sensor
+        aggs += [F.sum(F.when(own & main, F.col("value").cast("double"))).alias(f"_s{i}"),
+                 F.count(F.when(own & main, F.col("value"))).alias(f"_n{i}"),
+                 F.bit_or(F.when(own & flagged, F.col("qai"))).alias(f"_q{i}")]
+        clear, total = ~q.is_screened(p.screen_qai, f"_q{i}"), F.coalesce(f"_s{i}", F.lit(0.0))
+        clear_sum, clear_n = clear_sum + F.when(clear, total).otherwise(0.0), clear_n + F.when(clear, F.col(f"_n{i}")).otherwise(0)
+        every_sum, every_n = every_sum + total, every_n + F.col(f"_n{i}")
+    # enhanced rows count only where they are the main product
+    wanted = [x for x in {p.product_type_main, p.product_type_quality} if x is not None and (x != "IMP" or p.product_type_main == "IMP")]
+    days = rows.where(F.col("product").isin(sorted(wanted))).groupBy("pixel_id", "date").agg(*aggs).where(every_n > 0)
+    kept = clear_n > 0
+    return days.select("pixel_id", "date", F.when(kept, clear_sum / F.nullif(clear_n, F.lit(0))).otherwise(every_sum / every_n).alias("value"),
+                       kept.alias("kept"))
+
+
+def _screened(days: DataFrame, p: SeriesParameters) -> DataFrame:
+    """The kept days, without outliers and with screened days that fit; a day is kept when any of its observations is clear."""
+    if not (p.above_noise or p.below_noise):
+        return days.where("kept").drop("kept")
+    calm = quality.noise_filter(days.where("kept"), p.above_noise)
     if not p.below_noise:
         return calm.drop("kept")
-    back = quality.noise_restore(calm.unionByName(daily.where("not kept")), p.below_noise)
+    back = quality.noise_restore(calm.unionByName(days.where("not kept")), p.below_noise)
     return back.select("pixel_id", "date", "value")
 
 
+def index_series(observations: DataFrame, name: str, p: SeriesParameters, endmember=None, endmembers=None) -> DataFrame:
+    """The quality-screened daily series ``pixel_id, date, value`` of one index, band or endmember.
+
+    ``observations`` come from ``select_observations``.
+    """
+    valued = _valued(observations, name, ("pixel_id", "date", "qai"), endmember, endmembers)
+    return _screened(_days_of_observations(valued, p), p)
+
+
+def index_series_of_rows(rows: DataFrame, name: str, p: SeriesParameters, endmember=None, endmembers=None) -> DataFrame:
+    """``index_series`` straight from ``select_rows``, with one scan and one shuffle; dates must be days."""
+    valued = _valued(rows, name, ("pixel_id", "date", "sensor", "product", "qai"), endmember, endmembers)
+    return _screened(_days_of_rows(valued, p), p)
+
+
 def interpolated(tss: DataFrame, p: SeriesParameters, coef: DataFrame | None = None) -> DataFrame:
     first, last = p.date_range
     if p.interpolate == "MOVING":
@@ -155,7 +210,11 @@ def analyse_series(cube: DataFrame, sensor_bands=None, materials=None, endmember
     interpolated series is written once to the shared folder and read by all.
     """
     p = read_parameters(SeriesParameters, parameters)
-    observations = select_observations(cube, p, sensor_bands, materials, input_resolution)
+    # nothing but the quality word is joined: rows need not meet before they are summed up
+    if not (p.use_l2_improphe or p.spectral_adjust or _is_coarser(p, input_resolution)) and dict(cube.dtypes)["date"] == "date":
+        observations, daily = select_rows(cube, p, sensor_bands), index_series_of_rows
+    else:
+        observations, daily = select_observations(cube, p, sensor_bands, materials, input_resolution), index_series
 
     def shared(tsi):
         if not share_series or _consumers(p) < 2:
@@ -169,9 +228,9 @@ def analyse_series(cube: DataFrame, sensor_bands=None, materials=None, endmember
         if name == "SMA":
             if not endmembers:
                 raise ValueError("SMA needs endmembers")
-            named = {f"SMA-{e}": index_series(observations, name, p, e, endmembers) for e in endmembers}
+            named = {f"SMA-{e}": daily(observations, name, p, e, endmembers) for e in endmembers}
         else:
-            named = {name: index_series(observations, name, p)}
+            named = {name: daily(observations, name, p)}
         for label, tss in named.items():
             for product, df in _products(tss, p, shared).items():
                 products[f"{label}_{product}"] = df

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import random
 from dataclasses import fields
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pixelfold.operators import fold, interpolate, series, trend
 from pixelfold.plans.parameters import SceneParameters, SeriesParameters, read_parameters
 from pixelfold.plans.scene_preparation import prepare_scenes, rings_of
-from pixelfold.plans.series_analysis import analyse_series, write_products
+from pixelfold.plans.series_analysis import (
+    analyse_series, index_series, index_series_of_rows, select_observations, select_rows, write_products)
 from pixelfold.session import shared_dir
 from pixelfold.sinks.writers import cube_name, stac_result, write_cube
 
@@ -80,6 +82,37 @@ def test_products_equal_the_operators(cube):
     assert {"NDVI_POL-VPS", "NDVI_POL-LGS", "NDVI_TRO-VPS", "NDVI_PCT"} <= set(out)
 
 
+@pytest.mark.parametrize("more", [{}, {"above_noise": 3}, {"above_noise": 3, "below_noise": 1}, {"product_type_quality": None}])
+@pytest.mark.parametrize("index", ["NDVI", "B8", "SMA"])
+def test_one_pass_equals_the_joined_products(spark, more, index):
+    rng = random.Random(3)
+    rows = []
+    for pixel in range(4):
+        for _ in range(300):
+            key = (pixel, 0, 0, DAY0 + dt.timedelta(days=rng.randrange(40)), rng.choice(["SEN2A", "SEN2B", "SEN2C", "LND08"]))
+            qai = rng.choice([0, 0, 0, 4, 16, None])
+            # copies of an acquisition, acquisitions without a quality row, missing bands, rows of a third product
+            rows.append((*key, rng.choice(["BOA", "BOA", "QAI", "IMP"]), qai, rng.choice([0.1, 0.2, None]), rng.choice([0.4, 0.5, None])))
+    df = spark.createDataFrame(
+        rows, "pixel_id long, tile_x int, tile_y int, date date, sensor string, product string, qai int, RED double, BNIR double")
+    p = read_parameters(SeriesParameters, {"date_range": RANGE, **more})
+    ends = ("a", {"a": [0.1, 0.4], "b": [0.1, 0.1]}) if index == "SMA" else ()
+    joined = index_series(select_observations(df, p), index, p, *ends)
+    once = index_series_of_rows(select_rows(df, p), index, p, *ends)
+    rounded = [F.col("pixel_id"), F.col("date"), F.round("value", 9).alias("value")]
+    assert once.count() > 100
+    same(joined.select(*rounded), once.select(*rounded))
+
+
+def test_the_series_plan_scans_once_and_shuffles_by_day_and_pixel(spark, cube, tmp_path):
+    cube.write.parquet(str(tmp_path / "cube"))
+    read = spark.read.parquet(str(tmp_path / "cube"))
+    plan = analyse_series(read, date_range=RANGE, interpolate="LINEAR", output_try=True)["NDVI_TRY"]
+    text = plan._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text
+    assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
+
+
 def test_series_can_be_shared_through_a_table(cube):
     flags = dict(date_range=RANGE, interpolate="RBF", output_fby=True, output_tsi=True)
     lazy, shared = analyse_series(cube, **flags), analyse_series(cube, share_series=True, **flags)

@@ -197,3 +197,10 @@ def metric_series(metrics: DataFrame, name: str, key="pixel_id") -> DataFrame:
     """One metric as a yearly series ``key, step, value``, for trends and changes."""
     return metrics.where(F.col(name).isNotNull()).select(
         key, F.col("pyear").alias("step"), F.col(name).cast("double").alias("value"))
+
+
+def metrics_series(metrics: DataFrame, names, key="pixel_id") -> DataFrame:
+    """All named metrics as yearly series ``key, metric, step, value``."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return metrics.select(key, F.col("pyear").alias("step"), F.explode(pairs).alias("_m")).select(
+        key, "_m.metric", "step", "_m.value").where(F.col("value").isNotNull())

@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelfold.functions import indices
@@ -26,12 +26,18 @@ def daily_series(df: DataFrame, keys=KEY, date="date", value="value") -> DataFra
     return df.groupBy(*keys, F.col(date).cast("date").alias("date")).agg(*aggs)
 
 
-def band_values(df: DataFrame, band: str) -> DataFrame:
-    """A single band as the analysed ``value``; the other bands are dropped."""
+def band_column(columns, band: str) -> str:
+    """The column that holds a band, its number with or without a leading zero."""
     wanted = {band, band[:1] + band[1:].zfill(2)}
-    chosen = next((c for c in df.columns if c in wanted), None)
+    chosen = next((c for c in columns if c in wanted), None)
     if chosen is None:
         raise ValueError(f"no band {band}")
+    return chosen
+
+
+def band_values(df: DataFrame, band: str) -> DataFrame:
+    """A single band as the analysed ``value``; the other bands are dropped."""
+    chosen = band_column(df.columns, band)
     known = set(indices.RAW_BANDS) | {b[:1] + b[1:].zfill(2) for b in indices.RAW_BANDS} | set(indices.ROLES)
     others = [c for c in df.columns if c not in known]
     return df.select(*others, F.col(chosen).alias("value"))
@@ -44,28 +50,33 @@ def spectral_index(df: DataFrame, names=("NDVI",), keep=None) -> DataFrame:
     return df.select(*columns, *[indices.index_column(n, bands).alias(n) for n in names])
 
 
-def sma(df: DataFrame, endmembers: dict[str, list[float]], bands, prefix="frac_") -> DataFrame:
-    """Least-squares fraction of every endmember and the model RMSE.
-
-    The pseudo-inverse of the endmember matrix is computed once; fractions are
-    linear expressions of the bands.
-    """
-    names = list(endmembers)
-    matrix = np.array([endmembers[n] for n in names], dtype=float).T
-    if matrix.shape != (len(bands), len(names)):
+def _unmixing(endmembers: dict[str, list[float]], bands) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of endmembers and its pseudo-inverse, computed once per plan."""
+    matrix = np.array(list(endmembers.values()), dtype=float).T
+    if matrix.shape != (len(bands), len(endmembers)):
         raise ValueError("every endmember needs one value per band")
-    inverse = np.linalg.pinv(matrix)
-    total = lambda terms: reduce(lambda a, b: a + b, terms)
-    fractions = {
-        f"{prefix}{n}": total([F.col(b) * float(inverse[i, j]) for j, b in enumerate(bands)])
-        for i, n in enumerate(names)
-    }
-    out = df.withColumns(fractions)
+    return matrix, np.linalg.pinv(matrix)
+
+
+def _total(terms) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def fraction(endmember: str, endmembers: dict[str, list[float]], bands) -> Column:
+    """Least-squares fraction of one endmember, a linear expression of the bands."""
+    weights = _unmixing(endmembers, bands)[1][list(endmembers).index(endmember)]
+    return _total([F.col(b) * float(w) for b, w in zip(bands, weights, strict=True)])
+
+
+def sma(df: DataFrame, endmembers: dict[str, list[float]], bands, prefix="frac_") -> DataFrame:
+    """Least-squares fraction of every endmember and the model RMSE."""
+    matrix, _ = _unmixing(endmembers, bands)
+    out = df.withColumns({f"{prefix}{n}": fraction(n, endmembers, bands) for n in endmembers})
     errors = []
     for j, b in enumerate(bands):
-        modelled = total([F.col(f"{prefix}{n}") * float(matrix[j, i]) for i, n in enumerate(names)])
+        modelled = _total([F.col(f"{prefix}{n}") * float(matrix[j, i]) for i, n in enumerate(endmembers)])
         errors.append((F.col(b) - modelled) * (F.col(b) - modelled))
-    return out.withColumn("sma_rmse", F.sqrt(total(errors) / len(bands)))
+    return out.withColumn("sma_rmse", F.sqrt(_total(errors) / len(bands)))
 
 
 # Sensors that can be adjusted (fixed values).

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelfold.functions import qai as q
-from pixelfold.functions.indices import RAW_BANDS, ROLES
+from pixelfold.functions.indices import RAW_BANDS, ROLES, index_column, role_columns
 from pixelfold.operators import fold, harmonic, interpolate, polar, quality, resample, select, series, trend
 from pixelfold.operators.gridding import check_sizes, tile_name
 from pixelfold.plans.parameters import PERIOD_OUTPUTS, SeriesParameters, read_parameters
@@ -74,16 +74,19 @@ def degrade(df: DataFrame, bands, factor: int, psf: bool) -> DataFrame:
     return near.withColumnsRenamed({"tx": "x", "ty": "y"})
 
 
-def _valued(rows: DataFrame, name: str, keep, endmember=None, endmembers=None) -> DataFrame:
-    """The columns in ``keep`` and the ``value`` of one index, band or endmember."""
+def _value_column(rows: DataFrame, name: str, endmember=None, endmembers=None) -> Column:
+    """One index, band or endmember as an expression of the columns of ``rows``."""
     if name == "SMA":
-        valued = series.sma(rows, endmembers, band_columns(rows.columns)).withColumn("value", F.col(f"frac_{endmember}"))
-    elif name in RAW_BANDS:
+        return series.fraction(endmember, endmembers, band_columns(rows.columns))
+    if name in RAW_BANDS:
         roles = {b: r for r, b in ROLES.items()}
-        valued = series.band_values(rows, name if name in rows.columns else roles.get(name, name))
-    else:
-        valued = series.spectral_index(rows, [name], keep=list(keep)).withColumnRenamed(name, "value")
-    return valued.select(*keep, "value")
+        return F.col(series.band_column(rows.columns, name if name in rows.columns else roles.get(name, name)))
+    return index_column(name, role_columns(rows.columns))
+
+
+def _valued(rows: DataFrame, name: str, keep, endmember=None, endmembers=None) -> DataFrame:
+    """The columns in ``keep`` and the ``value`` of one index, band or endmember."""
+    return rows.select(*keep, _value_column(rows, name, endmember, endmembers).alias("value"))
 
 
 def _days_of_observations(observations: DataFrame, p: SeriesParameters) -> DataFrame:
@@ -156,7 +159,17 @@ def interpolated(tss: DataFrame, p: SeriesParameters, coef: DataFrame | None = N
     return interpolate.interpolate(tss, p.interpolate, first, last, p.int_day)
 
 
-def _products(tss: DataFrame, p: SeriesParameters, shared) -> dict[str, DataFrame]:
+def _season_products(out: dict[str, DataFrame], suffix: str, yearly: DataFrame, p: SeriesParameters, keys) -> None:
+    one = series.standardize(yearly, p.standardize_pol, keys)
+    if p.output_pol:
+        out[f"POL{suffix}"] = one
+    if p.output_tro:
+        out[f"TRO{suffix}"] = trend.trend(one, p.trend_tail, p.trend_conf, keys)
+    if p.output_cao:
+        out[f"CAO{suffix}"] = trend.cat(one, p.change_penalty, keys)
+
+
+def _products(tss: DataFrame, p: SeriesParameters, shared, together=False) -> dict[str, DataFrame]:
     out: dict[str, DataFrame] = {}
     if p.output_tss:
         out["TSS"] = series.standardize(tss, p.standardize_tss)
@@ -185,14 +198,11 @@ def _products(tss: DataFrame, p: SeriesParameters, shared) -> dict[str, DataFram
     if p.output_pol or p.output_tro or p.output_cao:
         metrics = polar.polarmetrics(
             tsi, tuple(p.pol), p.pol_start_threshold, p.pol_mid_threshold, p.pol_end_threshold, p.pol_adaptive, p.int_day)
-        for name in p.pol:
-            one = series.standardize(polar.metric_series(metrics, name), p.standardize_pol)
-            if p.output_pol:
-                out[f"POL-{name}"] = one
-            if p.output_tro:
-                out[f"TRO-{name}"] = trend.trend(one, p.trend_tail, p.trend_conf)
-            if p.output_cao:
-                out[f"CAO-{name}"] = trend.cat(one, p.change_penalty)
+        if together:
+            _season_products(out, "", polar.metrics_series(metrics, p.pol), p, ("pixel_id", "metric"))
+        else:
+            for name in p.pol:
+                _season_products(out, f"-{name}", polar.metric_series(metrics, name), p, ("pixel_id",))
     return out
 
 
@@ -201,6 +211,21 @@ def _consumers(p: SeriesParameters) -> int:
     return sum(map(bool, [*flags, p.output_tsi, p.output_stm, p.output_pct, p.output_pol, p.output_tro, p.output_cao]))
 
 
+def _sharing(cube: DataFrame, p: SeriesParameters, share_series: bool):
+    def shared(tsi):
+        if not share_series or _consumers(p) < 2:
+            return tsi
+        path = scratch_path(cube.sparkSession, "series")
+        tsi.write.parquet(path)
+        return cube.sparkSession.read.schema(tsi.schema).parquet(path)
+    return shared
+
+
+def _sums_rows(cube: DataFrame, p: SeriesParameters, input_resolution) -> bool:
+    """Whether nothing but the quality word is joined, so that rows need not meet before they are summed up."""
+    return not (p.use_l2_improphe or p.spectral_adjust or _is_coarser(p, input_resolution)) and dict(cube.dtypes)["date"] == "date"
+
+
 def analyse_series(cube: DataFrame, sensor_bands=None, materials=None, endmembers=None, input_resolution=None,
                    share_series=False, **parameters) -> dict[str, DataFrame]:
     """Requested products of every index, keyed ``<index>_<product>``; nothing runs until one is used.
@@ -210,19 +235,10 @@ def analyse_series(cube: DataFrame, sensor_bands=None, materials=None, endmember
     interpolated series is written once to the shared folder and read by all.
     """
     p = read_parameters(SeriesParameters, parameters)
-    # nothing but the quality word is joined: rows need not meet before they are summed up
-    if not (p.use_l2_improphe or p.spectral_adjust or _is_coarser(p, input_resolution)) and dict(cube.dtypes)["date"] == "date":
+    if _sums_rows(cube, p, input_resolution):
         observations, daily = select_rows(cube, p, sensor_bands), index_series_of_rows
     else:
         observations, daily = select_observations(cube, p, sensor_bands, materials, input_resolution), index_series
-
-    def shared(tsi):
-        if not share_series or _consumers(p) < 2:
-            return tsi
-        path = scratch_path(cube.sparkSession, "series")
-        tsi.write.parquet(path)
-        return cube.sparkSession.read.schema(tsi.schema).parquet(path)
-
     products = {}
     for name in p.index:
         if name == "SMA":
@@ -232,11 +248,42 @@ def analyse_series(cube: DataFrame, sensor_bands=None, materials=None, endmember
         else:
             named = {name: daily(observations, name, p)}
         for label, tss in named.items():
-            for product, df in _products(tss, p, shared).items():
+            for product, df in _products(tss, p, _sharing(cube, p, share_series)).items():
                 products[f"{label}_{product}"] = df
     return products
 
 
+def analyse_together(cube: DataFrame, sensor_bands=None, materials=None, endmembers=None, input_resolution=None,
+                     share_series=False, **parameters) -> dict[str, DataFrame]:
+    """The products of ``analyse_series`` as one long table each, for all indices and metrics at once.
+
+    Products are keyed by their name alone and have the columns ``pixel_id,
+    index``, for seasonal metrics also ``metric``.  The cube is scanned once for
+    a product, whatever the number of indices and metrics; pixel and index
+    together name a series, so a shuffle spreads more evenly than by pixel.
+    """
+    p = read_parameters(SeriesParameters, parameters)
+    if "SMA" in p.index and not endmembers:
+        raise ValueError("SMA needs endmembers")
+    once = _sums_rows(cube, p, input_resolution)
+    rows = select_rows(cube, p, sensor_bands) if once else select_observations(cube, p, sensor_bands, materials, input_resolution)
+    keep = ("pixel_id", "date", "sensor", "product", "qai") if once else ("pixel_id", "date", "qai")
+    values = []
+    wide = rows
+    for name in p.index:
+        for e in endmembers if name == "SMA" else (None,):
+            label = name if e is None else f"SMA-{e}"
+            # every index is computed from the bands, then they become rows
+            values.append(F.struct(F.lit(label).alias("index"), F.col(f"_v_{label}").cast("double").alias("value")))
+            wide = wide.withColumn(f"_v_{label}", _value_column(rows, name, e, endmembers))
+    long = wide.select(*keep, F.explode(F.array(*values)).alias("_iv"))
+    # rows of the quality product have no values but the flags of every index
+    long = long.select(F.struct("pixel_id", "_iv.index").alias("pixel_id"), *keep[1:], F.col("_iv.value").alias("value"))
+    tss = _screened((_days_of_rows if once else _days_of_observations)(long, p), p)
+    out = _products(tss, p, _sharing(cube, p, share_series), together=True)
+    return {name: df.select("pixel_id.*", *[c for c in df.columns if c != "pixel_id"]) for name, df in out.items()}
+
+
 def write_products(products: dict[str, DataFrame], pixels: DataFrame, base: str, p: SeriesParameters) -> dict[str, str]:
     """Write every product by tile below ``base/<name>``; returns their paths.
 
@@ -246,8 +293,9 @@ def write_products(products: dict[str, DataFrame], pixels: DataFrame, base: str,
     root = f"{base.rstrip('/')}/{cube_name(p.name)}"
     paths = {}
     for label, df in products.items():
-        stacked = label.endswith(("_TSS", "_TSI")) and not p.output_explode
-        shaped = series.time_series_stack(df) if stacked else df
+        stacked = label.split("_")[-1] in ("TSS", "TSI") and not p.output_explode
+        keys = [c for c in ("pixel_id", "index") if c in df.columns]
+        shaped = series.time_series_stack(df, keys) if stacked else df
         tiled = shaped.join(pixels.select("pixel_id", "tile_x", "tile_y"), "pixel_id")
         path = write_cube(tiled, root, label)
         if p.fail_if_empty:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixelfold.plans.scene_preparation import prepare_scenes
-from pixelfold.plans.series_analysis import analyse_series
+from pixelfold.plans.series_analysis import analyse_series, analyse_together
 from pixelfold.queries import fixtures as fx
-from pixelfold.queries.analysis import _trend_sql
-from pixelfold.queries.base import query, r
+from pixelfold.operators.polar import METRICS
+from pixelfold.queries.analysis import METRIC_SQL, POLARMETRICS, _cat_sql, _trend_sql
+from pixelfold.queries.base import query, r, rounded
 from pixelfold.queries.fixtures import FIRST, LAST, ctes
 from pixelfold.queries.rasters import CLOUD_STEPS, grid_sql, scattering_lut
 
@@ -42,6 +43,51 @@ def _analyse(spark, sf):
     return products["NDVI_TRY"]
 
 
+# Series of several indices as one, named index:pixel, then of their metrics, named index:pixel:metric.
+_MANY = ctes(
+    "dates",
+    raw="""SELECT l_suppkey AS pixel_id, cast(l_shipdate AS date) AS date, l_returnflag AS sensor, (l_orderkey*7 + l_linenumber*13) % 32768 AS qai,
+  l_tax + 0.05::double AS red, l_extendedprice/100000 AS nir FROM lineitem WHERE l_shipdate BETWEEN '1995-01-01' AND '2001-12-31'""",
+    q="SELECT pixel_id, date, sensor, bit_or(qai) AS qai FROM raw GROUP BY ALL",
+    clear="""SELECT pixel_id, date, avg((nir - red)/nullif(nir + red, 0)) AS "NDVI", avg((nir - red)*2.4::double/nullif(nir + red + 1, 0)) AS "EVI2",
+  avg((nir - red)*1.5::double/nullif(nir + red + 0.5::double, 0)) AS "SAVI" FROM raw JOIN (
+    SELECT * FROM q WHERE NOT ((qai >> 1) & 3 = 2 OR (qai >> 4) & 1 = 1)) USING (pixel_id, date, sensor) GROUP BY 1, 2""",
+    obs="""SELECT "index" || ':' || pixel_id AS pixel_id, date, value FROM (UNPIVOT clear ON "NDVI", "EVI2", "SAVI" INTO NAME "index" VALUE value)""",
+    pixels="SELECT DISTINCT pixel_id FROM obs", tsi=fx.SQL["tsi"], **POLARMETRICS,
+    yearly="SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT pixel_id || ':{n}' AS pixel_id, pyear AS step, ({e})::double AS value FROM pol" for n, e in METRIC_SQL.items()) + ") WHERE value IS NOT NULL")
+_NAMED = """SELECT split_part(pixel_id, ':', 2)::bigint AS pixel_id, split_part(pixel_id, ':', 1) AS "index", split_part(pixel_id, ':', 3) AS metric"""
+
+
+def _many(spark, sf):
+    return analyse_together(
+        cube(spark, sf), date_range=(FIRST, LAST), index=("NDVI", "EVI2", "SAVI"), screen_qai=("CLOUD_OPAQUE", "SNOW"),
+        interpolate="LINEAR", pol=METRICS, output_pol=True, output_tro=True, output_cao=True)
+
+
+def _many_sql(steps, columns):
+    return _MANY.rstrip() + ",\n" + ",\n".join(f"{n} AS ({q})" for n, q in steps.items()) + f"\n{_NAMED}, {columns} FROM out"
+
+
+@query("together_pol", _many_sql({"out": "SELECT * FROM yearly"}, f"step, {r('value')} AS value"))
+def _together_pol(spark, sf):
+    """All seasonal metrics of three indices as one long table, from one scan."""
+    return _many(spark, sf)["POL"]
+
+
+@query("together_tro", _many_sql(_trend_sql("SELECT * FROM yearly", "TWO", 0.95, 60),
+                                    """* EXCLUDE (pixel_id) REPLACE (floor("offset"*1000 + 0.50001::double)/1000 AS "offset")"""))
+def _together_tro(spark, sf):
+    """The trends of all seasonal metrics of three indices; the offset, a value at year 0, with three decimals."""
+    return _many(spark, sf)["TRO"].withColumn("offset", F.floor(rounded(F.col("offset")) * 1000 + F.lit(0.50001)) / 1000)
+
+
+@query("together_cao", _many_sql(_cat_sql("SELECT * FROM yearly", False), "* EXCLUDE (pixel_id)"))
+def _together_cao(spark, sf):
+    """The changes of all seasonal metrics of three indices."""
+    return _many(spark, sf)["CAO"]
+
+
 def _near(flag, radius):
     """Pixels within ``radius`` pixels of a flagged one."""
     return f"""SELECT DISTINCT a.scene_id, a.x, a.y FROM fl a JOIN fl b ON a.scene_id = b.scene_id

@@ -11,7 +11,7 @@ from pixelfold.operators import fold, interpolate, series, trend
 from pixelfold.plans.parameters import SceneParameters, SeriesParameters, read_parameters
 from pixelfold.plans.scene_preparation import prepare_scenes, rings_of
 from pixelfold.plans.series_analysis import (
-    analyse_series, index_series, index_series_of_rows, select_observations, select_rows, write_products)
+    analyse_series, analyse_together, index_series, index_series_of_rows, select_observations, select_rows, write_products)
 from pixelfold.session import shared_dir
 from pixelfold.sinks.writers import cube_name, stac_result, write_cube
 
@@ -113,6 +113,26 @@ def test_the_series_plan_scans_once_and_shuffles_by_day_and_pixel(spark, cube, t
     assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 3
 
 
+def test_products_together_equal_those_of_each_index(spark, cube, tmp_path):
+    cube.write.parquet(str(tmp_path / "cube"))
+    read = spark.read.parquet(str(tmp_path / "cube"))
+    flags = dict(date_range=RANGE, index=("NDVI", "B8", "SMA"), endmembers={"a": [0.1, 0.4], "b": [0.1, 0.1]}, interpolate="LINEAR",
+                 above_noise=3, output_tss=True, output_try=True, output_cao=True, output_pol=True, pol=("VPS", "LGS"))
+    single, together = analyse_series(read, **flags), analyse_together(read, **flags)
+    assert set(together) == {"TSS", "TRY", "POL", "CAO"}
+    for name, df in together.items():
+        labels = [f"{i}_{name}" for i in ("NDVI", "B8", "SMA-a", "SMA-b")]
+        for label in labels:
+            one = df.where(F.col("index") == label.rsplit("_", 1)[0])
+            if name in ("POL", "CAO"):
+                for m in ("VPS", "LGS"):
+                    same(one.where(F.col("metric") == m).drop("index", "metric"), single[f"{label}-{m}"])
+            else:
+                same(one.drop("index"), single[label])
+    text = together["CAO"]._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text
+
+
 def test_series_can_be_shared_through_a_table(cube):
     flags = dict(date_range=RANGE, interpolate="RBF", output_fby=True, output_tsi=True)
     lazy, shared = analyse_series(cube, **flags), analyse_series(cube, share_series=True, **flags)

@@ -106,6 +106,17 @@ def test_sizes_must_divide(spark):
     gridding.check_sizes(30000, (3000, 15000), 20)
 
 
+@pytest.mark.parametrize("grid", ["GLANCE7", "EQUI7"])
+def test_zones_of_known_places(spark, grid):
+    places = {
+        "Muscat": (58.4, 23.6, "AS"), "Riyadh": (46.7, 24.7, "AS"), "Jeddah": (39.2, 21.5, "AS"), "Sanaa": (44.2, 15.4, "AS"),
+        "Jerusalem": (35.2, 31.8, "AS"), "Delhi": (77.2, 28.6, "AS"), "Cairo": (31.2, 30.0, "AF"), "Port Sudan": (37.2, 19.6, "AF"),
+        "Asmara": (38.9, 15.3, "AF"), "Djibouti": (43.1, 11.6, "AF"), "Antananarivo": (47.5, -18.9, "AF"), "Arctic": (20.0, 86.0, "EU"),
+        "Berlin": (13.4, 52.5, "EU"), "Lima": (-77.0, -12.0, "SA"), "Nuuk": (-51.7, 64.2, "NA"), "Darwin": (130.8, -12.5, "OC")}
+    df = spark.createDataFrame([(n, lon, lat) for n, (lon, lat, _) in places.items()], "name string, lon double, lat double")
+    assert {r["name"]: r.zone for r in gridding.project_grid(df, grid).collect()} == {n: z for n, (_, _, z) in places.items()}
+
+
 def test_projection_centre_is_the_origin(spark):
     for name, lon, lat, zone in (("GLANCE7", 20.0, 55.0, "EU"), ("EQUI7", -97.5, 52.0, "NA")):
         row = gridding.project_grid(spark.createDataFrame([(lon, lat)], "lon double, lat double"), name).first()

@@ -57,8 +57,8 @@ def sar_backscatter(dn: DataFrame, lut: DataFrame, coefficient="sigma0-ellipsoid
     """Radar brightness on the ellipsoid: (DN^2 - noise) / A^2.
 
     ``lut`` has calibration nodes ``a``, ``noise`` and ``incidence`` along the
-    pixel axis.  ``elevation`` (``slope, aspect`` per ``on`` key columns in
-    ``options['elevation_key']``) serves the angle bands.  ``options`` may set
+    pixel axis.  ``elevation`` (``slope, aspect``, one row per pixel named by the columns
+    in ``options['elevation_key']``, else one per ``by`` key) serves the angle bands.  ``options`` may set
     ``block`` and ``floor``, the value that replaces a negative noise-free power.
     """
     if coefficient not in COEFFICIENTS:
@@ -67,17 +67,23 @@ def sar_backscatter(dn: DataFrame, lut: DataFrame, coefficient="sigma0-ellipsoid
     looked = lut_asof(dn, lut, on, by, ["a", "noise", "incidence"], options.get("block", 64.0))
     power = F.col("dn") * F.col("dn")
     if noise_removal:
-        power = F.greatest(power - F.col("noise"), F.lit(float(options.get("floor", 0.0))))
+        free = power - F.col("noise")
+        power = F.when(free.isNotNull(), F.greatest(free, F.lit(float(options.get("floor", 0.0)))))
     gain = F.col("a") * F.col("a")
     columns = [*dn.columns, (power / F.nullif(gain, F.lit(0.0))).alias("sigma0")]
     local = F.col("incidence")
     if elevation is not None:
-        key = list(options.get("elevation_key", by))
-        looked = attach(looked, elevation.select(*key, "slope", "aspect"), key, [on])
+        if "elevation_key" in options:
+            # a raster of its own: as many keys as pixels, so copies of it for a hot key would only cost
+            key = list(options["elevation_key"])
+            looked = looked.join(elevation.select(*key, "slope", "aspect").hint("merge"), key, "left")
+        else:
+            looked = attach(looked, elevation.select(*by, "slope", "aspect"), list(by), [on])
         look = F.radians(F.col("incidence"))
         tilt, facing = F.radians("slope"), F.radians(F.col("aspect") - float(options.get("look_azimuth", 90.0)))
         cosine = F.cos(look) * F.cos(tilt) + F.sin(look) * F.sin(tilt) * F.cos(facing)
-        local = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+        # greatest and least pass over NULL
+        local = F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     if mask:
         columns.append(F.when(F.col("a").isNull(), 2).when(F.col("dn") == 0, 1).otherwise(0).alias("mask"))
     if contributing_area:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelfold.functions import dates
+from pixelfold.operators.skew import attach
 
 DEFAULT_TILE_RANGE = (-999, 9999)
 
@@ -101,7 +102,8 @@ def filter_sensors(df: DataFrame, sensors, definitions: DataFrame) -> DataFrame:
     """Rows of the chosen sensors, limited to the bands that all of them have.
 
     ``df`` is long (``sensor, band, ...``); ``definitions`` lists the bands of
-    every sensor as ``sensor, band``.
+    every sensor as ``sensor, band``.  There are few bands and each holds many
+    rows, so the join spreads a band over tasks.
     """
     sensors = sorted(set(sensors))
     shared = (
@@ -111,7 +113,9 @@ def filter_sensors(df: DataFrame, sensors, definitions: DataFrame) -> DataFrame:
         .where(F.col("_n") == len(sensors))
         .select("band")
     )
-    return df.where(F.col("sensor").isin(sensors)).join(shared, "band", "left_semi")
+    spread = [c for c in df.columns if c not in ("sensor", "band")]
+    # one row per band: the join filters and multiplies nothing
+    return attach(df.where(F.col("sensor").isin(sensors)), shared, ["band"], spread, "inner").select(*df.columns)
 
 
 def target_sensor(frames, name: str, bands) -> DataFrame:

@@ -145,6 +145,11 @@ def test_local_angle_on_a_slope(spark):
     slope = spark.createDataFrame([("VV", 10.0, 90.0)], "polarisation string, slope double, aspect double")
     row = sar.sar_backscatter(dn, lut, elevation=slope, local_incidence_angle=True, contributing_area=True).first()
     assert row.local_incidence_angle == pytest.approx(20) and row.contributing_area == pytest.approx(1 / math.sin(math.radians(20)))
+    raster = spark.createDataFrame([(5, 10.0, 90.0), (6, 0.0, 0.0)], "line_pixel int, slope double, aspect double")
+    more = dn.unionByName(spark.createDataFrame([("VV", 6, 1.0), ("VV", 7, 1.0)], dn.schema))
+    found = sar.sar_backscatter(more, lut, elevation=raster, local_incidence_angle=True, options={"elevation_key": ["line_pixel"]})
+    angles = {r.line_pixel: r.local_incidence_angle for r in found.collect()}
+    assert angles == {5: pytest.approx(20), 6: pytest.approx(30), 7: None}
 
 
 def test_merge_none_copies_and_regression_recovers_a_plane(spark):

@@ -133,3 +133,12 @@ def test_log_layouts(spark):
     assert rows["job"].job_id == "j" and rows["job"].levelname == "INFO" and rows["job"].bad_line is None
     assert str(rows["timestamped"].logged_at) == "2024-01-01 00:00:00"
     assert rows["other"].bad_line == "broken {"
+
+
+def test_sensor_filter_keeps_copies_and_shared_bands(spark):
+    rows = [(s, b, 1.0) for s in ("SEN2A", "SEN2B", "SEN2C") for b in ("B2", "B3") for _ in range(50)] + [("SEN2A", "B9", 2.0), (None, "B2", 3.0)]
+    df = spark.createDataFrame(rows, "sensor string, band string, value double")
+    known = spark.createDataFrame([("SEN2A", "B2"), ("SEN2B", "B2"), ("SEN2A", "B9"), ("SEN2A", "B2")], "sensor string, band string")
+    got = select.filter_sensors(df, ["SEN2A", "SEN2B"], known)
+    assert got.columns == df.columns
+    assert {(r.sensor, r.band, r["count"]) for r in got.groupBy("sensor", "band").count().collect()} == {("SEN2A", "B2", 50), ("SEN2B", "B2", 50)}

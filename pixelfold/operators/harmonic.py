@@ -32,8 +32,9 @@ def harmonic_fit(obs: DataFrame, origin, modes=3, trend=True, fit_range=None, ke
                  date="date", value="value") -> DataFrame:
     """Coefficients, RMSE and count per key.
 
-    The normal equations are sums, combined before the shuffle; only the k x k
-    system of each key (k <= 8) reaches Python, in Arrow batches.  A series
+    The normal equations are central moments, combined before the shuffle, so
+    neither large values nor good fits cancel; only the small system of each key
+    (up to 7 x 7) reaches Python, in Arrow batches.  A series
     with fewer observations than unknowns gets NULL coefficients.
     """
     if fit_range:
@@ -41,24 +42,26 @@ def harmonic_fit(obs: DataFrame, origin, modes=3, trend=True, fit_range=None, ke
     base = obs.select(key, day_number(date).alias("_d"), F.col(value).alias("_v"))
     k = 1 + int(trend) + 2 * modes
     terms = regressors(F.col("_d"), origin, modes, trend)
-    # a row without a value adds to no sum, but its key stays
+    # a row without a value adds to no moment, but its key stays
     shaped = base.select(key, "_v", *[F.when(F.col("_v").isNotNull(), t).alias(f"_x{i}") for i, t in enumerate(terms)])
     x = [F.col(f"_x{i}") for i in range(k)]
-    v = F.col("_v")
-    sums = shaped.groupBy(key).agg(
-        F.count(v).alias("n_obs"), F.sum(v * v).alias("_vv"),
-        *[F.sum(x[i] * x[j]).alias(f"_a{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[F.sum(x[i] * v).alias(f"_b{i}") for i in range(k)])
-    matrix = F.array(*[F.col(f"_a{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-    rhs = F.array(*[F.col(f"_b{i}") for i in range(k)])
+    v = F.col("_v").cast("double")
+    moments = shaped.groupBy(key).agg(
+        F.count(v).alias("n_obs"), F.avg(v).alias("_mean"), F.var_pop(v).alias("_var"),
+        *[F.avg(x[i]).alias(f"_m{i}") for i in range(1, k)],
+        *[F.covar_pop(x[i], x[j]).alias(f"_a{i}_{j}") for i in range(1, k) for j in range(i, k)],
+        *[F.covar_pop(x[i], v).alias(f"_b{i}") for i in range(1, k)])
     enough = F.col("n_obs") >= k
-    solved = sums.withColumn("coef", solve_normal(F.when(enough, matrix), F.when(enough, rhs)))
-    explained = F.lit(0.0)
-    for i in range(k):
-        explained = explained + F.get("coef", F.lit(i)) * F.col(f"_b{i}")
-    sse = F.greatest(F.lit(0.0), F.col("_vv") - explained)
-    rmse = F.when(F.col("coef").isNotNull(), F.sqrt(sse / F.col("n_obs")))
-    return solved.select(key, "n_obs", "coef", rmse.alias("rmse"))
+    matrix = F.array(*[F.col(f"_a{min(i, j)}_{max(i, j)}") for i in range(1, k) for j in range(1, k)])
+    rhs = F.array(*[F.col(f"_b{i}") for i in range(1, k)])
+    solved = moments.withColumn("_slopes", solve_normal(F.when(enough, matrix), F.when(enough, rhs)))
+    level, unexplained = F.col("_mean"), F.col("_var")
+    for i in range(1, k):
+        slope = F.get("_slopes", F.lit(i - 1))
+        level, unexplained = level - slope * F.col(f"_m{i}"), unexplained - slope * F.col(f"_b{i}")
+    known = F.col("_slopes").isNotNull()
+    rmse = F.when(known, F.sqrt(F.greatest(F.lit(0.0), unexplained)))
+    return solved.select(key, "n_obs", F.when(known, F.concat(F.array(level), F.col("_slopes"))).alias("coef"), rmse.alias("rmse"))
 
 
 def evaluate(day: Column, origin, modes: int, trend: bool) -> Column:

@@ -198,3 +198,12 @@ def test_band_names(spark):
     df = spark.createDataFrame([("B01",), ("B8A",), ("B10",)], "n string").select(short_band_name(F.col("n")).alias("n"))
     assert [r.n for r in df.collect()] == ["B1", "B8A", "B10"]
     assert series.band_values(spark.createDataFrame([(1, 2.0, 3.0)], "pixel_id int, B04 double, B08 double"), "B4").first().value == 2.0
+
+
+@pytest.mark.parametrize("modes, trend, level", [(1, False, 0.0), (3, True, 0.0), (3, True, 1e7)])
+def test_harmonic_error_of_a_good_fit_far_from_zero(spark, modes, trend, level):
+    noise = 1e-3
+    rows = [(d, level + math.sin(2 * math.pi * d / 365.25) + (noise if d % 2 else -noise)) for d in range(0, 1400, 3)]
+    fit = harmonic.harmonic_fit(frame(spark, rows), DAY0, modes, trend).first()
+    assert len(fit.coef) == 1 + trend + 2 * modes
+    assert fit.rmse == pytest.approx(noise, rel=0.02) and fit.coef[0] == pytest.approx(level, abs=1e-3)

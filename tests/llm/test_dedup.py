@@ -261,6 +261,38 @@ def test_planted_passages(spark):
     assert chains.repeated_passages(docs.where("false")).count() == 0
 
 
+def test_passages_between_shared_lines(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for pair in range(30):
+        def text(n, pair=pair):
+            return [f"p{pair}w{int(i)}" for i in rng.integers(0, 5000, n)]
+
+        line, passage, end = text(12), text(60), text(12)
+        for i in (2 * pair, 2 * pair + 1):
+            head = text(10) + line + text(12 + pair % 9)
+            rows.append((i, " ".join(head + passage + text(20 - pair % 9) + end + text(10))))
+            want[i] = len(head)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in chains.repeated_passages(docs).collect()}
+    assert sorted(got) == [i for i in want if i % 2]
+    for i, r in got.items():
+        assert r["other_id"] == i - 1 and r["identity"] >= 0.8
+        assert r["start_word"] <= want[i] and r["start_word"] + r["n_words"] >= want[i] + 60
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        equal = (rng.random(int(rng.integers(0, 60))) < rng.choice([0.6, 0.8, 0.9])).astype(int)
+        got = chains.stretches(equal, 10, 0.8)
+        fits = [(a, b) for a in range(len(equal)) for b in range(a + 10, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        assert set(got) <= set(fits)
+        assert all(b <= c or d <= a for a, b in got for c, d in got if (a, b) != (c, d))
+        # every stretch that is alike enough meets a found one
+        assert all(any(a < d and c < b for c, d in got) for a, b in fits)
+
+
 def word_list(text):
     return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
 

@@ -14,6 +14,13 @@ CONTEXT = 48
 ACCEPT = 0.5
 
 EMAIL_CHARS = "A-Za-z0-9._%+-"
+# Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
 
 
 def _digits(hit: Column) -> Column:
@@ -55,7 +62,11 @@ def _address(hit: Column) -> Column:
 
 @dataclass(frozen=True)
 class Detector:
-    """``confirm`` turns a hit into true or false; ``score`` is what a confirmed hit has, ``context`` adds ``bonus``."""
+    """``confirm`` turns a hit into true or false; ``score`` is what a confirmed hit has, ``context`` adds ``bonus``.
+
+    With ``passed`` the hit is the first group, seen ahead, and the pattern takes
+    only so many characters; hits may then overlap, and the first confirmed one counts.
+    """
 
     kind: str
     pattern: str
@@ -64,6 +75,14 @@ class Detector:
     context: str
     bonus: float = 0.3
     base: bool = True
+    passed: int | None = None
+
+
+def _iban() -> str:
+    """An account number cut to its country's length; one that does not end there is taken as far as it goes."""
+    sized = [rf"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items()]
+    other = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({'|'.join([*sized, other])}))[A-Z]{{2}}[0-9]{{2}}"
 
 
 # A run of characters is entered only at its start or where the last hit ended, and repeated parts are possessive: the
@@ -74,9 +93,9 @@ DETECTORS = (
     Detector("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", _address, 0.6, r"(?i)\b(?:ip|address|host|server|login)\b"),
     Detector("card", r"[0-9](?:[ -]?[0-9])++", _card, 0.7, r"(?i)\b(?:card|visa|credit|carte|tarjeta|karte)"),
     Detector("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda h: _counts(h, 10, 15), 0.6, r"(?i)\b(?:phone|tel|call|mobile|fax)"),
-    Detector("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    Detector("iban", _iban(),
              lambda h: F.when(F.length(F.regexp_replace(h, " ", "")).between(15, 34), mod97(h)).otherwise(False), 0.7,
-             r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)", base=False),
+             r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)", base=False, passed=4),
     Detector("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,12}+(?![ -]?[0-9])", lambda h: _card(h, 12), 0.3,
              r"(?i)\b(?:card|visa|credit|carte|tarjeta|karte)", base=False),
     Detector("phone", r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -92,10 +111,10 @@ def _spans(text: Column, detector: Detector) -> Column:
     """Confirmed hits of one pattern in order.
 
     The pattern splits the text; positions add up from the lengths of what stands
-    between the hits and of the hits.
+    between the hits and of what the pattern took.
     """
     gaps = F.split(text, detector.pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0 if detector.passed is None else 1))
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(state: Column, part: Column) -> Column:
@@ -109,10 +128,15 @@ def _spans(text: Column, detector: Detector) -> Column:
         good = F.when(hit.isNull(), False).otherwise(detector.confirm(hit))
         if not detector.base:
             good = F.when(good, score >= ACCEPT).otherwise(False)
-        return F.struct((start + F.coalesce(F.length(hit), F.lit(0))).alias("at"),
+        if detector.passed is not None:
+            good = good & (start >= state["free"])
+        taken = F.length(hit) if detector.passed is None else F.lit(detector.passed)
+        return F.struct((start + F.when(hit.isNull(), 0).otherwise(taken)).alias("at"),
+                        F.when(good, end).otherwise(state["free"]).alias("free"),
                         F.when(good, F.concat(state["out"], F.array(span.cast(SPAN)))).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(F.arrays_zip(gaps, hits), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out"))
+    found = F.aggregate(F.arrays_zip(gaps, hits), begin, step, lambda s: s["out"])
     return F.when(text.rlike(detector.pattern), found).otherwise(none)
 
 

@@ -270,6 +270,22 @@ def test_personal_data(spark):
     assert personal.find_personal_data(frame.where("false")).count() == 0
 
 
+def further(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"]:s["end"]]) for s in r["spans"] if s not in r["base"]]
+            for r in personal.find_personal_data(frame).collect()}
+
+
+def test_accounts_before_capitals(spark):
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    cases = {
+        f"IBAN {plain} BIC COBADEFFXXX": [plain], f"{spaced} EUR 500": [spaced], f"IBAN {spaced} GB82 WEST 1234 5698 7654 32 USD": [
+            spaced, "GB82 WEST 1234 5698 7654 32"], f"NO9386011117947 {plain}": ["NO9386011117947", plain],
+        f"AT61 {spaced}": [spaced], f"AT61 DE89 3704 0044 0532 0130 00 {plain}": [spaced, plain], f"{plain}X": [], plain[:-1]: [],
+        f"\U0001F600 IBAN {plain} {plain} A1": [plain, plain]}
+    assert further(spark, list(cases)) == {i: [("iban", v) for v in want] for i, want in enumerate(cases.values())}
+
+
 def test_personal_query(spark, folder, documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     for r in QUERIES["op7_personal_data"](spark, folder).collect():

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Characters before a span that may hold a context word.
 CONTEXT = 48
+# What may stand between the entries of a list that shares one context word: no words but these.
+LISTING = r"(?i)\A(?:[^\p{L}]|\b(?:and|or|und|oder|et|ou|y|o)\b)*+\z"
 # Score from which a span of the method counts.
 ACCEPT = 0.5
 
@@ -111,7 +113,8 @@ def _spans(text: Column, detector: Detector) -> Column:
     """Confirmed hits of one pattern in order.
 
     The pattern splits the text; positions add up from the lengths of what stands
-    between the hits and of what the pattern took.
+    between the hits and of what the pattern took.  A hit is near a context word if
+    one stands between it and the hit before, or if it goes on a list whose first hit is.
     """
     gaps = F.split(text, detector.pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(detector.pattern), F.lit(0 if detector.passed is None else 1))
@@ -121,7 +124,9 @@ def _spans(text: Column, detector: Detector) -> Column:
         gap, hit = part["0"], part["1"]
         start = state["at"] + F.length(gap)
         end = start + F.length(hit)
-        near = F.right(gap, F.lit(CONTEXT)).rlike(detector.context)
+        between = F.substr(gap, state["rest"] + 1)
+        listed = state["near"] & (F.length(between) <= CONTEXT) & F.right(between, F.lit(CONTEXT)).rlike(LISTING)
+        near = F.right(between, F.lit(CONTEXT)).rlike(detector.context) | listed
         score = F.lit(detector.score) + F.when(near, detector.bonus).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(detector.kind)).alias("rank"), end.alias("end"),
                         F.lit(detector.kind).alias("kind"), score.alias("score"))
@@ -130,12 +135,13 @@ def _spans(text: Column, detector: Detector) -> Column:
             good = F.when(good, score >= ACCEPT).otherwise(False)
         if detector.passed is not None:
             good = good & (start >= state["free"])
-        taken = F.length(hit) if detector.passed is None else F.lit(detector.passed)
-        return F.struct((start + F.when(hit.isNull(), 0).otherwise(taken)).alias("at"),
+        whole = F.coalesce(F.length(hit), F.lit(0))
+        taken = whole if detector.passed is None else F.least(whole, F.lit(detector.passed))
+        return F.struct((start + taken).alias("at"), (whole - taken).alias("rest"), near.alias("near"),
                         F.when(good, end).otherwise(state["free"]).alias("free"),
                         F.when(good, F.concat(state["out"], F.array(span.cast(SPAN)))).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("rest"), F.lit(False).alias("near"), F.lit(0).alias("free"), none.alias("out"))
     found = F.aggregate(F.arrays_zip(gaps, hits), begin, step, lambda s: s["out"])
     return F.when(text.rlike(detector.pattern), found).otherwise(none)
 
@@ -146,8 +152,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Positions count code points, the end is exclusive; null is an empty text.
     ``base`` holds the confirmed hits of the base patterns, leftmost and
     non-overlapping per kind, whatever their score.  ``spans`` adds hits of the
-    further patterns whose score, raised by a context word shortly before them,
-    reaches the limit and that overlap no base hit.  Repeated rows are looked at
+    further patterns whose score, raised by a context word shortly before them or
+    before the list they stand in, reaches the limit and that overlap no base hit.  Repeated rows are looked at
     alike; an empty table gives an empty result.  Other columns are not looked
     at.  Only built-in functions are used.
     """

@@ -286,6 +286,21 @@ def test_accounts_before_capitals(spark):
     assert further(spark, list(cases)) == {i: [("iban", v) for v in want] for i, want in enumerate(cases.values())}
 
 
+def test_context_holds_for_lists(spark):
+    account = "DE89370400440532013000"
+    cases = {
+        "Phones: (555) 123-4567, (555) 234-5678": [("phone", "(555) 123-4567"), ("phone", "(555) 234-5678")],
+        "SSN 078-05-1120, 219-09-9999": [("ssn", "078-05-1120"), ("ssn", "219-09-9999")],
+        "ssn 000-12-3456 or 219-09-9999": [("ssn", "219-09-9999")],
+        "card 4222222222222, 4222222222222": [("card", "4222222222222")] * 2,
+        "\U0001F600 fax: " + ", ".join(["(555) 123-4567"] * 6) + " and (555) 123-4567": [("phone", "(555) 123-4567")] * 7,
+        "SSN 000-12-3456 1234567 219-09-9999": [("ssn", "219-09-9999")],
+        "ssn 219-09-9999" + " " * 49 + "219-09-9999": [("ssn", "219-09-9999")],
+        "ssn 219-09-9999 lot 219-09-9999, 219-09-9999": [("ssn", "219-09-9999")],
+        f"phone {account} (555) 123-4567": [("iban", account), ("phone", "(555) 123-4567")]}
+    assert further(spark, list(cases)) == dict(enumerate(cases.values()))
+
+
 def test_personal_query(spark, folder, documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     for r in QUERIES["op7_personal_data"](spark, folder).collect():

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ def _encoder(path: str):
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     # the pre-tokenizer of byte-level BPE, without backtracking
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sorted(added)
 
 
 class Tokenizer:
@@ -55,13 +56,27 @@ class Tokenizer:
 
     A space or line end that no other white space precedes always begins a new
     pre-token, so texts are cut there and every different word is encoded once;
-    texts with longer runs of white space are encoded whole.
+    texts with longer runs of white space are encoded whole.  Texts that hold an
+    added token of the vocabulary are encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
-        self.encode = _encoder(path).encode_ordinary
+        encoder, added = _encoder(path)
+        self.path, self.encode = path, encoder.encode_ordinary
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         (self.line_end,) = self.encode("\n")
 
+    @cached_property
+    def _reference(self):
+        import tokenizers
+        return tokenizers.Tokenizer.from_file(self.path)
+
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that is not cut."""
+        if self.added and self.added.search(text):
+            return np.array(self._reference.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.encode(text), "<u4")
+
     def _pool(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths) of words."""
         starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -88,13 +103,15 @@ class Tokenizer:
         """Ids of every text in order, unsigned 32-bit; null has none."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, _UNCUT)
+        if self.added:
+            whole = pc.or_(whole, pc.match_substring_regex(texts, self.added.pattern))
         cut = pc.if_else(whole, "", texts)
         cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
         codes, offsets, words = numbered(pc.split_pattern(cut, "\0"))
         pool, starts, lengths = self._pool(words)
         for i, uncut in enumerate(whole.to_pylist()):
             if uncut:
-                yield np.array(self.encode(texts[i].as_py()), "<u4")
+                yield self._whole(texts[i].as_py())
             else:
                 own = codes[offsets[i]:offsets[i + 1]]
                 yield gather(pool, starts[own], lengths[own])

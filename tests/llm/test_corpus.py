@@ -324,6 +324,16 @@ def test_tokenizer_agrees():
         assert ids.tolist() == (other.encode(text, add_special_tokens=False).ids if text else []), repr(text)
 
 
+def test_added_tokens_agree():
+    import pyarrow as pa
+    own, other = packing.Tokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|><|endoftext|>\n\n", "a  b <|endoftext|>   c",
+             "<|endoftext |>", "plain words", None, "<|ENDOFTEXT|>", "\0<|endoftext|>\0"]
+    for text, ids in zip(texts, own.ids(pa.array(texts)), strict=True):
+        assert ids.tolist() == (other.encode(text, add_special_tokens=False).ids if text else []), repr(text)
+    assert next(own.ids(pa.array(texts))).tolist() == [64, 220, 50256, 275]
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(60):

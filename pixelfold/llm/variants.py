@@ -21,9 +21,9 @@ LETTERS = re.compile(rb"[a-z\xC0-\xFF]+")
 PIECE = 1 << 22
 HELD = 200_000
 # Parts of a letter vector: two are left out at a time for words of one length, one for neighbouring lengths.
-SAME_PARTS, NEXT_PARTS = 4, 2
+SAME_PARTS, NEXT_PARTS = 3, 2
 # Groups of a signature up to this size compare their words directly.
-SMALL_GROUP = 32
+SMALL_GROUP = 64
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -174,29 +174,27 @@ def _compared(groups: DataFrame) -> DataFrame:
     return one.select("x", F.explode(near).alias("y"))
 
 
-def _refined(members: DataFrame) -> DataFrame:
-    """Large groups, split so that no pair one edit apart is lost: by the word with one letter left out.
+def _refined(words: DataFrame) -> DataFrame:
+    """Groups of words that hold every pair one edit apart: by the word with one letter left out.
 
-    A part holds at most one word for each letter and position left out, however
-    many words share a signature.
+    A group holds one word for each letter that the place left out can have,
+    however many words share a signature.
     """
     length = F.char_length("word")
-    at = F.explode(F.sequence(F.lit(1), length))
-    rest = F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.lit("_"), F.substring("word", F.col("at") + 1, length))
-    blanked = members.select("key", "word", "n", at.alias("at")).select("key", "word", "n", rest.alias("part"))
-    # a longer word without its letter meets the shorter one whole
-    shorter = members.select("key", "word", "n", at.alias("at")).select(
-        "key", "word", "n", F.concat(F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, length)).alias("part"))
-    every = blanked.union(shorter).union(members.select("key", "word", "n", F.col("word").alias("part")))
-    return every.groupBy("key", "part").agg(F.collect_set(F.struct("word", "n")).alias("members")).where(F.size("members") > 1)
+    placed = words.select("word", "n", F.explode(F.sequence(F.lit(1), length)).alias("at"))
+    before, after = F.substring("word", F.lit(1), F.col("at") - 1), F.substring("word", F.col("at") + 1, length)
+    # replaced: equal around the place; inserted: the longer word without its letter is the shorter word whole
+    blanked = placed.select("word", "n", F.explode(F.array(F.xxhash64(before, F.lit(0), after), F.xxhash64(F.concat(before, after)))).alias("part"))
+    parts = blanked.union(words.select("word", "n", F.xxhash64("word").alias("part")))
+    return parts.groupBy("part").agg(F.collect_set(F.struct("word", "n")).alias("members")).where(F.size("members") > 1)
 
 
 def near_words(words: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Pairs (x, y), structs of (word, n) with x.word < y.word, exactly one inserted, deleted or replaced code point apart.
 
     ``words`` has distinct words.  Groups of a signature are counted first;
-    those above ``small_group`` are split further before they are compared, so no
-    group is compared whole and no pair is lost.
+    the words of those above ``small_group`` are grouped anew before they are
+    compared, so no large group is compared whole and no pair is lost.
     """
     keys = signatures(words)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -204,7 +202,7 @@ def near_words(words: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     shared = cut_lineage(keys.withColumn("k", flipped("key", kind)).join(
         sizes.select(flipped("key", kind).alias("k"), "size"), "k").select("key", "word", "n", "size"))
     small = shared.where(F.col("size") <= small_group).groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("members"))
-    large = _refined(shared.where(F.col("size") > small_group))
+    large = _refined(shared.where(F.col("size") > small_group).select("word", "n").distinct())
     return _compared(small).union(_compared(large)).distinct()
 
 

@@ -53,3 +53,12 @@ def any_flag(names, qai="qai") -> Column:
 def is_screened(names=DEFAULT_SCREEN, qai="qai") -> Column:
     """True where an observation carries any of ``names``; NULL counts as clear."""
     return F.coalesce(any_flag(names, qai), F.lit(False))
+
+
+def packed(states: dict[str, Column]) -> Column:
+    """The quality word of named conditions; of the states of one field the first that holds counts."""
+    fields: dict[int, Column] = {}
+    for name, holds in reversed(states.items()):
+        bit, _, state = LAYOUT[name]
+        fields[bit] = F.when(F.coalesce(holds, F.lit(False)), state << bit).otherwise(fields.get(bit, F.lit(0)))
+    return reduce(lambda a, b: a + b, fields.values(), F.lit(0)).cast("int")

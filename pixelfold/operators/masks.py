@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelfold.functions.indices import normalized, ratio, role_columns
-from pixelfold.operators import focal
+from pixelfold.operators import flood, focal, lines
 from pixelfold.operators.skew import attach, grouped_percentile
 
 # Class codes of raster masks (fixed values).
@@ -107,23 +107,29 @@ def cloud_features(grid: DataFrame) -> DataFrame:
 
 
 def classify_clouds(grid: DataFrame, cloud_threshold=0.225, shadow_threshold=0.02,
-                    key="scene_id", block=focal.BLOCK, carry=()) -> DataFrame:
+                    key="scene_id", block=focal.BLOCK, carry=(), sun=None, resolution=20.0, heights=(200, 12000)) -> DataFrame:
     """``cloud`` and ``shadow`` flags per pixel; columns named in ``carry`` are kept.
 
     Cloud: a potential pixel whose probability exceeds the scene's 82.5th
     percentile over clear pixels by the threshold.  Shadow: near infrared lower
-    than the maximum of its 5x5 surroundings by more than the threshold.
+    than its level with all hollows filled (``flood.fill_holes``) by more than
+    the threshold and, where the sun's zenith and azimuth are given (numbers or
+    columns), with a cloud towards the sun that may stand at one of ``heights``.
     """
     nir = role_columns(grid.columns)["BNIR"]
     pixels = cloud_features(grid).select(key, "x", "y", "potential", "probability", nir.alias("_nir"), *carry)
-    clear = pixels.where(~F.col("potential"))
+    clear = pixels.where(~F.col("potential") & F.col("_nir").isNotNull())
     limit = grouped_percentile(clear, [key], "probability", 0.825, "_limit")
     judged = attach(pixels, limit, [key], ["x", "y"])
     cloud = F.col("potential") & (F.col("probability") > F.coalesce(F.col("_limit"), F.lit(0.0)) + cloud_threshold)
     flagged = judged.withColumn("cloud", cloud).drop("_limit")
-    around = focal.square_stat(flagged, ["_nir"], 2, "max", (key,), block, ["cloud", "probability", *carry])
-    shadow = ~F.col("cloud") & (F.col("_nir_env") - F.col("_nir") > shadow_threshold)
-    return around.select(key, "x", "y", *carry, "probability", "cloud", F.coalesce(shadow, F.lit(False)).alias("shadow"))
+    level = flood.fill_holes(pixels, "_nir", (key,), block, "_level")
+    sunk = flagged.join(level, [key, "x", "y"], "left")
+    shadow = ~F.col("cloud") & F.coalesce(F.col("_level") - F.col("_nir") > shadow_threshold, F.lit(False))
+    if sun is not None:
+        sunk = lines.under_clouds(sunk, "cloud", sun, resolution, heights, key, "_under")
+        shadow = shadow & F.col("_under")
+    return sunk.select(key, "x", "y", *carry, "probability", "cloud", shadow.alias("shadow"))
 
 
 def erase_clouds(df: DataFrame, bands, cloud: Column | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,19 +60,79 @@ def topo_correct(grid: DataFrame, bands, sun_zenith, cos_i="cos_i", keys=("scene
     return fitted.withColumns(out).select(*grid.columns)
 
 
+COEFFICIENTS = ("tg", "rho_path", "t_total", "albedo")
+# Axes of a table of coefficients, and the most nodes an axis may have.
+AXES = ("aod", "sun_zenith", "view_zenith")
+MOST_NODES = 256
+
+
+def _placed(value: Column, nodes: list[float]) -> tuple[Column, Column]:
+    """Number of the interval of an axis and how far into it a value lies, from 0 to 1; values beyond the ends count as the ends."""
+    if len(nodes) == 1:
+        return F.lit(0), F.lit(0.0)
+    at = reduce(lambda a, b: a + b, [(value >= n).cast("int") for n in nodes[1:-1]], F.lit(0))
+    low, high = (F.get(F.lit(nodes[i:len(nodes) - 1 + i]), at) for i in (0, 1))
+    return at, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+
+
+def coefficient_cells(lut: DataFrame, bands, axes: dict[str, list[float]]) -> DataFrame:
+    """One row per cell of the table's axes: ``_c_<axis>`` and per band the coefficients at its eight corners.
+
+    ``_n_<band>`` is an array of the corners, an array of ``COEFFICIENTS`` each; a
+    corner's number has bit i set if it is the upper end of axis i.
+    """
+    corners = lut.where(F.col("band").isin(list(bands)))
+    number = F.lit(0)
+    for i, (axis, nodes) in enumerate(axes.items()):
+        at = (F.array_position(F.lit(nodes), F.col(axis)) - 1).cast("int")
+        # a node is the lower end of its own cell and the upper end of the one before; a single node is both
+        ends = ([F.struct(F.lit(0).alias("cell"), F.lit(b).alias("bit")) for b in (0, 1)] if len(nodes) == 1 else
+                [F.when(at < len(nodes) - 1, F.struct(at.alias("cell"), F.lit(0).alias("bit"))),
+                 F.when(at > 0, F.struct((at - 1).alias("cell"), F.lit(1).alias("bit")))])
+        corners = corners.withColumn(f"_e_{axis}", F.explode(F.array_compact(F.array(*ends))))
+        number = number + F.col(f"_e_{axis}.bit") * (1 << i)
+    held = F.struct(number.alias("corner"), F.array(*[F.col(c).cast("double") for c in COEFFICIENTS]).alias("at"))
+    cells = corners.groupBy(*[F.col(f"_e_{a}.cell").alias(f"_c_{a}") for a in axes]).agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("band") == b, held))).alias(f"_n_{b}") for b in bands])
+    full = 1 << len(axes)
+    return cells.select(*[f"_c_{a}" for a in axes], *[
+        F.when(F.size(f"_n_{b}") == full, F.col(f"_n_{b}.at")).when(
+            F.size(f"_n_{b}") > 0, F.raise_error(F.lit(f"the coefficients of {b} do not fill their axes once"))).alias(f"_n_{b}") for b in bands])
+
+
+def _interpolated(grid: DataFrame, lut: DataFrame, bands) -> DataFrame:
+    """Add ``_<coefficient>_<band>``, linear in every axis between the nodes of the table."""
+    found = lut.agg(*[F.sort_array(F.collect_set(F.col(a).cast("double"))).alias(a) for a in AXES]).first()
+    axes = {a: list(found[a]) for a in AXES}
+    if any(not 0 < len(nodes) <= MOST_NODES for nodes in axes.values()):
+        raise ValueError(f"every axis of the coefficients needs 1 to {MOST_NODES} nodes")
+    placed = grid
+    for a, nodes in axes.items():
+        at, share = _placed(F.col(a), nodes)
+        placed = placed.withColumns({f"_c_{a}": at, f"_s_{a}": share})
+    joined = placed.join(coefficient_cells(lut, bands, axes), [f"_c_{a}" for a in axes], "left")
+    weights = [reduce(lambda x, y: x * y, [F.col(f"_s_{a}") if k >> i & 1 else 1 - F.col(f"_s_{a}") for i, a in enumerate(axes)])
+               for k in range(1 << len(axes))]
+    joined = joined.withColumns({f"_w{k}": w for k, w in enumerate(weights)})
+    return joined.withColumns({
+        f"_{c}_{b}": reduce(lambda x, y: x + y, [F.col(f"_w{k}") * F.get(F.get(F.col(f"_n_{b}"), F.lit(k)), F.lit(j)) for k in range(len(weights))])
+        for b in bands for j, c in enumerate(COEFFICIENTS)})
+
+
 def atmo_correct(grid: DataFrame, lut: DataFrame, bands, do_atmo=True, multi=True, key="scene_id") -> DataFrame:
-    """Top to bottom of atmosphere with one coefficient row per scene and band.
+    """Top to bottom of atmosphere; off, reflectance passes through.
 
-    ``lut``: ``scene_id, band, scattering ('multi'|'single'), tg, rho_path, t_total, albedo``.
-    Off, reflectance passes through.
+    ``lut``: ``band, scattering ('multi'|'single'), tg, rho_path, t_total, albedo``,
+    with either ``scene_id``, one row per scene and band, or the ``AXES`` ``aod,
+    sun_zenith, view_zenith``: a grid of nodes, between which coefficients are
+    interpolated for the aerosol and the angles of every pixel.  Values beyond the
+    nodes take those at the ends.
     """
     if not do_atmo:
         return grid
-    wanted = lut.where((F.col("scattering") == ("multi" if multi else "single")) & F.col("band").isin(list(bands)))
-    names = ("tg", "rho_path", "t_total", "albedo")
-    wide = wanted.groupBy(key).agg(*[
-        F.max(F.when(F.col("band") == b, F.col(n))).alias(f"_{n}_{b}") for b in bands for n in names])
-    joined = attach(grid, wide, [key], ["x", "y"])
+    bands = list(bands)
+    wanted = lut.where((F.col("scattering") == ("multi" if multi else "single")) & F.col("band").isin(bands))
+    joined = _interpolated(grid, wanted, bands) if "aod" in lut.columns else _by_scene(grid, wanted, bands, key)
     out = {}
     for b in bands:
         surface = F.col(b) / F.col(f"_tg_{b}") - F.col(f"_rho_path_{b}")
@@ -79,6 +140,17 @@ def atmo_correct(grid: DataFrame, lut: DataFrame, bands, do_atmo=True, multi=Tru
     return joined.withColumns(out).select(*grid.columns)
 
 
+def _by_scene(grid: DataFrame, wanted: DataFrame, bands, key: str) -> DataFrame:
+    wide = wanted.groupBy(key).agg(*[
+        F.max(F.when(F.col("band") == b, F.col(n))).alias(f"_{n}_{b}") for b in bands for n in COEFFICIENTS])
+    return attach(grid, wide, [key], ["x", "y"])
+
+
+def optical_depth(darkest: Column, gain=5.0, dark=0.02) -> Column:
+    """Aerosol optical depth from the reflectance of dark objects."""
+    return F.greatest(F.lit(0.0), (darkest - dark) * gain)
+
+
 def estimate_aod(grid: DataFrame, external: DataFrame | None = None, band="BLUE", key="scene_id",
                  gain=5.0, dark=0.02) -> DataFrame:
     """Aerosol optical depth per scene.
@@ -87,7 +159,7 @@ def estimate_aod(grid: DataFrame, external: DataFrame | None = None, band="BLUE"
     over ``dark`` maps linearly to optical depth.  Supplied values win.
     """
     low = grouped_percentile(grid, [key], band, 0.01, "_dark")
-    internal = low.select(key, F.greatest(F.lit(0.0), (F.col("_dark") - dark) * gain).alias("_internal"))
+    internal = low.select(key, optical_depth(F.col("_dark"), gain, dark).alias("_internal"))
     if external is None:
         return internal.withColumnRenamed("_internal", "aod").withColumn("source", F.lit("internal"))
     return internal.join(external.select(key, F.col("aod").alias("_external")), key, "left").select(

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelfold.functions.projections import GRIDS
-from pixelfold.operators import gridding, masks, merge, reflectance, resample, select
+from pixelfold.operators import flags, gridding, masks, merge, reflectance, resample, select
 from pixelfold.operators.skew import attach
 from pixelfold.plans.parameters import SceneParameters, read_parameters
 from pixelfold.plans.series_analysis import band_columns
 from pixelfold.session import scratch_path
 
 KEY = ["scene_id", "x", "y"]
+# What flags and corrections need on the way; not part of the reflectance product.
+HELPERS = ("cloud", "cirrus", "shadow", "snow", "water", "slope", "aspect", "cos_i", "shaded", "aod", "aod_state")
 
 
 def rings_of(aoi) -> list:
@@ -29,27 +31,6 @@ def rings_of(aoi) -> list:
     raise ValueError("the area of interest must be a polygon")
 
 
-def flag_masks(grid: DataFrame, p: SceneParameters) -> DataFrame:
-    """Add cloud, cirrus, shadow and snow flags and the quality word with their buffers.
-
-    ``grid`` may carry ``class`` from an earlier step for cirrus and snow.
-    """
-    carry = [c for c in grid.columns if c not in KEY]
-    known = F.col("class") if "class" in carry else F.lit(None).cast("int")
-    flagged = masks.classify_clouds(grid, p.cloud_threshold, p.shadow_threshold, carry=carry).drop("probability").withColumns({
-        "cirrus": F.coalesce(known == masks.CIRRUS, F.lit(False)), "snow": F.coalesce(known == masks.SNOW, F.lit(False))})
-    buffers = {"cloud": p.cloud_buffer, "cirrus": p.cirrus_buffer, "shadow": p.shadow_buffer, "snow": p.snow_buffer}
-    near = masks.buffer_masks(flagged, buffers, p.resolution)
-    bands = [F.col(b) for b in band_columns(grid.columns)]
-    any_band = lambda test: F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(test(b), F.lit(False)) for b in bands]), F.lit(False))
-    # states and bits of the quality word, in the layout of functions.qai
-    cloud_state = F.when(F.col("cloud"), 2).when(F.col("near_cirrus"), 3).when(F.col("near_cloud"), 1).otherwise(0)
-    bit = lambda condition, value: F.when(condition, value).otherwise(0)
-    word = (bit(bands[0].isNull(), 1) + cloud_state * 2 + bit(F.col("near_shadow"), 8) + bit(F.col("near_snow"), 16)
-            + bit(any_band(lambda b: b < 0), 256) + bit(any_band(lambda b: b > 1), 512))
-    return near.withColumn("qai", word.cast("int")).drop(*[f"near_{n}" for n in buffers])
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -61,14 +42,50 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def flag_masks(grid: DataFrame, p: SceneParameters, external_aod: DataFrame | None = None, aerosol_cell=256,
+               aerosol_least=20) -> DataFrame:
+    """Add the flags ``cloud, cirrus, shadow, snow, water``, what light and aerosol need, and the quality word.
+
+    ``grid`` may carry ``class`` from an earlier step for cirrus and snow; without
+    it the cirrus band tells cirrus and a spectral test snow.  Sun angles limit
+    shadows to places that a cloud can shade and give, with ``dem``, the states of
+    illumination; aerosol is looked at when the atmosphere is corrected.
+    """
+    sunny = {"sun_zenith", "sun_azimuth"} <= set(grid.columns)
+    bands = band_columns(grid.columns)
+    if sunny and "dem" in grid.columns:
+        # read several times from here on, as are the classes below
+        grid = stage(flags.light(grid, resolution=float(p.resolution)), "lit")
+    carry = [c for c in grid.columns if c not in KEY]
+    flagged = masks.classify_clouds(
+        grid, p.cloud_threshold, p.shadow_threshold, carry=carry, sun=("sun_zenith", "sun_azimuth") if sunny else None,
+        resolution=float(p.resolution)).drop("probability")
+    if "class" in carry:
+        cirrus, snow = F.col("class") == masks.CIRRUS, F.col("class") == masks.SNOW
+    else:
+        cirrus, snow = flags.cirrus(carry), flags.snow(carry) & ~F.col("cloud")
+    flagged = flagged.withColumns({
+        "cirrus": F.coalesce(cirrus, F.lit(False)), "snow": F.coalesce(snow, F.lit(False)), "water": flags.water(carry)})
+    if p.do_atmo:
+        flagged = stage(flagged, "classified")
+        clear = ~(F.col("cloud") | F.col("cirrus") | F.col("shadow"))
+        cells = flags.aerosol(flagged, clear if p.do_aod else F.lit(False), aerosol_cell, aerosol_least,
+                              None if p.do_aod else external_aod)
+        flagged = flags.with_aerosol(flagged, cells, aerosol_cell)
+    buffers = {"cloud": p.cloud_buffer, "cirrus": p.cirrus_buffer, "shadow": p.shadow_buffer, "snow": p.snow_buffer}
+    near = masks.buffer_masks(flagged, buffers, p.resolution)
+    return flags.quality_word(near, bands).drop(*[f"near_{n}" for n in buffers])
+
+
 def correct(grid: DataFrame, p: SceneParameters, lut=None, bands=(), reach=3, strength=0.1) -> DataFrame:
     """Atmosphere, terrain, adjacency and anisotropy, as switched on."""
     if p.do_atmo and lut is not None:
         grid = reflectance.atmo_correct(grid, lut, bands, True, p.do_multi_scattering)
     if p.do_topo and "dem" in grid.columns:
-        slopes = reflectance.terrain(grid, resolution=float(p.resolution))
-        lit = grid.join(slopes, KEY, "left").withColumn("cos_i", reflectance.illumination("sun_zenith", "sun_azimuth"))
-        grid = reflectance.topo_correct(lit, bands, "sun_zenith").drop("slope", "aspect", "cos_i")
+        if "cos_i" not in grid.columns:
+            slopes = reflectance.terrain(grid, resolution=float(p.resolution))
+            grid = grid.join(slopes, KEY, "left").withColumn("cos_i", reflectance.illumination("sun_zenith", "sun_azimuth"))
+        grid = reflectance.topo_correct(grid, bands, "sun_zenith")
     if p.do_atmo and p.do_adjacency:
         carry = [c for c in grid.columns if c not in (*KEY, *bands)]
         grid = reflectance.adjacency_correct(grid, bands, reach, strength, carry=carry)
@@ -111,7 +128,7 @@ def place(df: DataFrame, p: SceneParameters, origin_xy) -> DataFrame:
 
 def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFrame | None = None,
                    external_aod: DataFrame | None = None, eight_bit=(), input_resolution=None, origin_xy=(0.0, 0.0),
-                   dst_reach=600, impulse_limit=32.0, adjacency_reach=3, adjacency_strength=0.1, overview_factor=10,
+                   dst_reach=600, impulse_limit=32.0, adjacency_reach=3, adjacency_strength=0.1, overview_factor=10, aerosol_cell=256,
                    **parameters) -> dict[str, DataFrame]:
     """Products of the preparation: ``BOA`` (or ``TOA``) with ``qai``, and the optional ones.
 
@@ -120,6 +137,8 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
     Rasters are resampled first when ``input_resolution`` differs from ``resolution``.
     Distances reach ``dst_reach`` metres; the other limits (8-bit impulse, adjacency in
     pixels and strength, overview factor) are parameters too.
+    A ``lut`` over aerosol and angles is interpolated for every pixel (see
+    ``reflectance.atmo_correct``); aerosol is estimated in cells of ``aerosol_cell`` pixels.
     ``coarse`` holds further bands on cells of 2x2 pixels (``scene_id, cx, cy``).
     The flagged scenes are written to the shared folder when this is called;
     everything after that is lazy.
@@ -132,7 +151,7 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
         grid = grid.drop(*eight_bit).join(clean, KEY)
     if input_resolution:
         grid = regrid(grid, p.resolution / input_resolution, p.resampling, band_columns(grid.columns))
-    flagged = stage(flag_masks(grid, p), "flagged")
+    flagged = stage(flag_masks(grid, p, external_aod, aerosol_cell), "flagged")
     flagged = masks.cloud_cover_frame(flagged, p.max_cloud_cover_frame, cloud=F.col("cloud") | F.col("cirrus"))
     if coarse is not None:
         roles = [c for c in coarse.columns if c not in ("scene_id", "cx", "cy")]
@@ -149,13 +168,16 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
     tiled = place(corrected, p, origin_xy)
     tiled = masks.cloud_cover_tile(tiled, p.max_cloud_cover_tile, ("scene_id", "zone", "tile_x", "tile_y"), F.col("cloud") | F.col("cirrus"))
     # without coefficients nothing was corrected
-    out = {"BOA" if p.do_atmo and lut is not None else "TOA": tiled.drop("cloud", "cirrus", "shadow", "snow")}
+    out = {"BOA" if p.do_atmo and lut is not None else "TOA": tiled.drop(*HELPERS)}
     coded = flagged.withColumn("class", F.when(F.col("cloud"), masks.OPAQUE).when(F.col("shadow"), masks.SHADOW).when(F.col("snow"), masks.SNOW))
     if p.output_dst:
         out["DST"] = masks.distance_to_mask(coded.select(*KEY, "class"), (masks.OPAQUE, masks.SHADOW, masks.SNOW), dst_reach, p.resolution)
     if p.output_aod:
-        aod = reflectance.estimate_aod(flagged, None if p.do_aod else external_aod)
-        out["AOD"] = attach(flagged.select(*KEY), aod, ["scene_id"], ["x", "y"])
+        if "aod" in flagged.columns:
+            out["AOD"] = flagged.select(*KEY, "aod", F.lower("aod_state").alias("source"))
+        else:
+            aod = reflectance.estimate_aod(flagged, None if p.do_aod else external_aod)
+            out["AOD"] = attach(flagged.select(*KEY), aod, ["scene_id"], ["x", "y"])
     if p.output_wvp and "wvp" in flagged.columns:
         out["WVP"] = flagged.select(*KEY, "wvp")
     if p.output_vzn:
@@ -163,8 +185,8 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
     if p.output_hot:
         out["HOT"] = hazy.select(*KEY, "hot")
     if p.output_ovv:
-        first = F.col(bands[0])
+        any_band = lambda test: reduce(lambda a, b: a | b, [F.coalesce(test(F.col(b)), F.lit(False)) for b in bands])
         out["OVV"] = reflectance.overview(flagged, overview_factor, {
             "cloud": F.col("cloud"), "cirrus": F.col("cirrus"), "shadow": F.col("shadow"), "snow": F.col("snow"),
-            "saturated": first > 1, "subzero": first < 0})
+            "saturated": any_band(lambda b: b > 1), "subzero": any_band(lambda b: b < 0)})
     return out

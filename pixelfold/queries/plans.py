@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelfold.plans.scene_preparation import prepare_scenes
+from pixelfold.plans.parameters import SceneParameters, read_parameters
+from pixelfold.plans.scene_preparation import flag_masks, prepare_scenes
 from pixelfold.plans.series_analysis import analyse_series, analyse_together
 from pixelfold.queries import fixtures as fx
 from pixelfold.operators.polar import METRICS
 from pixelfold.queries.analysis import METRIC_SQL, POLARMETRICS, _cat_sql, _trend_sql
 from pixelfold.queries.base import query, r, rounded
 from pixelfold.queries.fixtures import FIRST, LAST, ctes
-from pixelfold.queries.rasters import CLOUD_STEPS, grid_sql, scattering_lut
+from pixelfold.queries.rasters import _TERRAIN, CLOUD_STEPS, grid_sql, scattering_lut
 
 
 def cube(spark, sf):
@@ -119,6 +120,72 @@ def _prepare(spark, sf):
     return out.select("scene_id", "x", "y", "BLUE", "GREEN", "RED", "qai", "zone", "tile")
 
 
+# Stretched rasters of three scenes a block, so that every condition of the quality word occurs.
+def wide_scenes(spark, sf):
+    grid = fx.grid(spark, sf).withColumn("scene_id", F.col("scene_id") * 3 + F.floor(F.col("y") / 4).cast("int"))
+    raw = fx.table(spark, sf, "embeddings").select(
+        (F.expr("vec_id div 250") * 3 + F.floor(F.expr("(vec_id % 250) div 25") / 4)).cast("bigint").alias("scene_id"),
+        (F.col("vec_id") % 25).cast("int").alias("x"), F.expr("(vec_id % 250) div 25").cast("int").alias("y"),
+        (F.col("embedding")[10].cast("double") * 0.05).alias("CIRRUS"))
+    even = F.floor(F.col("scene_id") / 3) % 2 == 0
+    bands = {b: F.when(F.col("class") != 4, (F.col(b) - 0.5) * 2.5 + 0.35 + (F.when(F.col("x") == 7, 0.7).otherwise(0.0) if b == "SWIR2" else 0.0))
+             for b in fx.BANDS}
+    return grid.join(raw, ["scene_id", "x", "y"]).withColumns({
+        **bands, "dem": F.col("dem") * 0.03, "sun_zenith": F.when(even, 35.0).otherwise(78.0),
+        "sun_azimuth": F.when(even, 100.0).otherwise(250.0), "wvp": F.when(F.col("class") != 9, F.col("NIR"))}).drop("class")
+
+
+def _stretched(b):
+    more = " + CASE WHEN x = 7 THEN 0.7::double ELSE 0 END" if b == "SWIR2" else ""
+    return f'CASE WHEN class <> 4 THEN ("{b}" - 0.5)*2.5::double + 0.35::double{more} END AS "{b}"'
+
+
+def _state(*pairs):
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " ELSE 0 END"
+
+
+LINES = """SELECT *, sin(radians(azi)) AS e, -cos(radians(azi)) AS s,
+  CASE WHEN abs(e) >= abs(s) THEN y - floor(s/e*x + 0.5) ELSE x - floor(e/s*y + 0.5) END AS line,
+  CASE WHEN abs(e) >= abs(s) THEN x*sign(e)*sqrt(1 + (s/e)**2)*20 ELSE y*sign(s)*sqrt(1 + (e/s)**2)*20 END AS ahead FROM lit"""
+SHADED = """SELECT scene_id, x, y, coalesce(max(h) OVER (PARTITION BY scene_id, line ORDER BY ahead DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > h, false) AS shaded
+  FROM (SELECT *, dem - ahead/tan(radians(zen)) AS h FROM l)"""
+UNDER = """SELECT scene_id, x, y, coalesce(bool_or(cloud) OVER (PARTITION BY scene_id, line ORDER BY ahead/tan(radians(zen))
+  RANGE BETWEEN 200.0::double FOLLOWING AND 12000.0::double FOLLOWING), false) AS under FROM l JOIN f USING (scene_id, x, y)"""
+
+
+@query("quality_word", ctes(
+    "grid", raw="""SELECT g.* EXCLUDE (scene_id), g.scene_id*3 + g.y//4 AS scene_id, embedding[11]::double*0.05::double AS cir
+  FROM grid g JOIN embeddings v ON g.scene_id = v.vec_id//250 AND g.x = v.vec_id % 25 AND g.y = (v.vec_id % 250)//25""")
+    .replace("WITH grid AS", "WITH RECURSIVE first AS").replace("FROM grid g", "FROM first g").rstrip() + ",\n" + ",\n".join(f"{n} AS ({q})" for n, q in {
+    "grid": "SELECT scene_id, x, y, class, cir, dem*0.03::double AS dem, CASE WHEN class <> 9 THEN \"NIR\" END AS wvp, "
+            + ", ".join(_stretched(b) for b in fx.BANDS) + " FROM raw",
+    "lit": """SELECT *, CASE WHEN scene_id//3 % 2 = 0 THEN 35.0::double ELSE 78 END AS zen, CASE WHEN scene_id//3 % 2 = 0 THEN 100.0::double ELSE 250 END AS azi FROM grid""",
+    "t": _TERRAIN, "l": LINES, "sh": SHADED, **CLOUD_STEPS, "u": UNDER,
+    "fl": """SELECT f.scene_id, f.x, f.y, coalesce(f.cloud, false) AS cloud, NOT coalesce(f.cloud, false) AND coalesce(m.top - f.nir > 0.1, false) AND u.under AS shadow,
+  g.cir > 0.01 AS cirrus, NOT coalesce(f.cloud, false) AND coalesce(("GREEN"-"SWIR1")/nullif("GREEN"+"SWIR1", 0) > 0.4 AND "BNIR" > 0.11 AND "GREEN" > 0.1, false) AS snow,
+  coalesce((("BNIR"-"RED")/nullif("BNIR"+"RED", 0) < 0.01 AND "BNIR" < 0.11) OR (("BNIR"-"RED")/nullif("BNIR"+"RED", 0) < 0.1 AND "BNIR" < 0.05), false) AS water
+  FROM f JOIN grid g USING (scene_id, x, y) JOIN u USING (scene_id, x, y) LEFT JOIN m USING (scene_id, x, y)""",
+    "nc": _near("cloud", 2), "ni": _near("cirrus", 1), "ns": _near("shadow", 1), "nw": _near("snow", 1.5),
+    "a": """SELECT scene_id, x//4 AS ax, y//4 AS ay, count("BLUE") FILTER (NOT (cloud OR cirrus OR shadow)) AS n,
+  greatest(0, (quantile_cont("BLUE", 0.01) FILTER (NOT (cloud OR cirrus OR shadow)) - 0.02)*5) AS own FROM grid JOIN fl USING (scene_id, x, y) GROUP BY ALL""",
+    "ae": "SELECT *, avg(CASE WHEN n >= 12 THEN own END) OVER (PARTITION BY scene_id) AS mean FROM a",
+    "q": "SELECT *, cos(radians(zen))*cos(slope) + sin(radians(zen))*sin(slope)*cos(radians(azi) - aspect) AS ci FROM lit JOIN t USING (scene_id, x, y)",
+}.items()) + f"""
+SELECT scene_id, x, y, {_state(('class = 4', 1))} + {_state(('fl.cloud', 4), ('ni.x IS NOT NULL', 6), ('nc.x IS NOT NULL', 2))}
+  + {_state(('ns.x IS NOT NULL', 8))} + {_state(('nw.x IS NOT NULL', 16))} + {_state(('fl.water AND NOT fl.cloud', 32))}
+  + {_state(('ae.mean IS NULL', 192), ('ae.n < 12', 64), ('coalesce(CASE WHEN ae.n >= 12 THEN ae.own END, ae.mean) > 0.6', 128))}
+  + {_state((' OR '.join(f'"{b}" < 0' for b in fx.BANDS), 256))} + {_state((' OR '.join(f'"{b}" > 1' for b in fx.BANDS), 512))}
+  + {_state(('zen > 75', 1024))} + {_state(('sh.shaded OR ci <= 0', 3 << 11), ('ci < cos(radians(80))', 2 << 11), ('ci < cos(radians(55))', 1 << 11))}
+  + {_state(('degrees(slope) > 2', 1 << 13))} + {_state(('wvp IS NULL', 1 << 14))} AS qai
+FROM q JOIN fl USING (scene_id, x, y) JOIN sh USING (scene_id, x, y) JOIN ae ON ae.scene_id = q.scene_id AND ae.ax = q.x//4 AND ae.ay = q.y//4
+LEFT JOIN nc USING (scene_id, x, y) LEFT JOIN ni USING (scene_id, x, y) LEFT JOIN ns USING (scene_id, x, y) LEFT JOIN nw USING (scene_id, x, y)""")
+def _quality_word(spark, sf):
+    """All 18 conditions of the quality word, each from its own test."""
+    p = read_parameters(SceneParameters, dict(
+        cloud_threshold=0.02, shadow_threshold=0.1, cloud_buffer=40, cirrus_buffer=20, shadow_buffer=20, snow_buffer=30))
+    return flag_masks(wide_scenes(spark, sf), p, aerosol_cell=4, aerosol_least=12).select("scene_id", "x", "y", "qai")
+
+
 @query("prepare_scenes_full")
 def _prepare_full(spark, sf):
     """All corrections on; the rows are checked by the tests of its parts."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pixelfold.functions import projections as prj
 from pixelfold.functions.kernels import gaussian_sigma
 from pixelfold.functions.qai import has_flag
-from pixelfold.operators import gridding, masks, merge, reflectance, resample, sar
+from pixelfold.operators import flags, gridding, masks, merge, reflectance, resample, sar
 from pixelfold.queries import fixtures as fx
 from pixelfold.queries.base import query, r
 from pixelfold.queries.fixtures import ctes
@@ -196,8 +196,14 @@ CLOUD_STEPS = {
     "c": _CLOUDS,
     "lim": "SELECT scene_id, quantile_cont(probability, 0.825) AS lim FROM c WHERE NOT potential GROUP BY 1",
     "f": "SELECT c.*, potential AND probability > coalesce(lim, 0) + 0.02 AS cloud FROM c LEFT JOIN lim USING (scene_id)",
-    "m": """SELECT a.scene_id, a.x, a.y, max(b.nir) AS top FROM f a JOIN f b ON a.scene_id = b.scene_id
-  AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL""",
+    "fn": "SELECT * FROM f WHERE nir IS NOT NULL",
+    # water levels: every way in from the border, by the highest pixel on it
+    "m": """WITH RECURSIVE step(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)), w(scene_id, x, y, level) AS (
+  SELECT a.scene_id, a.x, a.y, a.nir FROM fn a JOIN step s ON true LEFT JOIN fn b ON b.scene_id = a.scene_id AND b.x = a.x + s.dx AND b.y = a.y + s.dy
+  WHERE b.x IS NULL
+  UNION SELECT b.scene_id, b.x, b.y, greatest(w.level, b.nir) FROM w, step s, fn b
+  WHERE b.scene_id = w.scene_id AND b.x = w.x + s.dx AND b.y = w.y + s.dy
+) SELECT scene_id, x, y, min(level) AS top FROM w GROUP BY ALL""",
 }
 
 
@@ -272,6 +278,64 @@ def _atmo(i, b):
     return f"{r(f'{y}/((0.8::double + 0.02::double*{i}) + 0.02::double*{y})')} AS \"{b}\""
 
 
+# Coefficients over aerosol and angles, from the mean brightness of all scenes: 3 x 3 x 2 nodes.
+NODES = {"aod": (0.0, 0.25, 1.0), "sun_zenith": (20.0, 40.0, 70.0), "view_zenith": (0.0, 12.0)}
+
+
+def aerosol_lut(grid):
+    dark = grid.agg(F.avg("BLUE").alias("m"))
+    for axis, nodes in NODES.items():
+        dark = dark.withColumn(axis, F.explode(F.array(*[F.lit(n) for n in nodes])))
+    bent = 1 + F.col("aod") * F.col("aod") + F.col("sun_zenith") / 100 + F.col("view_zenith") / 50
+    rows = [F.struct(F.lit(b).alias("band"), F.lit(s).alias("scattering"), (F.lit(0.9) - 0.01 * F.col("aod") * (i + 1)).alias("tg"),
+                     (F.col("m") * bent * k / (i + 4)).alias("rho_path"), (F.lit(0.95) - F.col("aod") * F.col("sun_zenith") / 400).alias("t_total"),
+                     (F.lit(0.1 * k) + F.col("aod") / 10).alias("albedo"))
+            for i, b in enumerate(("BLUE", "GREEN", "RED")) for s, k in (("multi", 0.2), ("single", 0.1))]
+    return dark.select(*NODES, F.inline(F.array(*rows)))
+
+
+def _between(axis, v):
+    """Weight of every node of an axis for a value, by its neighbours on both sides."""
+    nodes = NODES[axis]
+    held = f"greatest({nodes[0]}::double, least({nodes[-1]}::double, {v}))"
+    below = " ".join(f"WHEN {n} THEN {p}" for p, n in zip(nodes, nodes[1:]))
+    above = " ".join(f"WHEN {p} THEN {n}" for p, n in zip(nodes, nodes[1:]))
+    return (f"CASE WHEN {held} >= n.{axis} THEN greatest(0, coalesce(1 - ({held} - n.{axis})/((CASE n.{axis} {above} END) - n.{axis}), 1)) "
+            f"ELSE greatest(0, coalesce(1 - (n.{axis} - {held})/(n.{axis} - (CASE n.{axis} {below} END)), 1)) END")
+
+
+def _nodes_sql():
+    bent = "(1 + aod*aod + sun_zenith/100 + view_zenith/50)"
+    axes = ", ".join(f"(SELECT unnest([{', '.join(f'{n}::double' for n in nodes)}]) AS {a})" for a, nodes in NODES.items())
+    return f"""SELECT aod, sun_zenith, view_zenith, 0.9::double - 0.01::double*aod*(i + 1) AS tg, m*{bent}*0.2::double/(i + 4) AS rho_path,
+  0.95::double - aod*sun_zenith/400 AS t_total, 0.02::double + aod/10 AS albedo, i FROM (SELECT avg("BLUE") AS m FROM grid), {axes}, range(3) b(i)"""
+
+
+@query("atmo_correct_aerosol", ctes(
+    "grid", n=_nodes_sql(),
+    a="""SELECT scene_id, x//5 AS ax, y//5 AS ay, greatest(0, (quantile_cont("BLUE", 0.01) - 0.02)*5) AS own, count(*) AS n FROM grid WHERE class >= 2 GROUP BY ALL""",
+    cells="SELECT DISTINCT scene_id, x//5 AS ax, y//5 AS ay FROM grid",
+    e="""SELECT c.*, CASE WHEN n >= 19 THEN 'ESTIMATED' ELSE 'INTERPOLATED' END AS state,
+  coalesce(CASE WHEN n >= 19 THEN own END, avg(CASE WHEN n >= 19 THEN own END) OVER (PARTITION BY scene_id)) AS aod
+  FROM cells c LEFT JOIN a USING (scene_id, ax, ay)""",
+    p="""SELECT scene_id, g.x, g.y, "BLUE", "GREEN", "RED", 15.0::double + 3*g.x AS sun, g.y*1.5::double AS view, e.aod, e.state
+  FROM grid g JOIN e USING (scene_id) WHERE e.ax = g.x//5 AND e.ay = g.y//5""",
+    w=f"SELECT p.*, n.* EXCLUDE (aod), {_between('aod', 'p.aod')} * {_between('sun_zenith', 'p.sun')} * {_between('view_zenith', 'p.view')} AS w FROM p, n",
+    k="""SELECT scene_id, x, y, i, any_value(CASE i WHEN 0 THEN "BLUE" WHEN 1 THEN "GREEN" ELSE "RED" END) AS v, any_value(aod) AS aod, any_value(state) AS state,
+  sum(w*tg) AS tg, sum(w*rho_path) AS rho, sum(w*t_total) AS t, sum(w*albedo) AS s FROM w GROUP BY scene_id, x, y, i""",
+    b="SELECT *, (v/tg - rho)/(t + s*(v/tg - rho)) AS o FROM k") + f"""
+SELECT scene_id, x, y, {r('any_value(aod)')} AS aod, any_value(state) AS aod_state, {r('max(CASE WHEN i = 0 THEN o END)')} AS "BLUE",
+  {r('max(CASE WHEN i = 1 THEN o END)')} AS "GREEN", {r('max(CASE WHEN i = 2 THEN o END)')} AS "RED" FROM b GROUP BY 1, 2, 3""")
+def _atmo_aerosol(spark, sf):
+    """Aerosol estimated in cells of the scene reaches the correction of every pixel."""
+    grid = fx.grid(spark, sf).withColumns({
+        "sun_zenith": F.lit(15.0) + 3 * F.col("x"), "view_zenith": F.col("y") * F.lit(1.5)})
+    cells = flags.aerosol(grid, F.col("class") >= 2, 5, 19)
+    hazy = flags.with_aerosol(grid, cells, 5)
+    out = reflectance.atmo_correct(hazy, aerosol_lut(grid), ("BLUE", "GREEN", "RED"))
+    return out.select("scene_id", "x", "y", "aod", "aod_state", "BLUE", "GREEN", "RED")
+
+
 @query("atmo_correct", ctes("grid", k='SELECT scene_id, avg("BLUE") AS m FROM grid GROUP BY 1') + f"""
 SELECT g.scene_id, g.x, g.y, {', '.join(_atmo(i, b) for i, b in enumerate(('BLUE', 'GREEN', 'RED')))} FROM grid g JOIN k USING (scene_id)""")
 def _atmo_correct(spark, sf):

@@ -12,7 +12,7 @@ from pixelfold.operators.polar import METRICS
 from pixelfold.queries.analysis import METRIC_SQL, POLARMETRICS, _cat_sql, _trend_sql
 from pixelfold.queries.base import query, r, rounded
 from pixelfold.queries.fixtures import FIRST, LAST, ctes
-from pixelfold.queries.rasters import _TERRAIN, CLOUD_STEPS, grid_sql, scattering_lut
+from pixelfold.queries.rasters import _TERRAIN, CLOUD_STEPS, _brdf_sql, _kernels_sql, grid_sql, scattering_lut
 
 
 def cube(spark, sf):
@@ -186,9 +186,52 @@ def _quality_word(spark, sf):
     return flag_masks(wide_scenes(spark, sf), p, aerosol_cell=4, aerosol_least=12).select("scene_id", "x", "y", "qai")
 
 
-@query("prepare_scenes_full")
+_FULL_BANDS = ("BLUE", "GREEN", "RED")
+
+
+def _each(template, bands=_FULL_BANDS):
+    return ", ".join(template.format(b=b, i=i) for i, b in enumerate(bands))
+
+
+# atmosphere, terrain, adjacency and anisotropy one after another; bands without coefficients end as NULL
+_FULL = {
+    "lit": "SELECT *, 35.0::double AS zen, 150.0::double AS azi FROM grid", "t": _TERRAIN, "l": LINES, "sh": SHADED,
+    **{n: q.replace("+ 0.02 ", "+ 0.05::double ") for n, q in CLOUD_STEPS.items()}, "u": UNDER,
+    "fl": """SELECT f.scene_id, f.x, f.y, f.cloud, NOT f.cloud AND m.top - f.nir > 0.1 AND u.under AS shadow, g.class = 1 AS cirrus, g.class = 3 AS snow,
+  coalesce((("BNIR"-"RED")/nullif("BNIR"+"RED", 0) < 0.01 AND "BNIR" < 0.11) OR (("BNIR"-"RED")/nullif("BNIR"+"RED", 0) < 0.1 AND "BNIR" < 0.05), false) AS water
+  FROM f JOIN grid g USING (scene_id, x, y) JOIN u USING (scene_id, x, y) JOIN m USING (scene_id, x, y)""",
+    "nc": _near("cloud", 15), "ni": _near("cirrus", 0), "ns": _near("shadow", 4.5), "nw": _near("snow", 1.5),
+    "ae": """SELECT scene_id, count(*) FILTER (NOT (cloud OR cirrus OR shadow)) AS n,
+  greatest(0, (quantile_cont("BLUE", 0.01) FILTER (NOT (cloud OR cirrus OR shadow)) - 0.02)*5) AS aod FROM grid JOIN fl USING (scene_id, x, y) GROUP BY 1""",
+    "k": 'SELECT scene_id, avg("BLUE") AS mb FROM grid GROUP BY 1',
+    "y": "SELECT g.scene_id, g.x, g.y, t.slope, t.cos_i, " + _each(
+        '"{b}"/(0.9::double + 0.01::double*{i}) - mb*0.2::double/({i}+2) AS "{b}"') + " FROM grid g JOIN k USING (scene_id) JOIN t USING (scene_id, x, y)",
+    "am": "SELECT scene_id, x, y, slope, cos_i, " + _each('"{b}"/((0.8::double + 0.02::double*{i}) + 0.02::double*"{b}") AS "{b}"') + " FROM y",
+    "ft": "SELECT scene_id, " + _each('regr_intercept("{b}", cos_i)/nullif(regr_slope("{b}", cos_i), 0) AS "c{b}"') + " FROM am GROUP BY 1",
+    "tp": "SELECT scene_id, x, y, slope, cos_i, " + _each(
+        'coalesce("{b}"*(cos(radians(35.0)) + "c{b}")/nullif(cos_i + "c{b}", 0), "{b}") AS "{b}"') + " FROM am JOIN ft USING (scene_id)",
+    "ad": "SELECT a.scene_id, a.x, a.y, any_value(a.slope) AS slope, any_value(a.cos_i) AS cos_i, " + _each(
+        'any_value(a."{b}") + 0.1::double*(any_value(a."{b}") - avg(b."{b}")) AS "{b}"') + """ FROM tp a JOIN tp b
+  ON a.scene_id = b.scene_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY 1, 2, 3""",
+    "br": "SELECT *, radians(35.0) AS s, radians(5.0) AS v, radians(60.0) AS p FROM ad",
+    "ke": f"SELECT *, {_kernels_sql('v', 'p', 1)}, {_kernels_sql('0.0', '0.0', 0)} FROM br",
+    "points": "SELECT DISTINCT x*1000 + y AS item_id, 10.0::double + x*0.01::double AS lon, 50.0::double - y*0.01::double AS lat FROM grid",
+    "pg": grid_sql("GLANCE7"),
+    "fr": "SELECT scene_id FROM fl GROUP BY 1 HAVING avg(CASE WHEN cloud OR cirrus THEN 100.0 ELSE 0 END) <= 99",
+}
+
+
+@query("prepare_scenes_full", ctes("grid").replace("WITH ", "WITH RECURSIVE ").rstrip() + ",\n" + ",\n".join(f"{n} AS ({q})" for n, q in _FULL.items()) + f"""
+SELECT scene_id, x, y, {', '.join(_brdf_sql(b) for b in _FULL_BANDS)},
+  {_state(('fl.cloud', 4), ('ni.x IS NOT NULL', 6), ('nc.x IS NOT NULL', 2))} + {_state(('ns.x IS NOT NULL', 8))} + {_state(('nw.x IS NOT NULL', 16))}
+  + {_state(('fl.water AND NOT fl.cloud', 32))} + {_state(('ae.n < 20', 192), ('ae.aod > 0.6', 128))}
+  + {_state(('sh.shaded OR ke.cos_i <= 0', 3 << 11), ('ke.cos_i < cos(radians(80))', 2 << 11), ('ke.cos_i < cos(radians(55))', 1 << 11))}
+  + {_state(('degrees(ke.slope) > 2', 1 << 13))} AS qai,
+  pg.zone, printf('X%04d_Y%04d', floor(pg.px/pg.size)::int, floor(-pg.py/pg.size)::int) AS tile
+FROM ke JOIN fr USING (scene_id) JOIN fl USING (scene_id, x, y) JOIN sh USING (scene_id, x, y) JOIN ae USING (scene_id) JOIN pg ON pg.item_id = ke.x*1000 + ke.y
+LEFT JOIN nc USING (scene_id, x, y) LEFT JOIN ni USING (scene_id, x, y) LEFT JOIN ns USING (scene_id, x, y) LEFT JOIN nw USING (scene_id, x, y)""")
 def _prepare_full(spark, sf):
-    """All corrections on; the rows are checked by the tests of its parts."""
+    """All corrections on, from the flags to the grid."""
     angled = fx.grid(spark, sf).withColumns({
         "lon": F.lit(10.0) + F.col("x") * 0.01, "lat": F.lit(50.0) - F.col("y") * 0.01,
         "sun_zenith": F.lit(35.0), "sun_azimuth": F.lit(150.0), "view_zenith": F.lit(5.0), "rel_azimuth": F.lit(60.0)})

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelfold.functions import dates
+from pixelfold.operators import area
 from pixelfold.operators.skew import attach
 
+# Polygons up to this size are tested by one expression.
+FEW_CORNERS = 64
 DEFAULT_TILE_RANGE = (-999, 9999)
 
 
@@ -72,8 +75,12 @@ def point_in_ring(lon: Column, lat: Column, *rings) -> Column:
 def filter_aoi(df: DataFrame, *rings, lon="lon", lat="lat") -> DataFrame:
     """Rows whose point lies inside a polygon, given by its ring or rings.
 
-    The bounding box is a plain range predicate, so it reaches the scan.
+    The bounding box is a plain range predicate, so it reaches the scan.  Small
+    polygons are one expression; larger ones are looked up by cell
+    (``area.filter_area``), with the same result.
     """
+    if sum(len(ring) for ring in rings) > FEW_CORNERS:
+        return area.filter_area(df, area.ring_edges(df.sparkSession, rings), lon, lat)
     xs = [float(p[0]) for ring in rings for p in ring]
     ys = [float(p[1]) for ring in rings for p in ring]
     boxed = df.where(F.col(lon).between(min(xs), max(xs)) & F.col(lat).between(min(ys), max(ys)))

@@ -55,7 +55,7 @@ SELECT item_id, lon, lat, zone, R*k*cos(phi)*sin(lam) AS px, R*k*(cos(phi0)*sin(
     SELECT *, greatest(-1, least(1, sin(phi0)*sin(phi) + cos(phi0)*cos(phi)*cos(lam))) AS cc FROM (
       SELECT item_id, lon, lat, arg_min(zone, i) AS zone, radians(lat) AS phi, radians(arg_min(lat0, i)) AS phi0,
              radians(lon - arg_min(lon0, i)) AS lam
-      FROM points p JOIN ({_zones_sql(zones)}) z ON (lon >= w AND lon < e AND lat >= s AND lat < n) OR i = {len(zones) - 1}
+      FROM points p LEFT JOIN ({_zones_sql(zones)}) z ON lon >= w AND lon < e AND lat >= s AND lat < n
       GROUP BY item_id, lon, lat)))"""
 
 
@@ -72,6 +72,22 @@ def _project(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+_SHIFT = 0.037
+
+
+@query("project_grid_zones", ctes("points", a=grid_sql("GLANCE7").replace(
+    "lon >= w AND lon < e AND lat >= s AND lat < n", f"lon > w + {_SHIFT} AND lon < e + {_SHIFT} AND lat > s + {_SHIFT} AND lat < n + {_SHIFT}")) + f"""
+SELECT item_id, zone, {r('px/1000')} AS km_x, {r('py/1000')} AS km_y, floor(px/size)::int AS tile_x, floor(-py/size)::int AS tile_y FROM a""")
+def _project_zones(spark, sf):
+    """Zones given as a table of polygons, here the boxes moved off the points."""
+    corners = [(zone, rank, lat0, lon0, rank, k, x + _SHIFT, y + _SHIFT)
+               for rank, (zone, lat0, lon0, (w, s, e, n)) in enumerate(prj.GLANCE7)
+               for k, (x, y) in enumerate(((w, s), (e, s), (e, n), (w, n)))]
+    zones = spark.createDataFrame(corners, "zone string, rank int, lat0 double, lon0 double, ring int, seq int, lon double, lat double")
+    placed = gridding.project_grid(fx.points(spark, sf), "GLANCE7", zones=zones)
+    return placed.select("item_id", "zone", (F.col("px") / 1000).alias("km_x"), (F.col("py") / 1000).alias("km_y"), "tile_x", "tile_y")
+
+
 @query("resample_agg", ctes("grid_big", n="SELECT scene_id, x//8 AS cx, y//8 AS cy, class, count(*) AS n FROM grid_big GROUP BY ALL",
             m="SELECT scene_id, cx, cy, class FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, cx, cy ORDER BY n DESC, class) AS k FROM n) WHERE k = 1") + f"""
 SELECT g.scene_id, g.x//8 AS cx, g.y//8 AS cy, {r('avg(g.class)')} AS "AVG", any_value(m.class) AS "MODE",

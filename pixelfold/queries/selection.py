@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from pixelfold.operators import area
 from pixelfold.operators import select as op
 from pixelfold.queries import fixtures as fx
 from pixelfold.queries.base import d, query, r, t
@@ -185,6 +188,29 @@ def _aoi(spark, sf):
     return op.filter_aoi(fx.points(spark, sf), RING)
 
 
+# Two wavy islands with a lake each: ring, middle, radius, waves; 10,000 corners altogether.
+_COAST = ((0, -60.0, 10.0, 55.0, 9, 3000), (1, -60.0, 10.0, 21.0, 5, 2000), (2, 80.0, -20.0, 48.0, 13, 3500), (3, 90.0, -15.0, 12.0, 4, 1500))
+_COAST_SQL = " UNION ALL ".join(
+    f"SELECT {ring} AS ring, k, {n} AS n, {x}::double + {r0}::double*(1 + 0.2::double*sin({w}*2*pi()*k/{n}))*cos(2*pi()*k/{n}) AS x, "
+    f"{y}::double + {r0}::double*(1 + 0.2::double*sin({w}*2*pi()*k/{n}))*sin(2*pi()*k/{n}) AS y FROM range({n}) t(k)"
+    for ring, x, y, r0, w, n in _COAST)
+
+
+@query("filter_area", ctes("points", coast=_COAST_SQL, edges="""
+SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM coast a JOIN coast b ON a.ring = b.ring AND b.k = (a.k + 1) % a.n""") + f"""
+SELECT item_id, {r('lon')} AS lon, {r('lat')} AS lat FROM points p JOIN edges e
+  ON (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1
+GROUP BY ALL HAVING count(*) % 2 = 1""")
+def _area(spark, sf):
+    """Points in an area of 10,000 corners, looked up by cell."""
+    rings = spark.createDataFrame(_COAST, "ring int, x double, y double, r double, w int, n int")
+    turn = 2 * math.pi * F.col("k") / F.col("n")
+    out = F.col("r") * (1 + F.lit(0.2) * F.sin(F.col("w") * turn))
+    corners = rings.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "ring", "k", (F.col("x") + out * F.cos(turn)).alias("lon"), (F.col("y") + out * F.sin(turn)).alias("lat"))
+    return area.filter_area(fx.points(spark, sf), area.corner_edges(corners, order="k"))
+
+
 @query("filter_tile_range", ctes("obs_raw") + """
 SELECT l_orderkey, l_linenumber, tile_x, tile_y FROM obs_raw WHERE tile_x BETWEEN 2 AND 5 AND tile_y BETWEEN 1 AND 4""")
 def _tiles(spark, sf):

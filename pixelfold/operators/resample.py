@@ -91,6 +91,18 @@ def scatter_weighted(grid: DataFrame, step: float, half: float, weight, value, k
     return sums.where("_under").select(*keys, "tx", "ty", *means)
 
 
+def nearest_rows(grid: DataFrame, step: float, columns, keys=("scene_id",)) -> DataFrame:
+    """``columns`` of the source pixel under every target centre, as they are: numbers, text or anything else.
+
+    Of repeated source pixels one counts.
+    """
+    centre = lambda t: (F.col(t) + 0.5) * F.lit(float(step)) - 0.5
+    spread = (grid.select(*keys, "x", "y", F.struct(*columns).alias("_row"))
+              .withColumn("tx", F.explode(_reached("x", float(step), 0.5))).withColumn("ty", F.explode(_reached("y", float(step), 0.5))))
+    away = F.abs(centre("tx") - F.col("x")) + F.abs(centre("ty") - F.col("y"))
+    return spread.groupBy(*keys, "tx", "ty").agg(F.min_by("_row", away).alias("_row")).select(*keys, "tx", "ty", "_row.*")
+
+
 def resample_interp(grid: DataFrame, step: float, method="CC", value="value", keys=("scene_id",)) -> DataFrame:
     """Value at target centres by nearest neighbour, bilinear, cubic, spline or Lanczos kernels."""
     if method not in kernels.HALF_TAPS:

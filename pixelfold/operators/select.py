@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelfold.functions import dates
@@ -224,15 +224,16 @@ def scatter_dates(items: DataFrame, request_dates) -> DataFrame:
 def merge_collections(*parts: DataFrame, key="item_id") -> DataFrame:
     """Gather sub-collections; a repeated item is kept once.
 
-    The copy from the earliest part wins, then the one whose JSON text sorts
-    first.  The aggregate combines copies before the shuffle, however many
-    there are.
+    The copy from the earliest part wins, then the one with the smallest columns
+    in their order (maps by their JSON text, NULL first).  The aggregate combines
+    copies before the shuffle, however many there are.
     """
     columns = [c for c in parts[0].columns if c != key]
     ranked = [p.select(key, F.lit(i).alias("_part"), *columns) for i, p in enumerate(parts)]
     together = reduce(lambda a, b: a.unionByName(b), ranked)
     row = F.struct(*columns)
-    best = together.groupBy(key).agg(F.min_by(row, F.struct("_part", F.to_json(row))).alias("_best"))
+    place = [F.to_json(c).alias(c) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in together.dtypes if c in columns]
+    best = together.groupBy(key).agg(F.min_by(row, F.struct("_part", *place)).alias("_best"))
     return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 
@@ -250,6 +251,15 @@ def list_assets(items: DataFrame, key="item_id") -> DataFrame:
     return items.select(key, F.explode("assets").alias("name", "href"))
 
 
+def list_folder(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, name, length, modified) of the files directly in a folder; contents are not read."""
+    reader = spark.read.format("binaryFile")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length",
+                                    F.col("modificationTime").alias("modified"))
+
+
 ROOT_NAMES = ("collection.json", "catalog.json")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ def scatter_parts(df: DataFrame, keys, parts=1, spread=None) -> DataFrame:
     return df.withColumn("part", F.pmod(place, F.lit(int(parts))).cast("int"))
 
 
-def apply_user_fn(df: DataFrame, keys, fn: Callable, schema: str, context: dict | None = None,
-                  parts=1, spread=None) -> DataFrame:
+def apply_user_fn(df: DataFrame, keys, fn: Callable, schema: str, context: dict | None = None, *,
+                  parts: int, spread=None) -> DataFrame:
     """Run ``fn(frame, context)`` on every scatter unit and gather one table.
 
-    A unit is a whole key, whatever its size.  For keys that do not fit a task
-    the caller asks for ``parts`` pieces per key; ``frame`` then holds one
-    piece and a later gather merges the results.
+    The caller states in how many ``parts`` a key is cut.  With 1 a unit is a
+    whole key and must fit a task; else ``frame`` holds one piece and a later
+    gather merges the results.
     """
     context = dict(context or {})
 
@@ -62,13 +63,41 @@ def expand_user_fn(df: DataFrame, fn: Callable, schema: str, columns) -> DataFra
     return df.lateralJoin(table_function(*[F.col(c).outer() for c in columns]))
 
 
-def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double", parts=(16,), name="result") -> DataFrame:
+def _merged_batches(keys: list[str], fn: Callable, most: int):
+    """One value per key and task, or a few if a task sees more than ``most`` keys at a time."""
+    def table(values: dict, schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in values], schema.field(i).type) for i in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(values.values()), schema.field(len(keys)).type)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, object] = {}
+        schema = None
+        for batch in batches:
+            schema = schema or batch.schema
+            # one code per different key; the keys themselves never pass through floating point
+            named = pa.StructArray.from_arrays([batch.column(i) for i in range(len(keys))], names=keys).to_pylist()
+            codes, order = pd.factorize(pd.Series([tuple(k.values()) for k in named], dtype=object), use_na_sentinel=False)
+            values = batch.column(len(keys)).to_pandas()
+            for code, series in values.groupby(codes):
+                key, merged = order[code], fn(series)
+                held[key] = fn(pd.Series([held[key], merged])) if key in held else merged
+            if len(held) > most:
+                yield table(held, schema)
+                held = {}
+        if held:
+            yield table(held, schema)
+    return run
+
+
+def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double", parts=(16,), name="result", held_keys=100_000) -> DataFrame:
     """User-supplied gather: one result per key from a function of a value series.
 
     ``fn`` must be associative and commutative (its result can be its input
-    again).  Each level of ``parts`` cuts a key into that many pieces and merges
-    every piece; the last merge sees one value per piece of the last level.
-    Levels and pieces are the caller's, not the data's.
+    again).  Every task merges its rows batch by batch before anything is
+    shuffled and holds one value a key, so a key of any size leaves a task as
+    one value (or as one each time ``held_keys`` keys are exceeded).  Each level
+    of ``parts`` then merges that many pieces of a key; the last merge sees one
+    value per piece.
     """
     keys = list(keys)
 
@@ -76,7 +105,9 @@ def agg_user_fn(df: DataFrame, keys, fn: Callable, column: str, returns="double"
         return fn(values)
 
     gather = F.pandas_udf(merge, returns)
-    current = df.select(*keys, F.col(column).alias("_v"), F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()).alias("_h"))
+    slim = df.select(*keys, F.col(column).cast(returns).alias("_v"))
+    current = slim.mapInArrow(_merged_batches(keys, fn, held_keys), slim.schema)
+    current = current.withColumn("_h", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
     for pieces in parts:
         # a piece of this level lies wholly in one piece of the next if the next number divides this one
         piece = F.pmod("_h", F.lit(int(pieces))).alias("_h")

@@ -99,7 +99,7 @@ def regrid(grid: DataFrame, step: float, method: str, bands) -> DataFrame:
     if step == 1:
         return grid
     others = [c for c in grid.columns if c not in (*KEY, *bands)]
-    near = resample.scatter_weighted(grid, step, 0.5, lambda dx, dy: F.lit(1.0), others, ["scene_id"])
+    near = resample.nearest_rows(grid, step, others, ["scene_id"])
     if method in resample.AGGREGATES:
         valued = None
         for b in bands:

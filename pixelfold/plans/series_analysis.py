@@ -66,8 +66,7 @@ def _is_coarser(p: SeriesParameters, input_resolution) -> bool:
 def degrade(df: DataFrame, bands, factor: int, psf: bool) -> DataFrame:
     """Coarser pixels; flags come from the nearest pixel.  ``pixel_id`` becomes that of the nearest one."""
     keys = ["tile_x", "tile_y", "date", "sensor"]
-    near = resample.scatter_weighted(df, float(factor), 0.5, lambda dx, dy: F.lit(1.0), ["qai", "pixel_id", *bands], keys)
-    near = near.withColumns({"qai": F.col("qai").cast("int"), "pixel_id": F.col("pixel_id").cast("long")})
+    near = resample.nearest_rows(df, factor, ["qai", "pixel_id", *bands], keys)
     if psf:
         smooth = resample.reduce_psf(df, factor, True, list(bands), keys)
         near = near.drop(*bands).join(smooth, [*keys, "tx", "ty"], "left")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
 
-from pixelfold.operators import area
+from pixelfold.operators import area, user_fn
 from pixelfold.operators import select as op
 from pixelfold.queries import fixtures as fx
 from pixelfold.queries.base import d, query, r, t
 from pixelfold.queries.fixtures import ctes
+from pixelfold.session import scratch_path
+from pixelfold.sinks.collections import read_items, read_root, write_collection
 from pixelfold.sources import catalog as cat
 from pixelfold.sources.cubes import scan_obs
 
@@ -62,7 +65,10 @@ SELECT collection AS id, 'Scenes ' || collection AS title, 'proprietary' AS lice
        'https://example.org/search' AS endpoint, collection AS remote_id, count(DISTINCT tile) AS n_bands
 FROM scenes GROUP BY collection""")
 def _catalog(spark, sf):
-    parsed = cat.parse_catalog(catalog_documents(spark, sf))
+    """Written as JSON files, one collection each, and read from them."""
+    path = scratch_path(spark, "catalog")
+    catalog_documents(spark, sf).repartition(8).write.text(path)
+    parsed = cat.load_catalog(spark, path, lines=True)
     return parsed.withColumn("n_bands", F.size("band_names")).drop("bands", "band_names")
 
 
@@ -321,6 +327,52 @@ def _assets(spark, sf):
     return op.list_assets(fx.scenes(spark, sf).withColumn("assets", more))
 
 
+@query("list_folder", ctes("scenes") + """
+SELECT 'collection=' || collection AS folder, count(DISTINCT item_id % 3) AS files, count(DISTINCT item_id % 3) AS filled FROM scenes GROUP BY 1""")
+def _folder(spark, sf):
+    """Files of written folders, listed without reading them."""
+    path = scratch_path(spark, "listing")
+    scenes = fx.scenes(spark, sf).withColumn("part", F.col("item_id") % 3).select("collection", "part", "item_id", "datetime")
+    # one file for every rest in every collection
+    scenes.repartition(64, "part", "collection").write.partitionBy("collection", "part").parquet(path)
+    files = op.list_folder(spark, f"{path}/*/*", "*.parquet")
+    return files.groupBy(F.get(F.split("path", "/"), F.size(F.split("path", "/")) - 3).alias("folder")).agg(
+        F.count_distinct("path").alias("files"), F.count_if(F.col("length") > 0).alias("filled"))
+
+
+@query("gather_result", ctes("scenes", wanted=f"""
+SELECT item_id, k, collection, datetime, west, south, east, north, cloud_cover FROM scenes, range(3) t(k)
+WHERE datetime >= '1996-01-01' AND datetime < '1999-01-01'""", kept="""
+SELECT item_id * 10 + k AS item_id, west + k AS west, south, east + k AS east, north, datetime, collection FROM wanted WHERE cloud_cover * (k + 1) <= 120""") + f"""
+SELECT 'gathered' AS id, count(*) AS item_count, min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north,
+  {t('min(datetime)')} AS "start", {t('max(datetime)')} AS "end", true AS has_files, 'collection.json' AS root, false AS fallback,
+  count(*) AS read_back, sum(item_id)::bigint AS ids FROM kept""")
+def _gather(spark, sf):
+    """Scatter by date, a user function on every unit, gather, and a collection whose root is written by the commit."""
+    def judge(frame, context):
+        seen = frame.assign(k=frame["request_date"].map(context["place"]))
+        seen = seen[seen["cloud_cover"] * (seen["k"] + 1) <= context["limit"]]
+        return seen.assign(item_id=seen["item_id"] * 10 + seen["k"], west=seen["west"] + seen["k"], east=seen["east"] + seen["k"])[
+            ["item_id", "collection", "datetime", "west", "south", "east", "north"]]
+
+    scenes = op.filter_temporal(fx.scenes(spark, sf), "1996-01-01", "1999-01-01", "datetime")
+    units = op.scatter_dates(scenes, DATES).select("item_id", "collection", "datetime", "west", "south", "east", "north", "cloud_cover", "request_date")
+    place = {dt.date.fromisoformat(day): k for k, day in enumerate(DATES)}
+    judged = user_fn.apply_user_fn(
+        units, ["request_date"], judge, "item_id long, collection string, datetime timestamp_ntz, west double, south double, east double, north double",
+        {"place": place, "limit": 120}, parts=16)
+    # sub-collections overlap; a repeated item is kept once
+    merged = op.merge_collections(judged.where("item_id % 10 < 2"), judged)
+    path = scratch_path(spark, "gathered")
+    root = write_collection(merged, path, "gathered")
+    found = op.pick_root(op.list_folder(spark, path).select(F.lit(1).alias("result_set"), "path"))
+    name = F.lit("gathered").alias("id")
+    items = read_items(spark, root).agg(F.count(F.lit(1)).alias("read_back"), F.sum("item_id").alias("ids")).select(name, "*")
+    leaf = found.select(name, F.element_at(F.split("root", "/"), -1).alias("root"), "fallback")
+    whole = read_root(spark, root).withColumn("has_files", F.col("files") > 0).drop("files")
+    return whole.join(leaf, "id").join(items, "id")
+
+
 @query("pick_root", """
 WITH results AS (
   SELECT l_orderkey AS result_set, 'run/' || l_orderkey || '/' || CASE l_linenumber % 5 WHEN 0 THEN 'collection.json'

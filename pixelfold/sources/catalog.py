@@ -17,9 +17,9 @@ CATALOG_SCHEMA = """
 """
 
 
-def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Collections of the JSON files below ``path`` (arrays or single objects)."""
-    return collection_rows(spark.read.schema(CATALOG_SCHEMA).json(path, multiLine=True))
+def load_catalog(spark: SparkSession, path: str, lines=False) -> DataFrame:
+    """Collections of the JSON files at ``path``: arrays or single objects, or one object a line."""
+    return collection_rows(spark.read.schema(CATALOG_SCHEMA).json(path, multiLine=not lines))
 
 
 def parse_catalog(documents: DataFrame, col="document") -> DataFrame:

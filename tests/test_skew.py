@@ -82,7 +82,7 @@ def test_user_function_and_gather_see_every_row(spark):
     want = {r.k: r.t for r in df.groupBy("k").agg(F.sum("v").alias("t")).collect()}
     assert total == want
     # the result of a unit does not depend on how many rows other keys have
-    whole = user_fn.apply_user_fn(df, ["k"], partial, "k long, total long", {"limit": 10 ** 9})
+    whole = user_fn.apply_user_fn(df, ["k"], partial, "k long, total long", {"limit": 10 ** 9}, parts=1)
     assert {r.k: r.total for r in whole.collect()} == want and whole.count() == len(want)
     top = user_fn.agg_user_fn(df, ["k"], lambda s: float(s.max()), "v", parts=(16, 4))
     assert {r.k: r.result for r in top.collect()} == {r.k: r.t for r in df.groupBy("k").agg(F.max("v").cast("double").alias("t")).collect()}

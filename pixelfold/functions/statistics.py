@@ -53,6 +53,28 @@ def statistic_aggregates(names, value="value") -> list[Column]:
     return aggs
 
 
+def rank_error(k: int) -> float:
+    """Largest error of a sketched quantile's rank as a share of all values, at 99 percent confidence."""
+    return 2.296 / k ** 0.9723
+
+
+def sketched_aggregates(names, value="value", k=400) -> list[Column]:
+    """``statistic_aggregates`` with a mergeable state of bounded size.
+
+    Moments merge as central moments.  Quantiles come from a sketch: each is a
+    value of the group whose rank is off by ``rank_error(k)`` of the values at
+    most; of groups smaller than ``k`` the ranks are exact.
+    """
+    v = F.col(value)
+    aggs = statistic_aggregates([n for n in names if n[0] != "Q" and n != "IQR"], value)
+    quantiles = _quantiles_of(names)
+    if quantiles:
+        sketch = F.kll_sketch_agg_double(v.cast("double"), F.lit(k))
+        at = [F.kll_sketch_get_quantile_double(sketch, F.lit(int(q[1:]) / 100)) for q in quantiles]
+        aggs.append(F.when(F.count(v) > 0, F.array(*at)).alias("_Q"))
+    return aggs
+
+
 def statistic_columns(names) -> list[Column]:
     """Final columns over the output of ``statistic_aggregates``, in request order."""
     quantiles = _quantiles_of(names)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pixelfold.functions.statistics import rank_error
 from pixelfold.operators import user_fn
 from pixelfold.queries import fixtures as fx
 from pixelfold.queries.base import d, query, r, t
@@ -13,6 +16,7 @@ from pixelfold.queries.series import HARMONIC, season_model
 from pixelfold.session import scratch_path
 from pixelfold.sinks.writers import stac_result, write_cube
 from pixelfold.sources import logs
+from pixelfold.streaming import jobs
 from pixelfold.streaming import observations as so
 
 
@@ -107,6 +111,37 @@ def _latest(spark, sf):
     return logs.job_latest_status(rows)
 
 
+@query("stream_job_status", f"""
+SELECT user_id AS job_id, {t('arg_max(ts, (ts, event_id))')} AS updated, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events,
+  max(ts) + interval 6 hour < (SELECT max(ts) FROM events) - interval 1 hour AS idle FROM events GROUP BY 1""")
+def _job_status(spark, sf):
+    """The same from a stream, with the jobs that have fallen silent."""
+    path = f"{sf}/events.parquet"
+    events = so.read_events(spark, path, spark.read.parquet(path).schema).select(
+        F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("status"))
+    states = jobs.latest_states(spark, jobs.stream_job_status(events, "6 hours", "1 hour"), scratch_path(spark, "jobs"), scratch_path(spark, "jobs-state"))
+    return states.drop("late")
+
+
+@query("stream_fold", ctes("stream_obs") + f"""
+SELECT pixel_id, {t('week')} AS "start", {r('min(value)')} AS "MIN", {r('max(value)')} AS "MAX", {r('avg(value)')} AS "AVG", {r('stddev_samp(value)')} AS "STD",
+  {r('max(value) - min(value)')} AS "RNG", {r('CASE WHEN stddev_pop(value) > 0 THEN avg((value - m)**3)/stddev_pop(value)**3 END')} AS "SKW",
+  {r('CASE WHEN stddev_pop(value) > 0 THEN kurtosis_pop(value) END')} AS "KRT", count(value) AS "NUM", true AS ranked
+FROM (SELECT *, avg(value) OVER (PARTITION BY pixel_id, week) AS m FROM (SELECT *, time_bucket(interval 7 day, ts, timestamp '1970-01-01') AS week FROM stream_obs))
+GROUP BY pixel_id, week""")
+def _stream_fold(spark, sf):
+    """All fourteen statistics by week; quantiles are compared by their rank among the window's values."""
+    names = ("MIN", "MAX", "AVG", "STD", "RNG", "SKW", "KRT", "NUM", "Q10", "Q25", "Q50", "Q75", "Q90", "IQR")
+    folded = so.replay(so.stream_fold(observation_stream(spark, sf), names, "7 days"), "weeks", ("pixel_id", "start"))
+    path = f"{sf}/events.parquet"
+    values = fx.stream_obs(spark.read.parquet(path)).groupBy("pixel_id", F.window("ts", "7 days").start.alias("start")).agg(
+        F.sort_array(F.collect_list("value")).alias("v"))
+    near = lambda q, p: (F.size(F.filter("v", lambda x: x < F.col(q))) <= (p + rank_error(400)) * F.col("NUM") + 1) & (
+        F.size(F.filter("v", lambda x: x <= F.col(q))) >= (p - rank_error(400)) * F.col("NUM") - 1)
+    ranked = reduce(lambda a, b: a & b, [near(q, int(q[1:]) / 100) for q in names if q[0] == "Q"], F.col("IQR") == F.col("Q75") - F.col("Q25"))
+    return folded.join(values, ["pixel_id", "start"]).select("pixel_id", "start", *names[:8], ranked.alias("ranked"))
+
+
 @query("metric_windows", f"""
 SELECT {t("time_bucket(interval 15 minutes, ts)")} AS bucket, 'm' || user_id % 4 AS metric, {r('avg(value)')} AS mean, {r('max(value)')} AS peak, count(*) AS samples
 FROM events WHERE event_type <> 'error' GROUP BY ALL""")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelfold.functions.dates import day_number
+from pixelfold.functions.statistics import FOLD_NAMES, check_names, sketched_aggregates, statistic_columns
 from pixelfold.functions.qai import DEFAULT_SCREEN, is_screened
 from pixelfold.operators.harmonic import evaluate
 from pixelfold.operators.skew import attach
@@ -62,6 +63,21 @@ def _windowed(stream, window, delay, keys):
     )
 
 
+def stream_fold(stream: DataFrame, names=FOLD_NAMES, width="1 day", delay="1 day", keys=("pixel_id",), k=400) -> DataFrame:
+    """Any of the fold statistics per key and tumbling window, in the requested order.
+
+    A window's state has a bounded size whatever it holds; see
+    ``statistics.sketched_aggregates`` for the error of its quantiles.
+    """
+    check_names(names, FOLD_NAMES)
+    return (
+        stream.withWatermark("ts", delay)
+        .groupBy(*keys, F.window("ts", width).alias("w"))
+        .agg(*sketched_aggregates(names, "value", k))
+        .select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), *statistic_columns(names))
+    )
+
+
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """Stream of the Parquet files at ``path`` (a folder, or one file of a folder)."""
     folder, _, leaf = path.rstrip("/").rpartition("/")

@@ -1,12 +1,16 @@
+import bisect
 import datetime as dt
 import glob
+import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from pixelfold.functions.statistics import FOLD_NAMES, rank_error, statistic_aggregates, statistic_columns
 from pixelfold.operators import harmonic
 from pixelfold.sources import logs
+from pixelfold.streaming import jobs
 from pixelfold.streaming import observations as so
 
 SCHEMA = "event_id long, pixel_id long, ts timestamp, value double, qai int"
@@ -90,3 +94,72 @@ def test_latest_status_as_a_stream(spark, tmp_path):
     query = logs.job_latest_status(events).writeStream.outputMode("complete").format("memory").queryName("latest_status").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.job_id: (r.status, r.events) for r in spark.table("latest_status").collect()} == {7: ("s2", 2), 8: ("s3", 1)}
+
+
+EVENT = "job_id string, ts timestamp, event_id long, status string"
+
+
+def event_stream(spark, path, batches):
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(f"{path}/batch={n}")
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_job_status_out_of_order_equals_batch(spark, tmp_path):
+    batches = [
+        [("a", at(1, 1), 1, "queued"), ("b", at(1, 2), 2, "queued")],
+        [("a", at(1, 5), 5, "done"), ("a", at(1, 5), 4, "running"), ("c", at(1, 6), 6, "queued")],
+        [("a", at(1, 3), 3, "running"), ("b", at(1, 7), 7, "running"), (None, at(1, 7), 8, "odd")],  # late for a, in time for the watermark
+    ]
+    events = event_stream(spark, str(tmp_path / "in"), batches)
+    states = jobs.latest_states(spark, jobs.stream_job_status(events, "4 days", "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    batch = logs.job_latest_status(spark.createDataFrame([r for b in batches for r in b], EVENT))
+    got = {r.job_id: r for r in states.collect()}
+    assert {j: (r.updated, r.status, r.events) for j, r in got.items()} == {r.job_id: (r.updated, r.status, r.events) for r in batch.collect()}
+    assert (got["a"].late, got["b"].late) == (1, 0) and not any(r.idle for r in got.values())
+
+
+def test_silent_jobs_become_idle_and_wake(spark, tmp_path):
+    batches = [
+        [("a", at(1), 1, "running"), ("b", at(1), 2, "running")],
+        [("b", at(9), 3, "running")],   # the watermark passes two days after the first events
+        [("c", at(9, 1), 4, "queued")],
+        [("a", at(9, 2), 5, "done"), ("c", at(2), 6, "too late")],
+    ]
+    events = event_stream(spark, str(tmp_path / "in"), batches)
+    states = jobs.latest_states(spark, jobs.stream_job_status(events, "2 days", "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {(r.job_id, r.status, r.idle, r.events) for r in states.collect()} == {
+        ("a", "done", False, 2), ("b", "running", False, 2), ("c", "queued", False, 1)}
+    seen = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert {(r.job_id, r.updated) for r in seen.where("idle").collect()} == {("a", at(1))}
+    # without a last word everybody ends idle
+    quiet = event_stream(spark, str(tmp_path / "in2"), [*batches[:1], [("z", at(20), 9, "running")]])
+    last = jobs.latest_states(spark, jobs.stream_job_status(quiet, "2 days", "1 day"), str(tmp_path / "out2"), str(tmp_path / "state2"))
+    assert {(r.job_id, r.idle) for r in last.collect()} == {("a", True), ("b", True), ("z", False)}
+
+
+def test_stream_fold_has_all_statistics_within_its_error(spark, tmp_path):
+    rng = random.Random(4)
+    values = [rng.gauss(0, 1) ** 3 for _ in range(20_000)]
+    rows = [(i, 1, at(1 + i % 2, i % 24), v, 0) for i, v in enumerate(values)] + [(-1, 2, at(1), 7.0, 0), (-2, 3, at(1), None, 0)]
+    src = str(tmp_path / "in")
+    for n in range(4):
+        write(spark, src, rows[n::4], n)
+    folded = so.replay(so.stream_fold(stream(spark, src), width="1 day"), "all", ("pixel_id", "start"))
+    assert folded.columns[3:] == list(FOLD_NAMES)
+    exact = spark.createDataFrame(rows, SCHEMA).groupBy("pixel_id", F.window("ts", "1 day").start.alias("start")).agg(
+        *statistic_aggregates([n for n in FOLD_NAMES if n[0] != "Q" and n != "IQR"])).select(
+        "pixel_id", "start", *statistic_columns([n for n in FOLD_NAMES if n[0] != "Q" and n != "IQR"]))
+    want = {(r.pixel_id, r.start): r.asDict() for r in exact.collect()}
+    for r in folded.collect():
+        for n, v in want[r.pixel_id, r.start].items():
+            assert getattr(r, n) == (v if not isinstance(v, float) else pytest.approx(v)), n
+        if r.pixel_id == 1:
+            group = sorted(v for i, v in enumerate(values) if 1 + i % 2 == r.start.day)
+            for q in ("Q10", "Q25", "Q50", "Q75", "Q90"):
+                place = bisect.bisect(group, getattr(r, q)) / len(group)
+                assert abs(place - int(q[1:]) / 100) <= rank_error(400) + 2 / len(group), q
+        else:
+            assert (r.Q50, r.NUM) == ((7.0, 1) if r.pixel_id == 2 else (None, 0))
+    with pytest.raises(ValueError):
+        so.stream_fold(stream(spark, src), ("Q33",))

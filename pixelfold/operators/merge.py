@@ -62,25 +62,43 @@ def merge_none(fine: DataFrame, coarse: DataFrame, values, keys) -> DataFrame:
     return _with_cells(fine).join(coarse, [*keys, "cx", "cy"], "left").select(*keys, "x", "y", *values)
 
 
-def merge_regression(fine: DataFrame, coarse: DataFrame, bands, values, keys) -> DataFrame:
-    """Multiple regression of each coarse band on the cell means of the fine bands, per scene.
+def _moments(cells: DataFrame, bands, v: str) -> dict[str, F.Column]:
+    """Products that the normal equations of one coarse band sum up; NULL where anything is missing."""
+    used = reduce(lambda a, b: a & b, [F.col(f"m_{b}").isNotNull() for b in bands]) & F.col(v).isNotNull()
+    terms = [F.lit(1.0), *[F.col(f"m_{b}") for b in bands]]
+    k = len(terms)
+    return {**{f"a_{v}_{i}_{j}": F.when(used, terms[i] * terms[j]) for i in range(k) for j in range(i, k)},
+            **{f"b_{v}_{i}": F.when(used, terms[i] * F.col(v)) for i in range(k)}}
+
+
+def _solved(v: str, k: int, suffix="") -> F.Column:
+    matrix = F.array(*[F.col(f"a_{v}_{min(i, j)}_{max(i, j)}{suffix}") for i in range(k) for j in range(k)])
+    return solve_normal(matrix, F.array(*[F.col(f"b_{v}_{i}{suffix}") for i in range(k)])).alias(f"_beta_{v}")
 
-    The normal equations are sums, so scenes of any size combine before the
-    shuffle; the solution is one row per scene.
+
+def merge_regression(fine: DataFrame, coarse: DataFrame, bands, values, keys, tile: int | None = None, reach: int | None = None,
+                     block=focal.BLOCK) -> DataFrame:
+    """Multiple regression of each coarse band on the cell means of the fine bands.
+
+    One fit per scene, per square of ``tile`` cells, or for every cell over the
+    window of ``reach`` cells around it.  The normal equations are sums: they
+    combine before the shuffle, or come from summed-area tables of the blocks.
+    Where they have no single solution the merged value is NULL.
     """
     keys = list(keys)
     cells = _coarse_means(fine, bands, keys).join(coarse, [*keys, "cx", "cy"])
-    complete = reduce(lambda a, b: a & b, [F.col(f"m_{b}").isNotNull() for b in bands])
-    terms = [F.lit(1.0), *[F.col(f"m_{b}") for b in bands]]
-    k = len(terms)
-    sums, fits = [], []
-    for v in values:
-        used = complete & F.col(v).isNotNull()
-        sums += [F.sum(F.when(used, terms[i] * terms[j])).alias(f"a_{v}_{i}_{j}") for i in range(k) for j in range(i, k)]
-        sums += [F.sum(F.when(used, terms[i] * F.col(v))).alias(f"b_{v}_{i}") for i in range(k)]
-        matrix = F.array(*[F.col(f"a_{v}_{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-        fits.append(solve_normal(matrix, F.array(*[F.col(f"b_{v}_{i}") for i in range(k)])).alias(f"_beta_{v}"))
-    applied = attach(fine, cells.groupBy(*keys).agg(*sums).select(*keys, *fits), keys, ["x", "y"])
+    moments = {n: m for v in values for n, m in _moments(cells, bands, v).items()}
+    k = len(bands) + 1
+    if reach is not None:
+        windows = focal.box_means(cells.select(*keys, F.col("cx").alias("x"), F.col("cy").alias("y"), *[m.alias(n) for n, m in moments.items()]),
+                                  list(moments), reach, keys, block)
+        fits = windows.select(*keys, F.col("x").alias("cx"), F.col("y").alias("cy"), *[_solved(v, k, "_env") for v in values])
+        applied = _with_cells(fine).join(fits, [*keys, "cx", "cy"], "left")
+    else:
+        part = {} if tile is None else {f"_t{c}": F.floor(F.col(f"c{c}") / F.lit(float(tile))).cast("int") for c in "xy"}
+        sums = cells.withColumns(part).groupBy(*keys, *part).agg(*[F.sum(m).alias(n) for n, m in moments.items()])
+        fits = sums.select(*keys, *part, *[_solved(v, k) for v in values])
+        applied = attach(_with_cells(fine).withColumns(part), fits, [*keys, *part], ["x", "y"])
 
     def predicted(v):
         beta = lambda i: F.get(f"_beta_{v}", F.lit(i))
@@ -122,10 +140,11 @@ def merge_weighted(fine: DataFrame, coarse: DataFrame, bands, values, method: st
 
 
 def resolution_merge(fine: DataFrame, coarse: DataFrame, bands, method="IMPROPHE", skip=None,
-                     keys=("scene_id",), block=focal.BLOCK, values=("value",)) -> DataFrame:
+                     keys=("scene_id",), block=focal.BLOCK, values=("value",), tile: int | None = None, reach: int | None = None) -> DataFrame:
     """Coarse bands (``cx, cy`` and ``values``; a cell is 2x2 fine pixels) on the fine pixels.
 
     Fine pixels where ``skip`` holds (cloud or shadow) take no part and get no row.
+    ``tile`` and ``reach`` (in cells) make the regression a local one.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -136,5 +155,5 @@ def resolution_merge(fine: DataFrame, coarse: DataFrame, bands, method="IMPROPHE
     if method == "NONE":
         return merge_none(fine, coarse, values, keys)
     if method == "REGRESSION":
-        return merge_regression(fine, coarse, bands, values, keys)
+        return merge_regression(fine, coarse, bands, values, keys, tile, reach, block)
     return merge_weighted(fine, coarse, bands, values, method, keys, block)

@@ -7,6 +7,7 @@ the number of days, so a pixel that supplies most of the raw rows is merged by
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 import numpy as np
@@ -79,6 +80,57 @@ def sma(df: DataFrame, endmembers: dict[str, list[float]], bands, prefix="frac_"
     return out.withColumn("sma_rmse", F.sqrt(_total(errors) / len(bands)))
 
 
+# Endmembers of a constrained unmixing at most; every subset of them is tried.
+MOST_ENDMEMBERS = 6
+
+
+def _on_support(matrix: np.ndarray, support: list[int], sum_to_one: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """(weights, offsets) of the least-squares fractions on some endmembers; None where they are not unique."""
+    m = matrix[:, support]
+    k = len(support)
+    if not k:
+        return np.zeros((0, len(matrix))), np.zeros(0)
+    if np.linalg.matrix_rank(np.vstack([m, np.ones(k)]) if sum_to_one else m) < k:
+        return None
+    if not sum_to_one:
+        return np.linalg.pinv(m), np.zeros(k)
+    system = np.block([[m.T @ m, np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+    inverse = np.linalg.inv(system)
+    return inverse[:k, :k] @ m.T, inverse[:k, k]
+
+
+def sma_constrained(df: DataFrame, endmembers: dict[str, list[float]], bands, prefix="frac_", sum_to_one=True) -> DataFrame:
+    """Fractions that are not negative and, by default, sum up to one, with the model RMSE.
+
+    The best such fractions are the free least-squares ones on those endmembers
+    that take part.  Every choice of these is one set of linear expressions; of
+    the choices without a negative fraction the one with the smallest error
+    counts.  Exact, and without leaving column expressions.  A NULL band gives
+    NULL fractions.
+    """
+    matrix, _ = _unmixing(endmembers, bands)
+    names, n = list(endmembers), len(endmembers)
+    if n > MOST_ENDMEMBERS:
+        raise ValueError(f"at most {MOST_ENDMEMBERS} endmembers")
+    choices = []
+    for size in range(0 if not sum_to_one else 1, n + 1):
+        for support in map(list, itertools.combinations(range(n), size)):
+            solved = _on_support(matrix, support, sum_to_one)
+            if solved is None:
+                continue
+            weights, offsets = solved
+            part = {i: _total([F.col(b) * float(w) for b, w in zip(bands, row, strict=True)]) + float(c) for i, row, c in zip(support, weights, offsets, strict=True)}
+            fractions = [part.get(i, F.lit(0.0)) for i in range(n)]
+            errors = [(F.col(b) - _total([f * float(matrix[j, i]) for i, f in enumerate(fractions)])) for j, b in enumerate(bands)]
+            feasible = reduce(lambda a, b: a & b, [part[i] >= -1e-12 for i in support], F.lit(True))
+            choices.append(F.when(feasible, F.struct(_total([e * e for e in errors]).alias("error"), F.array(*fractions).alias("fractions"))))
+    known = reduce(lambda a, b: a & b, [F.col(b).isNotNull() for b in bands])
+    best = df.withColumn("_best", F.when(known, F.array_min(F.array(*choices))))
+    return best.withColumns({
+        **{f"{prefix}{name}": F.greatest(F.get("_best.fractions", F.lit(i)), F.when(known, 0.0)) for i, name in enumerate(names)},
+        "sma_rmse": F.sqrt(F.col("_best.error") / len(bands))}).drop("_best")
+
+
 # Sensors that can be adjusted (fixed values).
 ADJUSTABLE = (
     "SEN2A", "SEN2B", "SEN2C", "SEN2D", "LND04", "LND05", "LND07", "LND08", "LND09", "MOD01", "MOD02",

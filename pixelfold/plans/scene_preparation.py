@@ -156,7 +156,8 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
     if coarse is not None:
         roles = [c for c in coarse.columns if c not in ("scene_id", "cx", "cy")]
         merged = merge.resolution_merge(
-            flagged, coarse, band_columns(flagged.columns)[:3], p.res_merge, F.col("cloud") | F.col("shadow"), values=roles)
+            flagged, coarse, band_columns(flagged.columns)[:3], p.res_merge, F.col("cloud") | F.col("shadow"), values=roles,
+            tile=max(1, p.tile_size // (2 * p.resolution)))
         flagged = stage(flagged.join(merged, KEY, "left"), "merged")
     bands = band_columns(flagged.columns)
     hazy = reflectance.hot(flagged)

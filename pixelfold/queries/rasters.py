@@ -426,6 +426,33 @@ def _merge(spark, sf):
     return out
 
 
+def _plane(near):
+    """Two-band regression over the cells that ``near`` brings together, solved by hand."""
+    return f"""
+SELECT *, sv - br*sr - bn*sn AS a FROM (
+  SELECT *, (crv*vnn - cnv*crn)/nullif(vrr*vnn - crn*crn, 0) AS br, (cnv*vrr - crv*crn)/nullif(vrr*vnn - crn*crn, 0) AS bn FROM (
+    SELECT {near}, avg(v) AS sv, avg(mr) AS sr, avg(mn) AS sn, var_pop(mr) AS vrr, var_pop(mn) AS vnn, covar_pop(mr, mn) AS crn,
+      covar_pop(mr, v) AS crv, covar_pop(mn, v) AS cnv FROM near GROUP BY ALL))"""
+
+
+@query("local_regression", ctes(
+    "grid", f='SELECT scene_id, x, y, x//2 AS cx, y//2 AS cy, "RED" AS r, "BNIR" AS n FROM grid WHERE class NOT IN (0, 2)',
+    c='SELECT scene_id, x//2 AS cx, y//2 AS cy, avg("SWIR1") AS v FROM grid GROUP BY ALL',
+    k="SELECT scene_id, cx, cy, v, mr, mn FROM (SELECT scene_id, cx, cy, avg(r) AS mr, avg(n) AS mn FROM f GROUP BY ALL) JOIN c USING (scene_id, cx, cy)",
+    t=_plane("scene_id, tx, ty").replace("FROM near", "FROM (SELECT *, cx//5 AS tx, cy//5 AS ty FROM k)"),
+    w=_plane("scene_id, cx, cy").replace("FROM near", "FROM (SELECT a.scene_id, a.cx, a.cy, b.v, b.mr, b.mn FROM k a JOIN k b ON a.scene_id = b.scene_id AND abs(a.cx - b.cx) <= 2 AND abs(a.cy - b.cy) <= 2)")) + f"""
+SELECT 'tile' AS fit, f.scene_id, f.x, f.y, {r('a + br*r + bn*n')} AS value FROM f LEFT JOIN t ON t.scene_id = f.scene_id AND t.tx = f.cx//5 AND t.ty = f.cy//5
+UNION ALL SELECT 'window', f.scene_id, f.x, f.y, {r('a + br*r + bn*n')} FROM f LEFT JOIN w USING (scene_id, cx, cy)""")
+def _local_regression(spark, sf):
+    """Two bands, one fit per tile of five cells and one per cell over the cells around it."""
+    grid = fx.grid(spark, sf)
+    coarse = resample.resample_agg(grid, 2, "AVG", "SWIR1").withColumnRenamed("AVG", "value")
+    fine = grid.select("scene_id", "x", "y", "RED", "BNIR", "class")
+    parts = [merge.resolution_merge(fine, coarse, ("RED", "BNIR"), "REGRESSION", F.col("class").isin(masks.OPAQUE, masks.SHADOW), **how).select(
+        F.lit(name).alias("fit"), "scene_id", "x", "y", "value") for name, how in (("tile", {"tile": 5}), ("window", {"reach": 2}))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("hot", ctes("grid") + f"""SELECT scene_id, x, y, {r('"BLUE" - 0.5*"RED" - 0.08')} AS hot FROM grid""")
 def _hot(spark, sf):
     return reflectance.hot(fx.grid(spark, sf)).select("scene_id", "x", "y", "hot")

@@ -150,6 +150,18 @@ def _sma(spark, sf):
     return series.sma(fx.grid(spark, sf), ENDMEMBERS, SMA_BANDS).select("scene_id", "x", "y", "frac_soil", "frac_leaf", "sma_rmse")
 
 
+_SHARE = " + ".join(f'("{b}" - {v}::double)*{s - v}::double' for b, s, v in zip(SMA_BANDS, _S, _L))
+
+
+@query("sma_constrained", ctes("grid", f=f"""
+SELECT *, greatest(0, least(1, ({_SHARE})/{sum((s - v) ** 2 for s, v in zip(_S, _L))}::double)) AS fs FROM grid""") + f"""
+SELECT scene_id, x, y, {r('fs')} AS frac_soil, {r('1 - fs')} AS frac_leaf,
+  {r('sqrt((' + ' + '.join(f'("{b}" - fs*{s} - (1 - fs)*{v})**2' for b, s, v in zip(SMA_BANDS, _S, _L)) + ')/3)')} AS sma_rmse FROM f""")
+def _sma_constrained(spark, sf):
+    """No fraction below zero, all of them one together."""
+    return series.sma_constrained(fx.grid(spark, sf), ENDMEMBERS, SMA_BANDS).select("scene_id", "x", "y", "frac_soil", "frac_leaf", "sma_rmse")
+
+
 MATERIALS = [
     {"name": "bright", "spectrum": [0.5, 0.5, 0.5], "transfer": {"RED": (0.01, {"RED": 0.98}), "NIRX": (0.0, {"BNIR": 0.6, "SWIR1": 0.4})}},
     {"name": "green", "spectrum": [0.4, 0.6, 0.5], "transfer": {"RED": (-0.02, {"RED": 1.03}), "NIRX": (0.05, {"BNIR": 0.9})}},

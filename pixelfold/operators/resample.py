@@ -124,10 +124,10 @@ def resample(grid: DataFrame, step: float, method="CC", value="value", keys=("sc
     return resample_interp(grid, step, method, value, keys)
 
 
-def reduce_psf(grid: DataFrame, factor: int, psf=False, value="value", keys=("scene_id",)) -> DataFrame:
+def reduce_psf(grid: DataFrame, factor: int, psf=False, value="value", keys=("scene_id",), support=1.0) -> DataFrame:
     """Coarser raster by nearest pixel, or by a Gaussian low-pass whose FWHM is the new pixel.
 
-    The Gaussian is cut off one new pixel away from the centre on each axis.
+    The Gaussian is cut off ``support`` new pixels away from the centre on each axis.
     """
     if not psf:
         return resample_interp(grid, factor, "NN", value, keys)
@@ -136,4 +136,4 @@ def reduce_psf(grid: DataFrame, factor: int, psf=False, value="value", keys=("sc
     def weight(dx, dy):
         return F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))
 
-    return scatter_weighted(grid, float(factor), float(factor), weight, value, keys)
+    return scatter_weighted(grid, float(factor), float(factor) * support, weight, value, keys)

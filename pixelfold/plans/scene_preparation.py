@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelfold.functions.projections import GRIDS
+from pixelfold.functions.projections import GRIDS, project
 from pixelfold.operators import flags, gridding, masks, merge, reflectance, resample, select
 from pixelfold.operators.skew import attach
 from pixelfold.plans.parameters import SceneParameters, read_parameters
@@ -112,15 +112,30 @@ def regrid(grid: DataFrame, step: float, method: str, bands) -> DataFrame:
     return joined.select([F.col(c).cast(types[c]).alias(c) for c in grid.columns])
 
 
-def place(df: DataFrame, p: SceneParameters, origin_xy) -> DataFrame:
+def own_projection(name: str) -> tuple[str, float, float] | None:
+    """Kind and centre (lon, lat) of a projection named ``LAEA <lat> <lon>`` or ``AEQD <lat> <lon>``."""
+    words = name.split()
+    kind = {"LAEA": "equal_area", "AEQD": "equidistant"}.get(words[0].upper())
+    return (kind, float(words[2]), float(words[1])) if kind and len(words) == 3 else None
+
+
+def place(df: DataFrame, p: SceneParameters, origin_xy, zones: DataFrame | None = None) -> DataFrame:
     """Zone and tile of every pixel.
 
-    The two continental grids bring their own origin and tile size.  Any other
-    projection name means that ``px, py`` are given in it, with ``origin_xy``
-    the projected origin.
+    The two continental grids bring their own origin and tile size.  An
+    azimuthal projection around a centre of its own (``own_projection``) counts
+    tiles from ``origin_lon, origin_lat``.  Any other name means that ``px, py``
+    are given in it, with ``origin_xy`` the projected origin.
     """
     if p.projection in GRIDS:
-        return gridding.project_grid(df, p.projection)
+        return gridding.project_grid(df, p.projection, zones=zones)
+    centred = own_projection(p.projection)
+    if centred is not None:
+        kind, lon0, lat0 = centred
+        at = lambda lon, lat: project(lon, lat, F.lit(lon0), F.lit(lat0), kind)
+        (px, py), (x0, y0) = at(F.col("lon"), F.col("lat")), at(F.lit(float(p.origin_lon)), F.lit(float(p.origin_lat)))
+        # counted from the projected origin
+        df, origin_xy = df.withColumns({"px": px - x0, "py": py - y0}), (0.0, 0.0)
     tiled = gridding.assign_tiles(df, p.tile_size, *origin_xy)
     return gridding.assign_blocks(
         tiled, p.block_size, None, p.tile_size, p.resolution, *origin_xy).withColumn("zone", F.lit(p.projection))
@@ -129,6 +144,7 @@ def place(df: DataFrame, p: SceneParameters, origin_xy) -> DataFrame:
 def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFrame | None = None,
                    external_aod: DataFrame | None = None, eight_bit=(), input_resolution=None, origin_xy=(0.0, 0.0),
                    dst_reach=600, impulse_limit=32.0, adjacency_reach=3, adjacency_strength=0.1, overview_factor=10, aerosol_cell=256,
+                   zones: DataFrame | None = None,
                    **parameters) -> dict[str, DataFrame]:
     """Products of the preparation: ``BOA`` (or ``TOA``) with ``qai``, and the optional ones.
 
@@ -166,7 +182,7 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
         corrected = masks.erase_clouds(corrected, bands)
     if p.buffer_nodata:
         corrected = masks.buffer_nodata(corrected, bands)
-    tiled = place(corrected, p, origin_xy)
+    tiled = place(corrected, p, origin_xy, zones)
     tiled = masks.cloud_cover_tile(tiled, p.max_cloud_cover_tile, ("scene_id", "zone", "tile_x", "tile_y"), F.col("cloud") | F.col("cirrus"))
     # without coefficients nothing was corrected
     out = {"BOA" if p.do_atmo and lut is not None else "TOA": tiled.drop(*HELPERS)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -261,9 +262,12 @@ _RBF_TOP = " + ".join(f"coalesce(n{s}*v{s}/w{s}, 0)" for s in _HALVES)
 _RBF_BOTTOM = " + ".join(f"n{s}" for s in _HALVES)
 
 
-@query("interp_rbf", ctes("obs", "pixels", "dates", g=f"""
+_RBF_GAPS = f"""
 SELECT p.pixel_id, g.date, o.value, (g.date - o.date)::double AS gap FROM pixels p CROSS JOIN dates g
-LEFT JOIN obs o ON o.pixel_id = p.pixel_id AND abs(g.date - o.date) <= {_HALVES[32]}""",
+LEFT JOIN obs o ON o.pixel_id = p.pixel_id AND abs(g.date - o.date) <= {_HALVES[32]}"""
+
+
+@query("interp_rbf", ctes("obs", "pixels", "dates", g=_RBF_GAPS,
                           s=f"SELECT pixel_id, date, {_rbf_sums()} FROM g GROUP BY ALL") + f"""
 SELECT pixel_id, {d('date')} AS date, {r(f'({_RBF_TOP})/nullif({_RBF_BOTTOM}, 0)')} AS value FROM s""")
 def _rbf(spark, sf):
@@ -314,18 +318,21 @@ def _nrt(spark, sf):
     return harmonic.nrt_residual(fx.obs(spark, sf), season_model(spark, sf), FIT_END, FIRST, 1, False)
 
 
-@query("interpolate", ctes("obs", "pixels", "dates", "tsi", m=f"""
+@query("interpolate", ctes("obs", "pixels", "dates", "tsi", g=_RBF_GAPS, rbf=f"SELECT pixel_id, date, {_rbf_sums()} FROM g GROUP BY ALL", **HARMONIC, m=f"""
 SELECT p.pixel_id, g.date, avg(o.value) AS value FROM pixels p CROSS JOIN dates g
 LEFT JOIN obs o ON o.pixel_id = p.pixel_id AND o.date BETWEEN g.date - 10 AND g.date + 10 GROUP BY ALL""") + f"""
 SELECT 'NONE' AS method, pixel_id, {d('date')} AS date, {r('value')} AS value FROM obs
 UNION ALL SELECT 'LINEAR', pixel_id, {d('date')}, {r('value')} FROM tsi
-UNION ALL SELECT 'MOVING', pixel_id, {d('date')}, {r('value')} FROM m""")
+UNION ALL SELECT 'MOVING', pixel_id, {d('date')}, {r('value')} FROM m
+UNION ALL SELECT 'RBF', pixel_id, {d('date')}, {r(f'({_RBF_TOP})/nullif({_RBF_BOTTOM}, 0)')} FROM rbf
+UNION ALL SELECT 'HARMONIC', pixel_id, {d('date')}, {r(_model('date'))} FROM coef, dates""")
 def _interpolate(spark, sf):
-    obs = fx.obs(spark, sf)
-    parts = [interpolate.interpolate(obs, "NONE"), interpolate.interpolate(obs, "LINEAR", FIRST, LAST, STEP),
-             interpolate.interpolate(obs, "MOVING", FIRST, LAST, STEP, moving_max=10)]
-    named = [p.select(F.lit(m).alias("method"), "pixel_id", "date", "value") for m, p in zip(("NONE", "LINEAR", "MOVING"), parts)]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    """All five methods through the one entry."""
+    options = {"MOVING": {"moving_max": 10}, "RBF": {"sigmas": (8, 16, 32), "cutoff": 0.95},
+               "HARMONIC": {"modes": 1, "trend": False, "fit_range": (FIRST, FIT_END)}}
+    parts = [interpolate.interpolate(fx.obs(spark, sf), m, FIRST, LAST, STEP, **options.get(m, {})).select(
+        F.lit(m).alias("method"), "pixel_id", "date", "value") for m in interpolate.METHODS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("daily_series", ctes("obs_raw") + f"""

@@ -18,6 +18,27 @@ from pixelfold.sinks.writers import cube_name, stac_result, write_cube
 DAY0 = dt.date(2001, 1, 1)
 
 
+def test_parameters_go_by_their_names():
+    # fixed names
+    assert {"name", "aoi", "resolution", "projection", "resampling", "dem", "do_atmo", "cloud_buffer", "res_merge", "output_format",
+            "do_topo", "do_brdf", "do_adjacency", "do_multi_scattering", "do_aod", "erase_clouds", "max_cloud_cover_frame", "max_cloud_cover_tile",
+            "cirrus_buffer", "shadow_buffer", "snow_buffer", "cloud_threshold", "shadow_threshold", "impulse_noise", "buffer_nodata", "tile_size",
+            "block_size", "origin_lon", "origin_lat"} <= {f.name for f in fields(SceneParameters)}
+    assert {"name", "date_range", "chunk_size", "resolution", "sensors", "index", "standardize_tss", "interpolate", "int_day", "output_stm", "stm",
+            "doy_range", "x_tile_range", "y_tile_range", "file_tile", "target_sensor", "screen_qai", "above_noise", "below_noise", "moving_max",
+            "rbf_sigma", "rbf_cutoff", "harmonic_modes", "harmonic_trend", "fold_type", "trend_tail", "trend_conf", "change_penalty", "pol"} <= {
+        f.name for f in fields(SeriesParameters)}
+
+
+def test_tiles_count_from_the_origin_of_an_own_projection(spark):
+    flags = dict(cloud_threshold=5.0, shadow_threshold=5.0, projection="LAEA 50 10", tile_size=30000, **QUIET)
+    at_centre = prepare_scenes(scene(spark), origin_lon=9.0, origin_lat=51.0, **flags)["TOA"]
+    moved = prepare_scenes(scene(spark), origin_lon=0.0, origin_lat=60.0, **flags)["TOA"]
+    a, b = ({(r.tile_x, r.tile_y) for r in out.select("tile_x", "tile_y").distinct().collect()} for out in (at_centre, moved))
+    assert min(a) >= (0, 0) and a != b and min(b)[0] > max(a)[0]
+    assert at_centre.select("zone").distinct().collect()[0].zone == "LAEA 50 10"
+
+
 def test_every_parameter_has_its_counterpart():
     assert len(fields(SeriesParameters)) == 67 and len(fields(SceneParameters)) == 35
     p = SeriesParameters(date_range=("2001-01-01", "2002-01-01"))

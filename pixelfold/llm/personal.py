@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelfold.llm.shared import let
+
 # Characters before a span that may hold a context word.
 CONTEXT = 48
 # What may stand between the entries of a list that shares one context word: no words but these.
@@ -106,6 +108,8 @@ DETECTORS = (
              lambda h: ~h.rlike(r"^(?:000|666|9)|-00-|-0000$"), 0.3, r"(?i)\b(?:ssn|social security)", base=False),
 )
 KINDS = tuple(dict.fromkeys(d.kind for d in DETECTORS))
+# Hits worked on together; what is appended to stays this short.
+BLOCK = 256
 SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
 
@@ -141,11 +145,34 @@ def _spans(text: Column, detector: Detector) -> Column:
                         F.when(good, end).otherwise(state["free"]).alias("free"),
                         F.when(good, F.concat(state["out"], F.array(span.cast(SPAN)))).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("rest"), F.lit(False).alias("near"), F.lit(0).alias("free"), none.alias("out"))
-    found = F.aggregate(F.arrays_zip(gaps, hits), begin, step, lambda s: s["out"])
+    def state(of: Column | None, out: Column) -> Column:
+        start = {"at": F.lit(0), "rest": F.lit(0), "near": F.lit(False), "free": F.lit(0)}
+        return F.struct(*[(v if of is None else of[n]).alias(n) for n, v in start.items()], out.alias("out"))
+
+    def block_by_block(parts: Column) -> Column:
+        """Every block appends to an array of its own, so none grows with the text."""
+        def block(before: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(parts, k * BLOCK + 1, F.lit(BLOCK)), state(before, none), step)
+            return let(inner, lambda after: state(after, F.concat(before["out"], F.array(after["out"]))))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, state(None, F.array().cast(f"array<array<{SPAN}>>")), block, lambda s: F.flatten(s["out"]))
+
+    found = let(F.arrays_zip(gaps, hits), block_by_block)
     return F.when(text.rlike(detector.pattern), found).otherwise(none)
 
 
+def _extents(spans: Column) -> Column:
+    """Spans by start in blocks, each with its first start and last end."""
+    def block(s: Column, k: Column) -> Column:
+        return let(F.slice(s, k * BLOCK + 1, F.lit(BLOCK)), lambda p: F.struct(
+            p[0]["start"].alias("lo"), F.array_max(F.transform(p, lambda x: x["end"])).alias("hi"), p.alias("spans")))
+
+    kind = f"array<struct<lo:int,hi:int,spans:array<{SPAN}>>>"
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: block(s, k))
+    return F.when(F.size(spans) > 0, let(spans, cut)).otherwise(F.array().cast(kind))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: (id, base, spans), arrays of (start, rank, end, kind, score) by start, then kind.
 
@@ -162,7 +189,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = F.array_sort(F.concat(*[F.col(f"s{i}") for i, d in enumerate(DETECTORS) if d.base]))
     more = F.concat(*[F.col(f"s{i}") for i, d in enumerate(DETECTORS) if not d.base])
     split = found.select(id_col, base.alias("base"), more.alias("more"))
-    clear = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    meets = lambda m, lo, hi: (lo < m["end"]) & (m["start"] < hi)
+    clear = let(_extents(F.col("base")), lambda extents: F.filter("more", lambda m: ~F.exists(
+        extents, lambda e: meets(m, e["lo"], e["hi"]) & F.exists(e["spans"], lambda b: meets(m, b["start"], b["end"])))))
     return split.select(id_col, "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 

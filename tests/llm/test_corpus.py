@@ -525,3 +525,28 @@ def test_pipeline_awkward(spark, awkward, nothing, folder):
         for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, folder)
         docs.count()
+
+
+def test_very_many_hits_in_one_text(spark):
+    """Hits of several blocks, with further ones between them; time in proportion to the hits."""
+    import time
+
+    def text(n):
+        return "".join(f"a{i}@b.org ip 10.0.{i % 300}.7, call (555) 123-4567 then " for i in range(n))
+
+    def spans(n):
+        frame = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        began = time.time()
+        row = personal.find_personal_data(frame).first()
+        return row, time.time() - began
+
+    row, _ = spans(600)
+    t = text(600)
+    want = [(m.start(), "email", m.end()) for m in re.finditer(r"a[0-9]+@b\.org", t)]
+    want += [(m.start(), "ip", m.end()) for m in re.finditer(r"10\.0\.([0-9]+)\.7", t) if int(m.group(1)) < 256]
+    assert [(s["start"], s["kind"], s["end"]) for s in row["base"]] == sorted(want)
+    want += [(m.start(), "phone", m.end()) for m in re.finditer(r"\(555\) 123-4567", t)]
+    assert [(s["start"], s["kind"], s["end"]) for s in row["spans"]] == sorted(want)
+    spans(4000)
+    half, whole = (min(spans(n)[1] for _ in range(2)) for n in (8000, 16000))
+    assert whole < 3 * half + 2

@@ -29,18 +29,20 @@ def lut_blocks(lut: DataFrame, by, on: str, values, block: float) -> DataFrame:
     return listed.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_segments"))
 
 
-def lut_asof(df: DataFrame, lut: DataFrame, on: str, by, values, block=64.0) -> DataFrame:
+def lut_asof(df: DataFrame, lut: DataFrame, on: str, by, values, block=64.0, salts=1) -> DataFrame:
     """Linear interpolation between the nodes before and after ``on``, per ``by`` key.
 
     Every row meets the one segment list of its block, so rows are neither
-    multiplied nor sorted, and a key that holds many rows is joined by many
-    tasks.  Outside the nodes the result is NULL.
+    multiplied nor sorted, and a key that holds many rows is joined by as many
+    tasks as it has blocks.  Where a single block is hot, ``salts`` above 1 joins
+    it by more, at the cost of as many copies of the lists.  Outside the nodes the
+    result is NULL.
     """
     by, values = list(by), list(values)
     blocks = lut_blocks(lut, by, on, values, block)
     x = F.col(on).cast("double")
     placed = df.withColumn("_block", F.floor(x / F.lit(float(block))))
-    joined = attach(placed, blocks, [*by, "_block"], [c for c in df.columns if c not in by])
+    joined = attach(placed, blocks, [*by, "_block"], [c for c in df.columns if c not in by], salts=salts)
     holds = lambda s: (s["_x0"] <= x) & ((x < s["_x1"]) | (s["_x0"] == x))
     found = joined.withColumn("_s", F.get(F.filter("_segments", holds), F.lit(0)))
     out = {}

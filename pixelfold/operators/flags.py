@@ -49,9 +49,9 @@ def light(grid: DataFrame, sun=("sun_zenith", "sun_azimuth"), resolution=20.0, k
 
     Pixels without a full window have no slope.
     """
-    shaped = reflectance.terrain(grid, None, None, resolution, "dem", (key,), block)
-    joined = grid.join(shaped, [key, "x", "y"], "left").withColumn("cos_i", reflectance.illumination(*sun))
-    return lines.terrain_shadow(joined, sun, resolution, key=key)
+    carry = [c for c in grid.columns if c not in (key, "x", "y")]
+    shaped = reflectance.terrain(grid, None, None, resolution, "dem", (key,), block, carry)
+    return lines.terrain_shadow(shaped.withColumn("cos_i", reflectance.illumination(*sun)), sun, resolution, key=key)
 
 
 def aerosol(grid: DataFrame, clear: Column, cell: int, least: int = 20, external: DataFrame | None = None, key="scene_id",

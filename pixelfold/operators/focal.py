@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +70,13 @@ def sweep(rows: DataFrame, axis: str, reach: int, keys, block, aggregates, carry
     )
 
 
-def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK) -> DataFrame:
+def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """The 3x3 window of every column, as ``<col>_0`` .. ``<col>_8`` row by row from (x-1, y-1).
 
-    A missing neighbour is NULL.  Other columns are dropped.
+    A missing neighbour is NULL.  Columns in ``carry`` are kept, others dropped.
     """
-    cols = list(cols)
-    rows = blocked(df.select(*keys, "x", "y", *cols), 1, keys, block)
+    cols, carry = list(cols), list(carry)
+    rows = blocked(df.select(*keys, "x", "y", *dict.fromkeys([*carry, *cols])), 1, keys, block)
     step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     moved = rows.withColumn("_dx", step).withColumn("_dy", step)
     # a neighbour at (+dx, +dy) of the target contributes from the opposite side
@@ -84,39 +85,79 @@ def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK) -> DataFrame:
     moved = moved.withColumn("_place", (F.col("_dy") + 1) * 3 + F.col("_dx") + 1)
     names = [f"{c}_{i}" for c in cols for i in range(9)]
     picks = [F.expr(f"max(CASE WHEN _place = {i} THEN `{c}` END) AS `{c}_{i}`") for c in cols for i in range(9)]
+    own = [F.expr(f"max(CASE WHEN _place = 4 THEN `{c}` END) AS `{c}`") for c in carry]
     return (
-        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.expr("max(_place = 4) AS _here"), *picks)
+        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.expr("max(_place = 4) AS _here"), *own, *picks)
         .where("_here")
-        .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *names)
+        .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *carry, *names)
     )
 
 
-def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK) -> DataFrame:
+def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """The 3x3 window of one column as ``n0`` .. ``n8``."""
-    gathered = windows3(df, [col], keys, block)
+    gathered = windows3(df, [col], keys, block, carry)
     return gathered.withColumnsRenamed({f"{col}_{i}": f"n{i}" for i in range(9)})
 
 
+def _places(rows: pa.Table, reach: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rows of a block's pixels in an array with ``reach`` more on every side."""
+    return tuple(rows[c].to_numpy().astype(np.int64) - (rows[n][0].as_py() * block - reach) for c, n in (("x", "_bx"), ("y", "_by")))
+
+
+def _squared(x: np.ndarray, y: np.ndarray, reach: int, limit: int, block: int) -> np.ndarray:
+    """Squared distance of a block's pixels to the nearest of the places, -1 beyond ``limit`` on an axis."""
+    side = block + 2 * reach
+    far = np.int64(1) << 60
+    marked = np.zeros((side, side), bool)
+    marked[y, x] = True
+    step = np.arange(side)[:, None]
+    last = np.maximum.accumulate(np.where(marked, step, -side), axis=0)
+    following = np.minimum.accumulate(np.where(marked, step, 2 * side)[::-1], axis=0)[::-1]
+    up = np.minimum(step - last, following - step)[reach:reach + block]
+    up = np.where(up <= limit, up * up, far)
+    best = np.full((block, block), far)
+    for d in range(limit + 1):
+        # nothing as far off on this axis can come nearer
+        if d * d >= best.max():
+            break
+        for shift in {reach - d, reach + d}:
+            np.minimum(best, up[:, shift:shift + block] + d * d, out=best)
+    return np.where(best < far, best, -1)
+
+
+def _nearest(reaches: dict[str, int], kept: list[str], block: int):
+    reach = max(reaches.values())
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = _places(rows, reach, block)
+        home = rows["_home"].to_numpy()
+        out = rows.filter(rows["_home"]).select(kept)
+        for name, limit in reaches.items():
+            hit = rows[f"_m_{name}"].to_numpy()
+            d2 = np.full(int(home.sum()), -1)
+            if len(d2) and hit.any():
+                d2 = _squared(x[hit], y[hit], reach, limit, block)[y[home] - reach, x[home] - reach]
+            out = out.append_column(f"d2_{name}", pa.array(d2, pa.int64(), mask=d2 < 0))
+        return out
+    return run
+
+
 def nearest_each(df: DataFrame, masks: dict[str, tuple[Column, int]], keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """Squared pixel distance to the nearest pixel of every mask, as ``d2_<name>``.
 
     ``masks`` maps a name to (condition, reach per axis).  Exact and separable:
-    the row pass keeps the smallest horizontal offset, the column pass adds the
-    vertical one, so a mask pixel expands to 2*(2r+1) positions instead of a
-    whole disc, and all masks share the one shuffle.  No mask in reach gives NULL.
+    a block, with the mask pixels around it, is scanned once up and down for the
+    nearest mask pixel of every column, and the columns in reach are then
+    compared.  No row is multiplied, whatever the reach, and all masks share the
+    one shuffle.  No mask in reach gives NULL.
     """
-    reach = max(r for _, r in masks.values())
-    marked = df.select(*keys, "x", "y", *carry, *[F.coalesce(c, F.lit(False)).alias(f"_m_{n}") for n, (c, _) in masks.items()])
+    reaches = {n: r for n, (_, r) in masks.items()}
+    kept = list(dict.fromkeys([*keys, "x", "y", *carry]))
+    marked = df.select(*kept, *[F.coalesce(c, F.lit(False)).alias(f"_m_{n}") for n, (c, _) in masks.items()])
     anything = reduce(lambda a, b: a | b, [F.col(f"_m_{n}") for n in masks])
-    rows = blocked(marked, reach, keys, block, anything)
-    offset = F.col("_d").cast("long")
-    near = {n: F.abs(offset) <= r for n, (_, r) in masks.items()}
-    across = [F.min(F.when(F.col(f"_m_{n}") & near[n], offset * offset)).alias(f"d2_{n}") for n in masks]
-    pass1 = sweep(rows, "x", reach, keys, block, across, carry, anything)
-    down = [F.min(F.when(near[n], F.col(f"d2_{n}") + offset * offset)).alias(f"d2_{n}") for n in masks]
-    found = reduce(lambda a, b: a | b, [F.col(f"d2_{n}").isNotNull() for n in masks])
-    pass2 = sweep(pass1, "y", reach, keys, block, down, carry, found)
-    return pass2.where("_home").select(*keys, "x", "y", *carry, *[f"d2_{n}" for n in masks])
+    rows = blocked(marked, max(reaches.values()), keys, block, anything)
+    kinds = T.StructType([rows.schema[c] for c in kept] + [T.StructField(f"d2_{n}", T.LongType()) for n in masks])
+    return rows.groupBy(*keys, "_bx", "_by").applyInArrow(_nearest(reaches, kept, block), kinds)
 
 
 def nearest_squared(df: DataFrame, mask: Column, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:

@@ -146,14 +146,15 @@ def _median_of(values) -> Column:
     return (low + F.get(near, F.floor(F.size(near) / F.lit(2.0)).cast("int"))) / 2
 
 
-def impulse_noise(grid: DataFrame, limit: float, value="value", keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
+def impulse_noise(grid: DataFrame, limit: float, value="value", keys=("scene_id",), block=focal.BLOCK, carry=()) -> DataFrame:
     """Replace 8-bit values that differ from their 3x3 median by more than ``limit``.
 
     Values outside 0..255 are not 8-bit input and pass through unchanged.  One
     value becomes ``value`` with a ``replaced`` mark; a list keeps its names.
+    Columns in ``carry`` are kept.
     """
     values = [value] if isinstance(value, str) else list(value)
-    around = focal.windows3(grid, values, keys, block)
+    around = focal.windows3(grid, values, keys, block, carry)
     around = around.withColumns({f"_med_{v}": _median_of([F.col(f"{v}_{i}") for i in range(9)]) for v in values})
 
     def noisy(v):
@@ -163,5 +164,5 @@ def impulse_noise(grid: DataFrame, limit: float, value="value", keys=("scene_id"
         return F.when(noisy(v), F.col(f"_med_{v}")).otherwise(F.col(f"{v}_4").cast("double"))
 
     if isinstance(value, str):
-        return around.select(*keys, "x", "y", clean(value).alias("value"), noisy(value).alias("replaced"))
-    return around.select(*keys, "x", "y", *[clean(v).alias(v) for v in values])
+        return around.select(*keys, "x", "y", *carry, clean(value).alias("value"), noisy(value).alias("replaced"))
+    return around.select(*keys, "x", "y", *carry, *[clean(v).alias(v) for v in values])

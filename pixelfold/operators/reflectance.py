@@ -24,19 +24,20 @@ def illumination(sun_zenith, sun_azimuth, slope="slope", aspect="aspect") -> Col
 
 
 def terrain(grid: DataFrame, sun_zenith=None, sun_azimuth=None, resolution=20.0, dem="dem",
-            keys=("scene_id",), block=focal.BLOCK) -> DataFrame:
+            keys=("scene_id",), block=focal.BLOCK, carry=()) -> DataFrame:
     """Slope and aspect in degrees from 3x3 windows, and the cosine of illumination for a given sun.
 
-    ``y`` grows southwards.  Pixels without a full window get NULL.
+    ``y`` grows southwards.  Pixels without a full window get NULL.  Columns in
+    ``carry`` are kept.
     """
     n = [F.col(f"n{i}") for i in range(9)]
     east = ((n[2] + 2 * n[5] + n[8]) - (n[0] + 2 * n[3] + n[6])) / (8 * resolution)
     south = ((n[6] + 2 * n[7] + n[8]) - (n[0] + 2 * n[1] + n[2])) / (8 * resolution)
-    graded = focal.window3(grid, dem, keys, block).withColumns({"_e": east, "_s": south})
+    graded = focal.window3(grid, dem, keys, block, carry).withColumns({"_e": east, "_s": south})
     slope = F.degrees(F.atan(F.sqrt(F.col("_e") * F.col("_e") + F.col("_s") * F.col("_s"))))
     # direction of steepest descent, clockwise from north
     aspect = F.degrees(F.pmod(F.atan2(-F.col("_e"), F.col("_s")), F.lit(2 * math.pi)))
-    shaped = graded.select(*keys, "x", "y", slope.alias("slope"), aspect.alias("aspect"))
+    shaped = graded.select(*keys, "x", "y", *carry, slope.alias("slope"), aspect.alias("aspect"))
     if sun_zenith is None:
         return shaped
     return shaped.withColumn("cos_i", illumination(sun_zenith, sun_azimuth))

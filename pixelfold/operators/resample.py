@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,21 @@ def nearest_rows(grid: DataFrame, step: float, columns, keys=("scene_id",)) -> D
     return spread.groupBy(*keys, "tx", "ty").agg(F.min_by("_row", away).alias("_row")).select(*keys, "tx", "ty", "_row.*")
 
 
+def aggregate_rows(grid: DataFrame, factor: int, method: str, values, columns=(), keys=("scene_id",)) -> DataFrame:
+    """Every value over cells of ``factor`` x ``factor`` pixels, with ``columns`` of the pixel under the cell's centre.
+
+    All of it is one aggregate.  A cell without a pixel under its centre gives no
+    row; of repeated pixels one counts.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(factor))).cast("int")
+    away = [(cell(c) + 0.5) * factor - 0.5 - F.col(c) for c in ("x", "y")]
+    under = reduce(lambda a, b: a & b, [(d >= -0.5) & (d < 0.5) for d in away])
+    means = [(F.percentile(v, QUARTILES[method]) if method in QUARTILES else _aggregate(method, v)).cast("double").alias(v) for v in values]
+    row = F.min_by(F.struct(F.lit(1).alias("_here"), *columns), F.when(under, 0)).alias("_row")
+    cells = grid.groupBy(*keys, cell("x").alias("tx"), cell("y").alias("ty")).agg(row, *means)
+    return cells.where("_row is not null").select(*keys, "tx", "ty", *[f"_row.{c}" for c in columns], *values)
+
+
 def resample_interp(grid: DataFrame, step: float, method="CC", value="value", keys=("scene_id",)) -> DataFrame:
     """Value at target centres by nearest neighbour, bilinear, cubic, spline or Lanczos kernels."""
     if method not in kernels.HALF_TAPS:

@@ -83,8 +83,8 @@ def correct(grid: DataFrame, p: SceneParameters, lut=None, bands=(), reach=3, st
         grid = reflectance.atmo_correct(grid, lut, bands, True, p.do_multi_scattering)
     if p.do_topo and "dem" in grid.columns:
         if "cos_i" not in grid.columns:
-            slopes = reflectance.terrain(grid, resolution=float(p.resolution))
-            grid = grid.join(slopes, KEY, "left").withColumn("cos_i", reflectance.illumination("sun_zenith", "sun_azimuth"))
+            carry = [c for c in grid.columns if c not in KEY]
+            grid = reflectance.terrain(grid, resolution=float(p.resolution), carry=carry).withColumn("cos_i", reflectance.illumination("sun_zenith", "sun_azimuth"))
         grid = reflectance.topo_correct(grid, bands, "sun_zenith")
     if p.do_atmo and p.do_adjacency:
         carry = [c for c in grid.columns if c not in (*KEY, *bands)]
@@ -99,15 +99,14 @@ def regrid(grid: DataFrame, step: float, method: str, bands) -> DataFrame:
     if step == 1:
         return grid
     others = [c for c in grid.columns if c not in (*KEY, *bands)]
-    near = resample.nearest_rows(grid, step, others, ["scene_id"])
     if method in resample.AGGREGATES:
-        valued = None
-        for b in bands:
-            one = resample.resample(grid, step, method, b).withColumnRenamed("value", b)
-            valued = one if valued is None else valued.join(one, ["scene_id", "tx", "ty"])
+        if step != int(step):
+            raise ValueError("aggregation needs a whole number of pixels per cell")
+        joined = resample.aggregate_rows(grid, int(step), method, list(bands), others)
     else:
-        valued = resample.resample_interp(grid, step, method, list(bands))
-    joined = near.join(valued, ["scene_id", "tx", "ty"], "left").withColumnsRenamed({"tx": "x", "ty": "y"})
+        near = resample.nearest_rows(grid, step, others, ["scene_id"])
+        joined = near.join(resample.resample_interp(grid, step, method, list(bands)), ["scene_id", "tx", "ty"], "left")
+    joined = joined.withColumnsRenamed({"tx": "x", "ty": "y"})
     types = dict(grid.dtypes)
     return joined.select([F.col(c).cast(types[c]).alias(c) for c in grid.columns])
 
@@ -163,8 +162,8 @@ def prepare_scenes(grid: DataFrame, lut: DataFrame | None = None, coarse: DataFr
     if p.aoi is not None:
         grid = select.filter_aoi(grid, *rings_of(p.aoi))
     if eight_bit and p.impulse_noise:
-        clean = masks.impulse_noise(grid, float(impulse_limit), list(eight_bit))
-        grid = grid.drop(*eight_bit).join(clean, KEY)
+        carry = [c for c in grid.columns if c not in (*KEY, *eight_bit)]
+        grid = masks.impulse_noise(grid, float(impulse_limit), list(eight_bit), carry=carry)
     if input_resolution:
         grid = regrid(grid, p.resolution / input_resolution, p.resampling, band_columns(grid.columns))
     flagged = stage(flag_masks(grid, p, external_aod, aerosol_cell), "flagged")

@@ -197,3 +197,53 @@ def test_square_mean_matches_brute_force(spark):
     for (x, y) in cells:
         near = [v for (a, b), v in cells.items() if abs(a - x) <= 3 and abs(b - y) <= 3]
         assert got[(x, y)] == pytest.approx(sum(near) / len(near))
+
+
+@pytest.mark.parametrize("reach", [3, 40])
+def test_wide_distances_multiply_no_row(spark, reach):
+    rng = random.Random(7)
+    # a stretch without pixels, negative places, blocks far smaller than the reach
+    cells = {(rng.randrange(-60, 60), rng.randrange(-60, 60)): int(rng.random() < 0.01) for _ in range(1500)}
+    rows = [(2**60 + i, 0, x, y, c, {"k": str(i)}) for i, ((x, y), c) in enumerate(cells.items())]
+    df = spark.createDataFrame(rows, "pixel_id long, scene_id int, x int, y int, class int, note map<string,string>")
+    near = focal.nearest_each(df, {"one": (F.col("class") == 1, reach), "none": (F.col("class") == 5, 2)}, block=8, carry=["pixel_id", "note"])
+    assert near.columns == ["scene_id", "x", "y", "pixel_id", "note", "d2_one", "d2_none"]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # only the two that send mask pixels to the blocks around
+    assert plan.count("Generate explode") == 2 and plan.count("Exchange hashpartitioning") == 1
+    got = {(r.x, r.y): r for r in near.collect()}
+    assert len(got) == len(cells)
+    marks = [k for k, c in cells.items() if c]
+    for i, (x, y) in enumerate(cells):
+        inside = [(x - a) ** 2 + (y - b) ** 2 for a, b in marks if max(abs(x - a), abs(y - b)) <= reach]
+        row = got[(x, y)]
+        assert (row.d2_one, row.d2_none) == (min(inside, default=None), None)
+        # identifiers and text pass unchanged
+        assert (row.pixel_id, row.note) == (2**60 + i, {"k": str(i)})
+
+
+def test_distances_of_an_empty_raster(spark):
+    empty = raster(spark, 1, 1).where("x > 1")
+    assert masks.distance_to_mask(empty, [1], 60).count() == 0
+
+
+def test_windows_carry_other_columns(spark):
+    df = raster(spark, 6, 6, lambda x, y: 200 if (x, y) == (3, 3) else 10).withColumn("pixel_id", F.lit(2**60) + F.col("x") * 6 + F.col("y"))
+    clean = masks.impulse_noise(df.withColumnRenamed("class", "byte"), 12, ["byte"], block=4, carry=["pixel_id"])
+    assert {(r.x, r.y, r.pixel_id, r.byte) for r in clean.collect()} == {(x, y, 2**60 + x * 6 + y, 10.0) for x in range(6) for y in range(6)}
+    lit = reflectance.terrain(df, 30, 90, dem="class", block=4, carry=["pixel_id"])
+    assert lit.columns == ["scene_id", "x", "y", "pixel_id", "slope", "aspect", "cos_i"] and lit.where("pixel_id is null").count() == 0
+
+
+@pytest.mark.parametrize("factor", [2, 3])
+@pytest.mark.parametrize("method", resample.AGGREGATES)
+def test_all_bands_of_a_cell_in_one_aggregate(spark, method, factor):
+    rng = random.Random(3)
+    df = raster(spark, 7, 7, lambda x, y: float(rng.randrange(5)), kind="double").withColumn("b", -F.col("class")).withColumn(
+        "name", F.concat_ws(":", "x", "y")).where("not (x = 1 and y = 1)")
+    got = resample.aggregate_rows(df, factor, method, ["class", "b"], ["name"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    names = {(r.tx, r.ty): r.name for r in resample.nearest_rows(df, factor, ["name"]).collect()}
+    for v in ("class", "b"):
+        alone = {(r.tx, r.ty): r.value for r in resample.resample(df, factor, method, v).collect()}
+        assert {(r.tx, r.ty): (r[v], r.name) for r in got.collect()} == {k: (pytest.approx(alone[k]), n) for k, n in names.items()}

@@ -283,13 +283,14 @@ def payloads(records: DataFrame) -> DataFrame:
 
     Transfer framing is removed.  A revisit has no payload of its own; its size
     and digest are those its record states.  A response whose payload does not
-    have the digest that its record states is an error.
+    have the digest that its record states is an error.  An incomplete record has
+    no payload, and neither size nor digest, whatever it states.
     """
     kind = "record_id string, record_type string, headers map<string,string>, payload binary, bytes long, sum string"
     rows = records.select("record_id", "record_type", "headers", "block").mapInArrow(_payloads, kind)
     stated = F.substring_index(F.try_element_at("headers", F.lit("warc-payload-digest")), ":", -1)
-    checked = F.when(F.col("sum") != stated, F.raise_error(F.concat(F.lit("payload digest differs: "), "record_id"))).otherwise(
-        F.coalesce("sum", stated))
+    checked = F.when(F.col("sum") != stated, F.raise_error(F.concat(F.lit("payload digest differs: "), "record_id"))).when(
+        F.col("bytes").isNotNull(), F.coalesce("sum", stated))
     return rows.select("record_id", "record_type", "headers", "payload", F.col("bytes").alias("payload_bytes"),
                        checked.alias("payload_digest"))
 

@@ -216,6 +216,58 @@ def test_aliases(spark):
     assert {more[i] for i, u, _ in rows if u and u.startswith("http://u.net/")} == {"allow"}
     assert aliases.judge(pages.where("false"), RULES).count() == 0
     assert aliases.judge(pages, []).where("rule is not null or verdict = 'block'").count() == 0
+    # the same rules as a table, with repeats and with rows that are no rules
+    ruled = spark.createDataFrame([*RULES, *RULES, ("block", None, "/x"), ("allow", "nobody.net", None)], "verdict string, host string, path string")
+    for extra in (None, redirects):
+        as_list, as_table = (sorted(map(str, aliases.judge(pages, r, redirects=extra).collect())) for r in (RULES, ruled))
+        assert as_list == as_table
+    assert aliases.judge(pages, ruled.where("false")).where("rule is not null or verdict = 'block'").count() == 0
+    assert aliases.judge(pages.where("false"), ruled).count() == 0
+    with pytest.raises(Exception, match="unknown verdict perhaps"):
+        aliases.judge(pages, spark.createDataFrame([("perhaps", "b.com", "/")], "verdict string, host string, path string")).collect()
+
+
+def test_many_rules(spark):
+    """Far more rules than a list may hold, a third of them for one host; chains, cycles and conflicts between aliases."""
+    rng = np.random.default_rng(4)
+    hosts = ["hot.com", "a.hot.com", "COM", *(f"h{i}.net" for i in range(30))]
+    paths = ["", "/", *("/" + "/".join(map(str, rng.integers(0, 12, rng.integers(1, 4)))) for _ in range(300))]
+    rules = [(("allow", "block")[rng.integers(2)], hosts[rng.integers(3 if i % 3 else len(hosts))], paths[rng.integers(len(paths))]) for i in range(600)]
+    filler = [("block", f"x{i}.org" if i % 3 else "hot.com", f"/none{i}") for i in range(aliases.MOST_RULES)]
+    urls = [f"http://{('', 'www.', 'WWW.b.')[rng.integers(3)]}{hosts[rng.integers(len(hosts))]}{paths[rng.integers(len(paths))]}?q={i}" for i in range(300)]
+    rows = [(i, u, None) for i, u in enumerate(urls)] + [(0, urls[0], None)] * 40
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # a chain of aliases, a cycle, and links between pages of different verdicts
+    links = [(urls[i], urls[i + 1]) for i in range(9)] + [(urls[20], urls[21]), (urls[21], urls[20])] + [
+        (f"http://alias.xyz/{i % 7}", urls[30 + i]) for i in range(20)] + [(f"http://alias.xyz/{i}", f"http://other.xyz/{i}") for i in range(7)]
+    pages = pages.unionByName(spark.createDataFrame([(1000 + i, f"http://other.xyz/{i}", "") for i in range(8)], pages.schema))
+    redirects = spark.createDataFrame(links, "from_url string, to_url string")
+    kind = "verdict string, host string, path string"
+    got = aliases.judge(pages, spark.createDataFrame(rules + filler, kind), redirects=redirects).collect()
+
+    def best(url):
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups()
+        host = host.lower()
+        fits = [(len(h + p), len(h), v == "allow", h + p) for v, h, p in rules
+                if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        return max(fits, default=None)
+
+    group = {}
+    for a, b in links:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group.update(dict.fromkeys(both, both))
+
+    def verdict(url):
+        own = best(url)
+        told = [b[2] for b in map(best, group.get(url, ())) if b]
+        return "allow" if (own[2] if own else any(told) or not told) else "block"
+
+    assert len(got) == 348
+    url_of = {r["page_id"]: r["url"] for r in pages.collect()}
+    for r in got:
+        own = best(url_of[r["page_id"]])
+        assert (r["rule"], r["verdict"]) == (own and own[3], verdict(url_of[r["page_id"]]))
+    assert {r["verdict"] for r in got if r["page_id"] >= 1000} == {"allow", "block"}
 
 
 # personal data
@@ -466,6 +518,11 @@ def test_segments(spark):
         assert got[name]["block"] is None and not got[name]["complete"]
     assert bytes(got["f"]["block"]) == b"" and got[None]["complete"]
     assert len(got) == 7
+    # what an incomplete record states of its payload does not count
+    stated = {**record("d", 1, b"01")[2], "warc-payload-digest": "sha1:ABC"}
+    broken = spark.createDataFrame([("d", "response", stated, bytearray(b"01"))], warc.RECORD_SCHEMA)
+    row = warc.payloads(warc.reassemble(broken)).first()
+    assert (row["payload"], row["payload_bytes"], row["payload_digest"]) == (None, None, None)
 
 
 def test_gzip_members():

@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,43 +183,39 @@ def square_stat(df: DataFrame, cols, reach: int, stat: str, keys=SCENE, block=BL
     return pass2.where("_home").select(*keys, "x", "y", *carry, *final)
 
 
-def _box_sums(cols: list[str], keys: list[str], reach: int, block: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
+def _box_sums(cols: list[str], kept: list[str], reach: int, block: int):
+    def run(rows: pa.Table) -> pa.Table:
         side = block + 2 * reach
-        x = (rows["x"] - first["_bx"] * block + reach).to_numpy(int)
-        y = (rows["y"] - first["_by"] * block + reach).to_numpy(int)
-        home = rows["_home"].to_numpy(bool)
-        out = rows.loc[home, [*keys, "x", "y"]].copy()
-        a, b = x[home], y[home]
-        values = rows[cols].to_numpy(float)
-        known = ~np.isnan(values)
-        # taken from the block's mean, so that sums of large values do not swallow small ones
-        middle = np.array([v[k].mean() if k.any() else 0.0 for v, k in zip(values.T, known.T, strict=True)])
-        for i, c in enumerate(cols):
+        x, y = _places(rows, reach, block)
+        home = rows["_home"].to_numpy()
+        out = rows.filter(rows["_home"]).select(kept)
+        # the window of a pixel is four corners of the table
+        lo_x, hi_x, lo_y, hi_y = x[home] - reach, x[home] + reach + 1, y[home] - reach, y[home] + reach + 1
+        for c in cols:
+            values = rows[c].cast(pa.float64(), safe=False).to_numpy()
+            known = ~np.isnan(values)
+            # taken from the block's mean, so that sums of large values do not swallow small ones
+            middle = values[known].mean() if known.any() else 0.0
             table = np.zeros((2, side + 1, side + 1))
-            np.add.at(table, (0, y + 1, x + 1), np.where(known[:, i], values[:, i] - middle[i], 0.0))
-            np.add.at(table, (1, y + 1, x + 1), known[:, i])
+            np.add.at(table, (0, y + 1, x + 1), np.where(known, values - middle, 0.0))
+            np.add.at(table, (1, y + 1, x + 1), known)
             table = table.cumsum(axis=1).cumsum(axis=2)
-            # the window of a pixel is four corners of the table
-            lo_x, hi_x, lo_y, hi_y = a - reach, a + reach + 1, b - reach, b + reach + 1
             total, n = table[:, hi_y, hi_x] - table[:, lo_y, hi_x] - table[:, hi_y, lo_x] + table[:, lo_y, lo_x]
             n = np.rint(n)
-            out[f"{c}_env"] = np.where(n > 0, total / np.maximum(n, 1) + middle[i], np.nan)
+            out = out.append_column(f"{c}_env", pa.array(total / np.maximum(n, 1) + middle, pa.float64(), mask=n < 1))
         return out
     return run
 
 
-def box_means(df: DataFrame, cols, reach: int, keys=SCENE, block=BLOCK) -> DataFrame:
+def box_means(df: DataFrame, cols, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """Mean of every column over the (2r+1)-pixel square, as ``<col>_env``, at a cost that does not grow with the reach.
 
     Each block, with its rim, is summed up once along both axes; a window is then
     four corners of that table.  NULLs do not count; a window without values
-    gives NULL.
+    gives NULL.  Columns in ``carry`` are kept.
     """
-    keys, cols = list(keys), list(cols)
-    rows = blocked(df.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"),
-                             *[F.col(c).cast("double").alias(c) for c in cols]), reach, keys, block)
-    kinds = [rows.schema[c] for c in (*keys, "x", "y")] + [T.StructField(f"{c}_env", T.DoubleType()) for c in cols]
-    found = rows.groupBy(*keys, "_bx", "_by").applyInPandas(_box_sums(cols, keys, reach, block), T.StructType(kinds))
-    return found.withColumns({f"{c}_env": F.when(~F.isnan(f"{c}_env"), F.col(f"{c}_env")) for c in cols})
+    cols = list(cols)
+    kept = list(dict.fromkeys([*keys, "x", "y", *carry]))
+    rows = blocked(df.select(*dict.fromkeys([*kept, *cols])), reach, keys, block)
+    kinds = T.StructType([rows.schema[c] for c in kept] + [T.StructField(f"{c}_env", T.DoubleType()) for c in cols])
+    return rows.groupBy(*keys, "_bx", "_by").applyInArrow(_box_sums(cols, kept, reach, block), kinds)

@@ -174,7 +174,7 @@ def adjacency_correct(grid: DataFrame, bands, reach: int, strength: float, keys=
 
     Columns named in ``carry`` are kept.
     """
-    around = focal.square_stat(grid, list(bands), reach, "avg", keys, block, carry)
+    around = focal.box_means(grid, bands, reach, keys, block, [*carry, *bands])
     return around.select(*keys, "x", "y", *[c for c in carry if c not in bands], *[
         (F.col(b) + F.lit(strength) * (F.col(b) - F.col(f"{b}_env"))).alias(b) for b in bands])
 

@@ -1,6 +1,7 @@
 """Windows by summed-area tables, local regression, constrained unmixing, and the clustered layout of a cube."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -129,3 +130,19 @@ def test_box_scans_skip_row_groups(spark, tmp_path):
     rows = read("rows"), read("curve", cluster=("x", "y"))
     # groups of 64 x 64 pixels along the strip, against whole lines
     assert rows[1] <= 6 * 4096 and rows[0] >= 301 * 512
+
+
+def test_box_means_carry_other_columns(spark):
+    rng = random.Random(9)
+    cells = {(x, y): None if rng.random() < 0.3 else rng.randrange(100) for x in range(-7, 9) for y in range(12) if rng.random() < 0.8}
+    rows = [(0, x, y, v, 2**60 + i, f"p{i}") for i, ((x, y), v) in enumerate(cells.items())]
+    df = spark.createDataFrame(rows, "scene_id int, x int, y int, v int, pixel_id long, name string")
+    got = focal.box_means(df, ["v"], 2, block=4, carry=["pixel_id", "name", "v"])
+    assert got.columns == ["scene_id", "x", "y", "pixel_id", "name", "v", "v_env"]
+    got = {(r.x, r.y): r for r in got.collect()}
+    assert len(got) == len(cells)
+    for i, (x, y) in enumerate(cells):
+        near = [v for (a, b), v in cells.items() if max(abs(a - x), abs(b - y)) <= 2 and v is not None]
+        row = got[(x, y)]
+        assert (row.pixel_id, row.name, row.v) == (2**60 + i, f"p{i}", cells[(x, y)])
+        assert row.v_env == (pytest.approx(sum(near) / len(near)) if near else None)

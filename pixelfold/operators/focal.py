@@ -2,13 +2,15 @@
 
 Rows go to square blocks; rows near a block edge are copied to the blocks
 beside it, about 2 % more rows for 256-pixel blocks and one pixel of reach.
-After that single exchange every step below groups by a superset of the block
-key, so offsets are expanded and aggregated without another shuffle.  A block
-holds at most ``block`` squared pixels plus its rim, however large the scene.
+After that single exchange every step below works within blocks, without another
+shuffle.  A block holds at most ``block`` squared pixels plus its rim, however
+large the scene; blocks with few pixels are worked many at a time, so that their
+number costs nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -69,6 +71,48 @@ def sweep(rows: DataFrame, axis: str, reach: int, keys, block, aggregates, carry
     )
 
 
+def _begins(rows: pa.Table, names) -> np.ndarray:
+    """Marks the rows whose ``names`` differ from those of the row before."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for n in names:
+        codes = rows[n].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        out[1:] |= codes[1:] != codes[:-1]
+    return out
+
+
+def _whole_blocks(names, work: Callable[[pa.Table, np.ndarray], pa.Table]):
+    """``work(rows, number of the block)`` on rows in the order of their blocks, some whole blocks at a time."""
+    def done(pieces: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(pieces).combine_chunks()
+        yield from work(rows, np.cumsum(_begins(rows, names)) - 1).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            # the last row before tells whether the batch begins a block
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            begins = np.flatnonzero(_begins(pa.concat_tables([*before, rows]), names))[1:] - len(before)
+            if len(begins):
+                last = int(begins[-1])
+                yield from done([*held, rows.slice(0, last)])
+                held = [rows.slice(last)]
+            else:
+                held.append(rows)
+        if held:
+            yield from done(held)
+    return run
+
+
+def _by_block(rows: DataFrame, keys, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    """``work`` on the blocks of ``blocked`` rows; a task holds one block and one batch at a time."""
+    at = [*keys, "_bx", "_by"]
+    return rows.sortWithinPartitions(*at).mapInArrow(_whole_blocks(at, work), schema)
+
+
 def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """The 3x3 window of every column, as ``<col>_0`` .. ``<col>_8`` row by row from (x-1, y-1).
 
@@ -99,8 +143,9 @@ def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK, carry=()) -> DataF
 
 
 def _places(rows: pa.Table, reach: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and rows of a block's pixels in an array with ``reach`` more on every side."""
-    return tuple(rows[c].to_numpy().astype(np.int64) - (rows[n][0].as_py() * block - reach) for c, n in (("x", "_bx"), ("y", "_by")))
+    """Columns and rows of the pixels in their blocks, counted with ``reach`` more on every side."""
+    number = lambda c: rows[c].to_numpy().astype(np.int64)
+    return tuple(number(c) - (number(n) * block - reach) for c, n in (("x", "_bx"), ("y", "_by")))
 
 
 def _squared(x: np.ndarray, y: np.ndarray, reach: int, limit: int, block: int) -> np.ndarray:
@@ -124,18 +169,51 @@ def _squared(x: np.ndarray, y: np.ndarray, reach: int, limit: int, block: int) -
     return np.where(best < far, best, -1)
 
 
+def _searched(at: np.ndarray, marks: np.ndarray, limit: int, side: int) -> np.ndarray:
+    """``_squared`` of pixels and mask pixels numbered row by row, by looking up both neighbours in every row in reach."""
+    far = np.int64(1) << 60
+    marks = np.concatenate([[-far], np.unique(marks), [far]])
+    best = np.full(len(at), far)
+    for d in range(limit + 1):
+        # nothing as far off on this axis can come nearer
+        left = np.flatnonzero(best > d * d)
+        if not len(left):
+            break
+        for shift in {-d, d}:
+            wanted = at[left] + shift * side
+            after = np.searchsorted(marks, wanted)
+            # rows end ``limit`` or more beside every pixel, so no neighbour this near is of another row
+            across = np.minimum(marks[after] - wanted, wanted - marks[after - 1])
+            best[left] = np.minimum(best[left], np.where(across <= limit, across * across + d * d, far))
+    return np.where(best < far, best, -1)
+
+
 def _nearest(reaches: dict[str, int], kept: list[str], block: int):
     reach = max(reaches.values())
+    side = block + 2 * reach
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, group: np.ndarray) -> pa.Table:
         x, y = _places(rows, reach, block)
+        place = (group * side + y) * side + x
         home = rows["_home"].to_numpy()
         out = rows.filter(rows["_home"]).select(kept)
+        size = np.bincount(group)
+        begin = np.append(0, np.cumsum(size))
         for name, limit in reaches.items():
             hit = rows[f"_m_{name}"].to_numpy()
-            d2 = np.full(int(home.sum()), -1)
-            if len(d2) and hit.any():
-                d2 = _squared(x[hit], y[hit], reach, limit, block)[y[home] - reach, x[home] - reach]
+            d2 = np.full(len(home), -1, np.int64)
+            marked = np.bincount(group, hit) > 0
+            # a scan costs the same for any number of pixels, a search grows with it
+            full = marked & (size * (2 * limit + 1) > side * side // 2)
+            asked = home & (marked & ~full)[group]
+            if asked.any():
+                d2[asked] = _searched(place[asked], place[hit & ~full[group]], limit, side)
+            for g in np.flatnonzero(full):
+                own = slice(begin[g], begin[g + 1])
+                here, its = home[own], hit[own]
+                found = _squared(x[own][its], y[own][its], reach, limit, block)
+                d2[own][here] = found[y[own][here] - reach, x[own][here] - reach]
+            d2 = d2[home]
             out = out.append_column(f"d2_{name}", pa.array(d2, pa.int64(), mask=d2 < 0))
         return out
     return run
@@ -145,10 +223,12 @@ def nearest_each(df: DataFrame, masks: dict[str, tuple[Column, int]], keys=SCENE
     """Squared pixel distance to the nearest pixel of every mask, as ``d2_<name>``.
 
     ``masks`` maps a name to (condition, reach per axis).  Exact and separable:
-    a block, with the mask pixels around it, is scanned once up and down for the
-    nearest mask pixel of every column, and the columns in reach are then
-    compared.  No row is multiplied, whatever the reach, and all masks share the
-    one shuffle.  No mask in reach gives NULL.
+    a full block, with the mask pixels around it, is scanned once up and down for
+    the nearest mask pixel of every column, and the columns in reach are then
+    compared.  In sparse blocks every pixel looks up its neighbours among the
+    ordered mask pixels instead, so the cost follows the pixels, not the area.
+    No row is multiplied, whatever the reach, and all masks share the one
+    shuffle.  No mask in reach gives NULL.
     """
     reaches = {n: r for n, (_, r) in masks.items()}
     kept = list(dict.fromkeys([*keys, "x", "y", *carry]))
@@ -156,7 +236,7 @@ def nearest_each(df: DataFrame, masks: dict[str, tuple[Column, int]], keys=SCENE
     anything = reduce(lambda a, b: a | b, [F.col(f"_m_{n}") for n in masks])
     rows = blocked(marked, max(reaches.values()), keys, block, anything)
     kinds = T.StructType([rows.schema[c] for c in kept] + [T.StructField(f"d2_{n}", T.LongType()) for n in masks])
-    return rows.groupBy(*keys, "_bx", "_by").applyInArrow(_nearest(reaches, kept, block), kinds)
+    return _by_block(rows, keys, _nearest(reaches, kept, block), kinds)
 
 
 def nearest_squared(df: DataFrame, mask: Column, reach: int, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
@@ -184,25 +264,38 @@ def square_stat(df: DataFrame, cols, reach: int, stat: str, keys=SCENE, block=BL
 
 
 def _box_sums(cols: list[str], kept: list[str], reach: int, block: int):
-    def run(rows: pa.Table) -> pa.Table:
-        side = block + 2 * reach
+    def run(rows: pa.Table, group: np.ndarray) -> pa.Table:
         x, y = _places(rows, reach, block)
         home = rows["_home"].to_numpy()
         out = rows.filter(rows["_home"]).select(kept)
-        # the window of a pixel is four corners of the table
-        lo_x, hi_x, lo_y, hi_y = x[home] - reach, x[home] + reach + 1, y[home] - reach, y[home] + reach + 1
+        begin = np.append(0, np.cumsum(np.bincount(group)))
+        values = {c: rows[c].cast(pa.float64(), safe=False).to_numpy() for c in cols}
+        means = {c: np.zeros(len(home)) for c in cols}
+        counts = {c: np.zeros(len(home)) for c in cols}
+        for a, b in zip(begin, begin[1:]):
+            here = home[a:b]
+            if not here.any():
+                continue
+            # only columns and rows that hold pixels take part
+            (across, at_x), (down, at_y) = (np.unique(v[a:b], return_inverse=True) for v in (x, y))
+            lo_x, lo_y = (np.searchsorted(u, v[a:b][here] - reach) for u, v in ((across, x), (down, y)))
+            hi_x, hi_y = (np.searchsorted(u, v[a:b][here] + reach, "right") for u, v in ((across, x), (down, y)))
+            for c in cols:
+                own = values[c][a:b]
+                known = ~np.isnan(own)
+                # taken from the block's mean, so that sums of large values do not swallow small ones
+                middle = own[known].mean() if known.any() else 0.0
+                table = np.zeros((2, len(down) + 1, len(across) + 1))
+                np.add.at(table, (0, at_y + 1, at_x + 1), np.where(known, own - middle, 0.0))
+                np.add.at(table, (1, at_y + 1, at_x + 1), known)
+                table = table.cumsum(axis=1).cumsum(axis=2)
+                # the window of a pixel is four corners of the table
+                total, n = table[:, hi_y, hi_x] - table[:, lo_y, hi_x] - table[:, hi_y, lo_x] + table[:, lo_y, lo_x]
+                n = np.rint(n)
+                means[c][a:b][here] = total / np.maximum(n, 1) + middle
+                counts[c][a:b][here] = n
         for c in cols:
-            values = rows[c].cast(pa.float64(), safe=False).to_numpy()
-            known = ~np.isnan(values)
-            # taken from the block's mean, so that sums of large values do not swallow small ones
-            middle = values[known].mean() if known.any() else 0.0
-            table = np.zeros((2, side + 1, side + 1))
-            np.add.at(table, (0, y + 1, x + 1), np.where(known, values - middle, 0.0))
-            np.add.at(table, (1, y + 1, x + 1), known)
-            table = table.cumsum(axis=1).cumsum(axis=2)
-            total, n = table[:, hi_y, hi_x] - table[:, lo_y, hi_x] - table[:, hi_y, lo_x] + table[:, lo_y, lo_x]
-            n = np.rint(n)
-            out = out.append_column(f"{c}_env", pa.array(total / np.maximum(n, 1) + middle, pa.float64(), mask=n < 1))
+            out = out.append_column(f"{c}_env", pa.array(means[c][home], pa.float64(), mask=counts[c][home] < 1))
         return out
     return run
 
@@ -218,4 +311,4 @@ def box_means(df: DataFrame, cols, reach: int, keys=SCENE, block=BLOCK, carry=()
     kept = list(dict.fromkeys([*keys, "x", "y", *carry]))
     rows = blocked(df.select(*dict.fromkeys([*kept, *cols])), reach, keys, block)
     kinds = T.StructType([rows.schema[c] for c in kept] + [T.StructField(f"{c}_env", T.DoubleType()) for c in cols])
-    return rows.groupBy(*keys, "_bx", "_by").applyInArrow(_box_sums(cols, kept, reach, block), kinds)
+    return _by_block(rows, keys, _box_sums(cols, kept, reach, block), kinds)

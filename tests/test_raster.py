@@ -247,3 +247,26 @@ def test_all_bands_of_a_cell_in_one_aggregate(spark, method, factor):
     for v in ("class", "b"):
         alone = {(r.tx, r.ty): r.value for r in resample.resample(df, factor, method, v).collect()}
         assert {(r.tx, r.ty): (r[v], r.name) for r in got.collect()} == {k: (pytest.approx(alone[k]), n) for k, n in names.items()}
+
+
+def test_cost_of_blocks_follows_their_pixels(spark):
+    """Full and sparse blocks side by side, several blocks a batch, null and text keys, rows of one pixel."""
+    rng = random.Random(11)
+    cells = {("a", x, y) for x in range(20) for y in range(20)} | {(s, rng.randrange(400), rng.randrange(400)) for s in ("a", "b", None) for _ in range(700)}
+    rows = [(s, x, y, rng.randrange(4), rng.random()) for s, x, y in cells]
+    df = spark.createDataFrame(rows, "scene_id string, x int, y int, class int, v double")
+    got = {(r.scene_id, r.x, r.y): r.distance for r in masks.distance_to_mask(df, [1], 9, 1, block=16).collect()}
+    assert len(got) == len(rows)
+    marks = {s: [(x, y) for t, x, y, c, _ in rows if t == s and c == 1] for s in ("a", "b", None)}
+    for s, x, y, _, _ in rows:
+        best = min(math.hypot(x - a, y - b) for a, b in marks[s])
+        assert got[(s, x, y)] == (pytest.approx(best) if best <= 9 else None)
+    value = {(s, x, y): v for s, x, y, _, v in rows}
+    for r in focal.windows3(df, ["v"], block=16).collect():
+        for i in range(9):
+            assert r[f"v_{i}"] == value.get((r.scene_id, r.x + i % 3 - 1, r.y + i // 3 - 1))
+    for r in focal.box_means(df, ["v"], 2, block=16).collect():
+        near = [value[k] for dx in range(-2, 3) for dy in range(-2, 3) if (k := (r.scene_id, r.x + dx, r.y + dy)) in value]
+        assert r.v_env == pytest.approx(sum(near) / len(near))
+    plan = masks.distance_to_mask(df, [1], 9, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call of Python for every block

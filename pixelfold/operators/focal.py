@@ -113,27 +113,61 @@ def _by_block(rows: DataFrame, keys, work: Callable[[pa.Table, np.ndarray], pa.T
     return rows.sortWithinPartitions(*at).mapInArrow(_whole_blocks(at, work), schema)
 
 
+def _merged(rows: pa.Table, first: np.ndarray, cols) -> pa.Table:
+    """One row a pixel from rows in the order of pixels: the largest value of every column, NaN above all."""
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, rows.num_rows))
+    out = rows.take(pa.array(begin))
+    many = np.flatnonzero(size > 1)
+    for c in cols:
+        kind = rows.schema.field(c).type
+        largest = []
+        for i in many:
+            known = [v for v in rows[c].slice(int(begin[i]), int(size[i])).to_pylist() if v is not None]
+            largest.append(max(known, key=lambda v: (v != v, v), default=None))
+        place = np.arange(len(begin))
+        place[many] = len(begin) + np.arange(len(many))
+        both = pa.concat_arrays([out[c].combine_chunks(), pa.array(largest, kind)])
+        out = out.set_column(out.schema.get_field_index(c), c, both.take(pa.array(place)))
+    return out
+
+
+def _around(cols: list[str], kept: list[str], block: int):
+    def run(rows: pa.Table, group: np.ndarray) -> pa.Table:
+        side = block + 2
+        x, y = _places(rows, 1, block)
+        place = (group * side + y) * side + x
+        order = np.argsort(place, kind="stable")
+        rows, place = rows.take(pa.array(order)), place[order]
+        first = np.append(True, place[1:] != place[:-1])
+        if not first.all():
+            rows, place = _merged(rows, first, dict.fromkeys([*kept, *cols])), place[first]
+        home = rows["_home"].to_numpy()
+        out = rows.filter(rows["_home"]).select(kept)
+        at = place[home]
+        for i in range(9):
+            wanted = at + (i // 3 - 1) * side + i % 3 - 1
+            near = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            near = pa.array(near, mask=place[near] != wanted)
+            for c in cols:
+                out = out.append_column(f"{c}_{i}", rows[c].take(near))
+        return out.select([*kept, *[f"{c}_{i}" for c in cols for i in range(9)]])
+    return run
+
+
 def windows3(df: DataFrame, cols, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:
     """The 3x3 window of every column, as ``<col>_0`` .. ``<col>_8`` row by row from (x-1, y-1).
 
     A missing neighbour is NULL.  Columns in ``carry`` are kept, others dropped.
+    Neighbours are looked up among the ordered pixels of a block; no row is
+    multiplied.  Rows of one pixel count as one with their largest values.
     """
-    cols, carry = list(cols), list(carry)
-    rows = blocked(df.select(*keys, "x", "y", *dict.fromkeys([*carry, *cols])), 1, keys, block)
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    moved = rows.withColumn("_dx", step).withColumn("_dy", step)
-    # a neighbour at (+dx, +dy) of the target contributes from the opposite side
-    moved = moved.withColumns({"_tx": F.col("x") - F.col("_dx"), "_ty": F.col("y") - F.col("_dy")})
-    moved = moved.where(_within(F.col("_tx"), "_bx", block) & _within(F.col("_ty"), "_by", block))
-    moved = moved.withColumn("_place", (F.col("_dy") + 1) * 3 + F.col("_dx") + 1)
-    names = [f"{c}_{i}" for c in cols for i in range(9)]
-    picks = [F.expr(f"max(CASE WHEN _place = {i} THEN `{c}` END) AS `{c}_{i}`") for c in cols for i in range(9)]
-    own = [F.expr(f"max(CASE WHEN _place = 4 THEN `{c}` END) AS `{c}`") for c in carry]
-    return (
-        moved.groupBy(*keys, "_bx", "_by", "_tx", "_ty").agg(F.expr("max(_place = 4) AS _here"), *own, *picks)
-        .where("_here")
-        .select(*keys, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *carry, *names)
-    )
+    cols = list(cols)
+    kept = list(dict.fromkeys([*keys, "x", "y", *carry]))
+    rows = blocked(df.select(*dict.fromkeys([*kept, *cols])), 1, keys, block)
+    kinds = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in kept]
+                         + [T.StructField(f"{c}_{i}", rows.schema[c].dataType) for c in cols for i in range(9)])
+    return _by_block(rows, keys, _around(cols, kept, block), kinds)
 
 
 def window3(df: DataFrame, col: str, keys=SCENE, block=BLOCK, carry=()) -> DataFrame:

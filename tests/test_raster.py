@@ -270,3 +270,15 @@ def test_cost_of_blocks_follows_their_pixels(spark):
         assert r.v_env == pytest.approx(sum(near) / len(near))
     plan = masks.distance_to_mask(df, [1], 9, 1)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan  # no call of Python for every block
+
+
+def test_windows_multiply_no_rows_and_merge_rows_of_a_pixel(spark):
+    nan = float("nan")
+    rows = [(0, 0, 0, 1.0, "a"), (0, 0, 0, 3.0, None), (0, 1, 0, None, "b"), (0, 1, 0, nan, "c"), (0, 1, 0, 2.0, None), (0, 0, 1, None, None)]
+    df = spark.createDataFrame(rows, "scene_id int, x int, y int, v double, note string")
+    windows = focal.windows3(df, ["v"], carry=["note"])
+    got = {(r.x, r.y): r for r in windows.collect()}
+    assert {k: r.note for k, r in got.items()} == {(0, 0): "a", (1, 0): "c", (0, 1): None}
+    assert got[(0, 0)].v_4 == 3.0 and math.isnan(got[(0, 0)].v_5) and got[(0, 0)].v_7 is None and got[(0, 1)].v_1 == 3.0
+    plan = windows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "HashAggregate" not in plan and plan.count("Generate explode") == 2  # only copies of block rims

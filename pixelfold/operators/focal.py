@@ -10,7 +10,7 @@ number costs nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelfold.operators.runs import whole_runs
+
 BLOCK = 256
 SCENE = ("scene_id",)
 
@@ -71,46 +73,10 @@ def sweep(rows: DataFrame, axis: str, reach: int, keys, block, aggregates, carry
     )
 
 
-def _begins(rows: pa.Table, names) -> np.ndarray:
-    """Marks the rows whose ``names`` differ from those of the row before."""
-    out = np.zeros(rows.num_rows, bool)
-    out[:1] = True
-    for n in names:
-        codes = rows[n].combine_chunks().dictionary_encode("encode").indices.to_numpy()
-        out[1:] |= codes[1:] != codes[:-1]
-    return out
-
-
-def _whole_blocks(names, work: Callable[[pa.Table, np.ndarray], pa.Table]):
-    """``work(rows, number of the block)`` on rows in the order of their blocks, some whole blocks at a time."""
-    def done(pieces: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        rows = pa.concat_tables(pieces).combine_chunks()
-        yield from work(rows, np.cumsum(_begins(rows, names)) - 1).to_batches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            # the last row before tells whether the batch begins a block
-            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
-            begins = np.flatnonzero(_begins(pa.concat_tables([*before, rows]), names))[1:] - len(before)
-            if len(begins):
-                last = int(begins[-1])
-                yield from done([*held, rows.slice(0, last)])
-                held = [rows.slice(last)]
-            else:
-                held.append(rows)
-        if held:
-            yield from done(held)
-    return run
-
-
 def _by_block(rows: DataFrame, keys, work: Callable[[pa.Table, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
     """``work`` on the blocks of ``blocked`` rows; a task holds one block and one batch at a time."""
     at = [*keys, "_bx", "_by"]
-    return rows.sortWithinPartitions(*at).mapInArrow(_whole_blocks(at, work), schema)
+    return rows.sortWithinPartitions(*at).mapInArrow(whole_runs(at, work), schema)
 
 
 def _merged(rows: pa.Table, first: np.ndarray, cols) -> pa.Table:

@@ -124,3 +124,19 @@ def test_degraded_series_keep_long_ids(spark):
     got = degrade(df, ["RED"], 2, False)
     assert {r.pixel_id for r in got.collect()} <= {r[7] for r in rows} and got.count() == 4
     assert {r.qai for r in degrade(df, ["RED"], 2, True).collect()} == {5}
+
+
+def test_calls_of_a_gather_grow_with_the_keys_not_the_rows(spark, tmp_path):
+    """Rare keys are not merged before the shuffle, where nearly every row would be a call."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def total(values):
+        calls.add(1)
+        return float(values.sum())
+
+    df = spark.range(60_000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 9).cast("double").alias("v")).repartition(4)
+    want = {r.k: r.s for r in df.groupBy("k").agg(F.sum("v").alias("s")).collect()}
+    got = {r.k: r.result for r in user_fn.agg_user_fn(df, ["k"], total, "v", parts=(4, 2)).collect()}
+    assert got == want
+    # 15 rows a key and task; seven pieces a key
+    assert calls.value <= 12 * 1000

@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pixelfold.operators.runs import whole_runs
 
@@ -57,14 +59,39 @@ def map_user_fn(df: DataFrame, fn: Callable, schema: str, context: dict | None =
     return df.mapInPandas(run, schema)
 
 
+# Results of a row function that are passed on at a time.
+MOST_RESULTS = 10_000
+
+
 def expand_user_fn(df: DataFrame, fn: Callable, schema: str, columns) -> DataFrame:
-    """Run a generator ``fn(*columns)`` per row as a table function; the row is kept beside each result."""
-    class Expand:
-        def eval(self, *values):
-            yield from fn(*values)
+    """Run a generator ``fn(*columns)`` per row as a table function; the row is kept beside each result.
 
-    table_function = F.udtf(Expand, returnType=schema, useArrow=True)
-    return df.lateralJoin(table_function(*[F.col(c).outer() for c in columns]))
+    Rows reach ``fn`` by the batch; a row without results is dropped.
+    """
+    results = T.StructType.fromDDL(schema)
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(results)
+
+        def table(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+            made = zip(*found, strict=True)
+            columns = [pa.array(v, kind, from_pandas=True) for v, kind in zip(made, kinds.types, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *columns], names=[*batch.schema.names, *kinds.names])
+
+        for batch in batches:
+            rows, found = [], []
+            for i, values in enumerate(zip(*[batch.column(p).to_pylist() for p in places], strict=True)):
+                for result in fn(*values):
+                    rows.append(i)
+                    found.append(tuple(result))
+                    if len(rows) == MOST_RESULTS:
+                        yield table(batch, rows, found)
+                        rows, found = [], []
+            if rows:
+                yield table(batch, rows, found)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *results.fields]))
 
 
 # Rows that a task looks at together, and how many of them a key needs to be merged there.

@@ -140,3 +140,19 @@ def test_calls_of_a_gather_grow_with_the_keys_not_the_rows(spark, tmp_path):
     assert got == want
     # 15 rows a key and task; seven pieces a key
     assert calls.value <= 12 * 1000
+
+
+def test_row_function_by_the_batch(spark):
+    """Rows without results are dropped, nulls reach the function, one row may have very many results."""
+    df = spark.createDataFrame([(1, 2, "a"), (2, None, "b"), (3, 0, None), (2 ** 60 + 1, 25_001, "d")], "id long, n int, note string")
+
+    def counted(n, note):
+        for i in range(1 if n is None else n):
+            yield i, None if i else note
+
+    out = user_fn.expand_user_fn(df, counted, "i int, said string", ["n", "note"])
+    rows = out.collect()
+    assert out.columns == ["id", "n", "note", "i", "said"] and len(rows) == 2 + 1 + 25_001
+    assert [(r.id, r.n, r.i, r.said) for r in rows if r.id < 9] == [(1, 2, 0, "a"), (1, 2, 1, None), (2, None, 0, "b")]
+    assert {r.id for r in rows} == {1, 2, 2 ** 60 + 1}
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()

@@ -39,16 +39,17 @@ def fold(series: DataFrame, period: str, stat="AVG", keys=("pixel_id",), value="
 
 
 def fold_all(series: DataFrame, periods=PERIODS, stat="AVG", keys=("pixel_id",), value="value") -> DataFrame:
-    """Several folds from one scan, as ``keys, period, step, value``."""
+    """Several folds from one scan, as ``keys, period, step, value``.
+
+    A series has one row per date.  Its rows come together once, by ``keys``, and
+    are folded there: a task holds the steps of its own series, at most 442 and
+    one a year each, not a group for every row and period of its input.
+    """
     st.check_names([stat], st.FOLD_NAMES)
-    stepped = series.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), *[step_of(p).alias(f"_s{p}") for p in periods])
-    all_keys = [*[F.col(k) for k in keys], *[F.col(f"_s{p}") for p in periods]]
-    sets = [[*[F.col(k) for k in keys], F.col(f"_s{p}")] for p in periods]
-    folded = stepped.groupingSets(sets, *all_keys).agg(*st.statistic_aggregates([stat], "_v"))
-    period = F.lit(None).cast("string")
-    for p in reversed(periods):
-        period = F.when(F.col(f"_s{p}").isNotNull(), p).otherwise(period)
-    step = F.coalesce(*[F.col(f"_s{p}") for p in periods])
+    together = series.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), *[step_of(p).alias(f"_s{p}") for p in periods]).repartition(*keys)
+    steps = F.posexplode(F.array(*[F.col(f"_s{p}") for p in periods])).alias("_p", "step")
+    folded = together.select(*keys, "_v", steps).groupBy(*keys, "_p", "step").agg(*st.statistic_aggregates([stat], "_v"))
+    period = F.get(F.array(*[F.lit(p) for p in periods]), F.col("_p"))
     value_col = st.statistic_columns([stat])[0].cast("double")
-    return folded.select(*keys, period.alias("period"), step.alias("step"), value_col.alias("value"))
+    return folded.select(*keys, period.alias("period"), "step", value_col.alias("value"))

@@ -138,3 +138,15 @@ def test_pixel_without_values_keeps_its_dates(spark, method):
     assert fitted.count() == 6 and fitted.where("value is not null").count() == 0
     known = {r.date.day: r.value for r in interpolate.interpolate(frame.where("value is not null"), method, "2001-01-01", "2001-01-09", 4).collect()}
     assert {r.date.day: r.value for r in out.where("pixel_id = 2").collect()} == known
+
+
+def test_all_folds_happen_where_a_series_lies(spark):
+    """Rows meet once, by series, and are not multiplied before that; rows without a date stay in their period."""
+    rows = [(p, dt.date(2000 + y, m, 3), float(p + y * m)) for p in (1, 2) for y in range(3) for m in range(1, 13)] + [(3, None, 5.0)]
+    df = spark.createDataFrame(rows, "pixel_id long, date date, value double")
+    all_of_them = fold.fold_all(df, stat="Q50")
+    got = {(r.pixel_id, r.period, r.step): r.value for r in all_of_them.collect()}
+    want = {(r.pixel_id, p, r.step): r.value for p in fold.PERIODS for r in fold.fold(df, p, "Q50").collect()}
+    assert got == want and (3, "Y", None) in got
+    plan = fold.fold_all(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 1

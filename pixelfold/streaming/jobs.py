@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,8 +14,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Before all events.
+NEVER = -1 << 62
+
+
 class JobStatus(StatefulProcessor):
-    """Keeps a job's latest event; an event-time timer fires when none follows for a while."""
+    """Keeps a job's latest event; an event-time timer fires when none follows for a while.
+
+    Works on rows, as most jobs have few events in a batch: a frame for every job costs more than its events.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -24,33 +31,27 @@ class JobStatus(StatefulProcessor):
         self.handle = handle
         self.latest = handle.getValueState("latest", "updated long, event_id long, status string, events long, late long")
 
-    def _row(self, key, state, idle: bool) -> pd.DataFrame:
-        updated, _, status, events, late = state
-        return pd.DataFrame({"job_id": [key[0]], "updated": [pd.Timestamp(updated, unit="us")], "status": [status], "events": [events],
-                             "late": [late], "idle": [idle]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.latest.get()) if self.latest.exists() else None
-        known = before or (-1 << 62, -1 << 62, None, 0, 0)
-        updated, event, status, events, late = known
-        for frame in rows:
-            times = (frame["ts"].astype("datetime64[us]").astype("int64"))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.latest.get()
+        updated, event, status, events, late = before or (NEVER, NEVER, None, 0, 0)
+        seen = updated
+        for row in rows:
+            t, e = (NEVER if v is None else v for v in (row["us"], row["event_id"]))
             # out of order against what earlier batches have seen
-            late += int((times < known[0]).sum())
-            events += len(frame)
-            order = pd.DataFrame({"t": times, "e": frame["event_id"]}).sort_values(["t", "e"])
-            t, e = (int(v) for v in order.iloc[-1])
+            late += t < seen
+            events += 1
             if (t, e) > (updated, event):
-                updated, event, status = t, e, frame["status"].loc[order.index[-1]]
-        if before is None or updated != before[0]:
+                updated, event, status = t, e, row["status"]
+        if before is None or updated != seen:
             if before is not None:
-                self.handle.deleteTimer(before[0] // 1000 + self.idle_ms)
+                self.handle.deleteTimer(seen // 1000 + self.idle_ms)
             self.handle.registerTimer(updated // 1000 + self.idle_ms)
         self.latest.update((updated, event, status, events, late))
-        yield self._row(key, (updated, event, status, events, late), False)
+        yield Row(job_id=key[0], us=updated, status=status, events=events, late=late, idle=False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key, tuple(self.latest.get()), True)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        updated, _, status, events, late = self.latest.get()
+        yield Row(job_id=key[0], us=updated, status=status, events=events, late=late, idle=True)
 
     def close(self) -> None:
         pass
@@ -69,10 +70,11 @@ def stream_job_status(events: DataFrame, idle="2 days", delay="1 day") -> DataFr
     """
     ms = pd.Timedelta(idle) // pd.Timedelta(milliseconds=1)
     kind = events.schema["job_id"].dataType.simpleString()
-    rows = events.select("job_id", "ts", "event_id", "status").withWatermark("ts", delay)
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        JobStatus(int(ms)), f"job_id {kind}, updated timestamp, status string, events long, late long, idle boolean",
+    rows = events.select("job_id", "ts", "event_id", "status", F.unix_micros("ts").alias("us")).withWatermark("ts", delay)
+    states = rows.groupBy("job_id").transformWithState(
+        JobStatus(int(ms)), f"job_id {kind}, us long, status string, events long, late long, idle boolean",
         outputMode="Update", timeMode="EventTime")
+    return states.select("job_id", F.timestamp_micros("us").alias("updated"), "status", "events", "late", "idle")
 
 
 def latest_states(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

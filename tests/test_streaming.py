@@ -163,3 +163,10 @@ def test_stream_fold_has_all_statistics_within_its_error(spark, tmp_path):
             assert (r.Q50, r.NUM) == ((7.0, 1) if r.pixel_id == 2 else (None, 0))
     with pytest.raises(ValueError):
         so.stream_fold(stream(spark, src), ("Q33",))
+
+
+def test_job_events_without_an_identifier_count(spark, tmp_path):
+    rows = [("a", at(1, 1), None, "queued"), ("a", at(1, 2), None, "running"), ("b", at(1, 2), 2, "queued")]
+    events = event_stream(spark, str(tmp_path / "in"), [rows])
+    states = jobs.latest_states(spark, jobs.stream_job_status(events, "4 days", "1 day"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {(r.job_id, r.updated, r.status, r.events) for r in states.collect()} == {("a", at(1, 2), "running", 2), ("b", at(1, 2), "queued", 1)}

@@ -281,6 +281,59 @@ def test_passages_between_shared_lines(spark):
         assert r["start_word"] <= want[i] and r["start_word"] + r["n_words"] >= want[i] + 60
 
 
+def test_links_between_middle_documents(spark):
+    """Lines that smaller and larger documents hold too, edited versions of one passage, very frequent lines, and copies."""
+    rng = np.random.default_rng(21)
+
+    def text(n):
+        return [f"w{int(i)}" for i in rng.integers(0, 10 ** 6, n)]
+
+    docs, links, number = {}, set(), iter(range(10 ** 6))
+    # each line of a passage also stands in a document before and one after both holders, never two of them together
+    plan = []
+    for _ in range(10):
+        lines = [text(20) for _ in range(3)]
+        plan.append(lines)
+        for line in lines:
+            docs[next(number)] = text(30) + line + text(30)
+    for lines in plan:
+        pair = [next(number), next(number)]
+        for i in pair:
+            docs[i] = text(20) + sum(lines, []) + text(20)
+        links.add(tuple(pair))
+    for lines in plan:
+        for line in lines:
+            docs[next(number)] = text(25) + line + text(35)
+    # versions of one passage, each with two words of its own
+    passage, versions = text(120), []
+    for _ in range(12):
+        words = list(passage)
+        for i in rng.choice(np.arange(5, 115), 2, replace=False):
+            words[i] = text(1)[0]
+        versions.append(next(number))
+        docs[versions[-1]] = text(15) + words + text(15)
+    links |= {(a, b) for a in versions for b in versions if a < b}
+    # very many documents hold one of these lines, some hold all of them with other words in between
+    lines, holders = [text(20) for _ in range(3)], []
+    for i in range(240):
+        docs[next(number)] = text(30) + lines[i % 3] + text(30)
+        if i % 40 == 20:
+            holders.append(next(number))
+            docs[holders[-1]] = text(20) + lines[0] + text(1) + lines[1] + text(1) + lines[2] + text(20)
+    links |= {(a, b) for a in holders for b in holders if a < b}
+    original = next(number)
+    docs[original] = text(90)
+    copies = [next(number) for _ in range(100)]
+    for i in copies:
+        docs[i] = docs[original]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = chains.repeated_passages(frame).collect()
+    found = {(r["other_id"], r["doc_id"]) for r in got}
+    assert sorted(links - found) == []
+    assert {p for p in found if p[1] in copies} == {(original, i) for i in copies}
+    assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 and r["other_id"] < r["doc_id"] for r in got)
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(200):

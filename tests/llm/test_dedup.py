@@ -334,6 +334,41 @@ def test_links_between_middle_documents(spark):
     assert all(r["n_words"] >= 50 and r["identity"] >= 0.8 and r["other_id"] < r["doc_id"] for r in got)
 
 
+def test_large_groups_form_classes(spark):
+    """Edited versions of one passage beyond the bound of full pairing: rows in proportion to documents, no link lost."""
+    rng = np.random.default_rng(31)
+
+    def text(n):
+        return [f"w{int(i)}" for i in rng.integers(0, 10 ** 6, n)]
+
+    docs, begin = {}, {}
+    for group in range(2):
+        passage = text(140)
+        for i in range(group, 160, 2):
+            words = [text(1)[0] if rng.random() < 0.04 else w for w in passage]
+            begin[i] = int(rng.integers(5, 40))
+            docs[i] = text(begin[i]) + words + text(20)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = chains.repeated_passages(frame).collect()
+    pairs = {(r["other_id"], r["doc_id"]) for r in got}
+    assert len(pairs) < 2 * 80 * 79 / 2 / 3
+    assert all(a % 2 == b % 2 for a, b in pairs)
+    # every document is linked with the smallest of its passage, over any steps, and most of its passage stands in rows
+    seen, left = {0, 1}, set(pairs)
+    while near := {p for p in left if seen & set(p)}:
+        seen |= {i for p in near for i in p}
+        left -= near
+    assert seen == set(docs)
+    for i in docs:
+        held = set()
+        for r in got:
+            if r["doc_id"] == i:
+                held |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+            if r["other_id"] == i:
+                held |= set(range(r["other_start"], r["other_start"] + r["other_words"]))
+        assert len(held & set(range(begin[i], begin[i] + 140))) >= 120
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(200):

@@ -369,6 +369,113 @@ def test_large_groups_form_classes(spark):
         assert len(held & set(range(begin[i], begin[i] + 140))) >= 120
 
 
+def test_common_documents_hide_no_passage(spark):
+    """Two documents that both share a passage with a third one, and elsewhere one whose seeds very many documents hold."""
+    rng = np.random.default_rng(41)
+
+    def text(n):
+        return [f"w{int(i)}" for i in rng.integers(0, 10 ** 6, n)]
+
+    docs, want, number = {}, {}, iter(range(10 ** 6))
+    for _ in range(8):
+        first, line, more = text(60), text(49), text(3)
+        docs[next(number)] = text(20) + first + text(20)
+        for _ in range(24):
+            docs[next(number)] = text(20) + line + text(20)
+        pair = next(number), next(number)
+        docs[pair[0]] = first + text(120) + line + more + text(20)
+        docs[pair[1]] = text(20) + line + more + text(120) + first
+        want[pair] = 20, 180
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = chains.repeated_passages(frame).collect()
+    for (other, i), (begin, there) in want.items():
+        held = [r for r in got if (r["other_id"], r["doc_id"]) == (other, i)]
+        assert any(r["start_word"] <= begin and r["start_word"] + r["n_words"] >= begin + 52 and r["other_start"] <= there
+                   and r["other_start"] + r["other_words"] >= there + 52 for r in held)
+        assert len(held) == 2
+
+
+def test_common_lines_are_not_aligned(spark, monkeypatch):
+    """Very many documents with the same line or the same repeated word, too short for a passage, meet no other one."""
+    rng = np.random.default_rng(43)
+
+    def text(n):
+        return [f"w{int(i)}" for i in rng.integers(0, 10 ** 6, n)]
+
+    line, docs = text(40), []
+    for i in range(200):
+        docs.append((i, " ".join(text(30) + (line if i % 2 else ["again"] * (30 + i % 15)) + text(30))))
+    verified, met = chains._verified, []
+
+    def counted(rows, held, matches, *more):
+        met.append(matches.count())
+        return verified(rows, held, matches, *more)
+
+    monkeypatch.setattr(chains, "_verified", counted)
+    assert chains.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+    assert sum(met) < 4 * len(docs)
+
+
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(44)
+    drift, n, identity = 4, 12, 0.8
+    for i in range(40):
+        x, y = rng.integers(0, 2 + i % 4, (2, 5, n + 2 * drift))
+        if i % 2:
+            y[:, drift:] = np.roll(x, 1, axis=1)[:, drift:]
+        got, most = chains.scores(x, y, drift, identity), chains.loose_scores(x, y, drift, identity)
+        assert (most >= got - 1e-4).all()
+        for r in range(5):
+            a, b = x[r, drift:drift + n], y[r, drift:]
+            best = np.full((n + 1, n + drift + 1), -np.inf)
+            best[0, 0] = 0
+            for i_ in range(n + 1):
+                for j in range(max(0, i_ - drift), min(n + drift, i_ + drift) + 1):
+                    if i_ and j:
+                        best[i_, j] = max(best[i_, j], best[i_ - 1, j - 1] + (a[i_ - 1] == b[j - 1]) - identity)
+                    if i_:
+                        best[i_, j] = max(best[i_, j], best[i_ - 1, j] - identity)
+                    if j:
+                        best[i_, j] = max(best[i_, j], best[i_, j - 1] - identity)
+            assert np.allclose(best.max(axis=1), got[r], atol=1e-4)
+
+
+def test_places_of_passages_may_pass():
+    """What the aligner takes around two seeds is never left out before; a line alone, with other words around it, is."""
+    rng = np.random.default_rng(45)
+    reach, drift = chains._reach(50, 0.8, 5)
+    wide, seen, left_out = reach + drift, 0, 0
+    for i in range(600):
+        words = rng.integers(1, 10 ** 6 if i % 2 else 12, int(rng.integers(30, 80)))
+        span = int(rng.integers(28, min(66, len(words))))
+        at = int(rng.integers(0, len(words) - span + 1))
+        sides = []
+        for _ in range(2):
+            kept, shift = [], 0
+            for j, w in enumerate(words.tolist()):
+                edit = rng.random() < (i % 5) * 0.04 and not (at <= j < at + 5 or at + span - 5 <= j < at + span)
+                kind = rng.integers(0, 3) if edit else 3
+                shift += (int(j < at) * (kind == 1) - int(j < at) * (kind == 2))
+                kept += [w] if kind == 3 else [[int(rng.integers(1, 10 ** 6))], [int(rng.integers(1, 10 ** 6)), w], []][kind]
+            head = rng.integers(1, 10 ** 6 if i % 3 else 12, int(rng.integers(0, 90))).tolist()
+            tail = rng.integers(1, 10 ** 6 if i % 3 else 12, int(rng.integers(0, 90))).tolist()
+            whole, first = np.array(head + kept + tail, "<u4"), len(head) + at + shift
+            # the last five words of the span stand where they next occur
+            ends = [e for e in range(first + 23, min(first + 61, len(whole) - 4)) if (whole[e:e + 5] == words[at + span - 5:at + span]).all()]
+            sides.append((whole, first, min(ends, key=lambda e: abs(e - first - span + 5)) if ends else -1))
+        (x, p, p2), (y, q, q2) = sides
+        if min(p2, q2) < 0:
+            continue
+        found = [f for f in chains.passages(x, y, [(q, p), (q2, p2)]) if f[0] <= p and p2 + 5 <= f[0] + f[1]]
+        shown = [chains.surroundings([t[max(0, a - wide):b + 5 + wide].tobytes()], np.array([min(a, wide)]), np.array([b + 5 - a]),
+                                     reach, drift, none) for t, a, b, none in ((x, p, p2, -1), (y, q, q2, -2))]
+        may = len(chains.may_pass(*shown, np.array([p2 + 5 - p]), np.array([q2 + 5 - q]), 50, 0.8, drift))
+        seen += bool(found)
+        left_out += not may
+        assert may or not found
+    assert seen > 100 and left_out > 50
+
+
 def test_stretches_against_brute_force():
     rng = np.random.default_rng(12)
     for _ in range(200):

@@ -461,7 +461,8 @@ def test_places_of_passages_may_pass():
             tail = rng.integers(1, 10 ** 6 if i % 3 else 12, int(rng.integers(0, 90))).tolist()
             whole, first = np.array(head + kept + tail, "<u4"), len(head) + at + shift
             # the last five words of the span stand where they next occur
-            ends = [e for e in range(first + 23, min(first + 61, len(whole) - 4)) if (whole[e:e + 5] == words[at + span - 5:at + span]).all()]
+            last = words[at + span - 5:at + span]
+            ends = [e for e in range(first + 23, min(first + 61, len(whole) - 4)) if (whole[e:e + 5] == last).all()]
             sides.append((whole, first, min(ends, key=lambda e: abs(e - first - span + 5)) if ends else -1))
         (x, p, p2), (y, q, q2) = sides
         if min(p2, q2) < 0:
